@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import quality_rules, secret_scan, url_filter
+from ticketloom.llm import bpe, packing, quality_rules, secret_scan, url_filter
 from ticketloom.llm._store import read_table
 
 
+def vocabulary() -> str:
+    """The installed rank file of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024, with_ids=False)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the labels whose doc_id is a page's id; bad if of low quality or toxic."""
     pages = read_table(spark, sf_dir, "pages")
@@ -32,5 +47,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op5_byte_bpe, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
