@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, packing, quality_rules, secret_scan, url_filter
+from ticketloom.llm import bpe, packing, quality_rules, secret_scan, substring_dedup, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -32,6 +32,11 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), "level")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,5 +52,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op5_byte_bpe, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
