@@ -12,6 +12,8 @@ _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C55
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POW = np.ones(1, dtype=U)
@@ -86,11 +88,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the number of its first word (n + 1)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = blank[data]
     s = ~space
     e = s.copy()
     s[1:] &= space[:-1]
@@ -103,9 +105,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = _SPACE):
     """(hash, start, end of each word; first word of each text)."""
-    starts, ends, first = word_bounds(data, offsets)
+    starts, ends, first = word_bounds(data, offsets, blank)
     return span_hashes(_LOWER[data] if lower else data, starts, ends), starts, ends, first
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, packing, quality_rules, secret_scan, substring_dedup, url_filter
+from ticketloom.llm import bpe, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -19,6 +19,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024, with_ids=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cfg = toxicity.ToxicityConfig()
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), cfg)
+    x = toxicity.score_texts(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return x.select("doc_id", held_out.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= cfg.threshold).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -52,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
