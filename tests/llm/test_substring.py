@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from conftest import SF
-from ticketloom.llm import queries, substring_dedup
+from ticketloom.llm import _chunks, queries, substring_dedup
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,7 +28,7 @@ def brute(texts, window):
 
 @pytest.mark.parametrize("window", [35, 4, 10])
 def test_brute(spark, window, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 20000)
+    monkeypatch.setattr(_chunks, "CHUNK_BYTES", 20000)
     random.seed(window)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = [None, "", " \n ", "few words", passage, f"a b {passage} c", passage.replace(" ", "\n\t"), "x " * 200, "é中 " * 50]

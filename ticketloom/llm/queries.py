@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from ticketloom.llm import bpe, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024, with_ids=False)
 
 
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     cfg = toxicity.ToxicityConfig()
@@ -61,5 +66,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

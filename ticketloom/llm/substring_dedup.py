@@ -19,18 +19,15 @@ result. Other columns, with any name, come back unchanged.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ticketloom.llm import _text
-from ticketloom.llm._store import materialise, shared_dir
+from ticketloom.llm._chunks import Chunks
+from ticketloom.llm._store import materialise
 from ticketloom.llm._text import U
 
-CHUNK_BYTES = 4 << 20
 MARKS = "chunk long, level int, bucket int, n int, bits binary"
 SENT = "chunk long, bucket int, n int, hashes binary, twice binary"
 
@@ -167,39 +164,10 @@ def _kept(table: pa.Table, marks: dict, lengths: list[int], done: bool, buckets:
     return pa.table({"_rest": table["_rest"], "_text": text, "_n_words": pa.array(n, pa.int64()), "_n_removed": pa.array(n - left, pa.int64()), "_kept": pa.array(kept, pa.string())})
 
 
-class _Chunks:
-    """The texts, written once and bucketed by chunk."""
-
-    def __init__(self, docs: DataFrame, text_col: str):
-        spark = docs.sparkSession
-        rest = [c for c in docs.columns if c != text_col]
-        x = docs.select((F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))).alias("_rest"), F.col(text_col).cast("string").alias("_text"))
-        schema = x.select("*", F.lit(0).cast("long").alias("_chunk")).schema
-
-        def number(batches):
-            task, chunk, size = TaskContext.get().partitionId() << 32, 0, 0
-            for b in batches:
-                texts = b.column(1)
-                n = np.diff(np.frombuffer(texts.cast(pa.large_string()).buffers()[1], dtype=np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else np.zeros(0, np.int64)
-                total = size + np.cumsum(n) - n
-                own = chunk + total // CHUNK_BYTES
-                if len(n):
-                    chunk, size = int(own[-1]), int(total[-1] + n[-1] - (own[-1] - chunk) * CHUNK_BYTES)
-                yield pa.record_batch([*b.columns, pa.array(task + own, pa.int64())], schema=None, names=["_rest", "_text", "_chunk"])
-
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        known = size >> 26 if size < 1 << 60 else 0  # a plan of unknown size claims the largest number
-        self.n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), known), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-        self.name = f"chunks_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(spark)}/{self.name}"
-        x.mapInArrow(number, schema).write.bucketBy(self.n, "_chunk").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
-        self.spark, self.table, self.rest = spark, spark.table(self.name), rest
-
-
 def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 9, text_col: str = "text") -> DataFrame:
     """docs with _n_words, _n_removed and _kept (the words left, joined by one space); text_col as it was."""
     lengths = level_lengths(window, shortest)
-    chunks = _Chunks(docs, text_col)
+    chunks = Chunks(docs, text_col)
     # About a million windows to a bucket: a chunk of 4 MB has 700 thousand words or so.
     n_chunks = chunks.table.select("_chunk").distinct().count()
     buckets = max(chunks.n, n_chunks)
@@ -216,10 +184,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 9, text_co
         if found.isEmpty():
             done = False
             break
-    out = chunks.table.select("_rest", "_text").schema
-    schema = f"_rest {out['_rest'].dataType.simpleString()}, _text string, _n_words long, _n_removed long, _kept string"
-    kept = chunks.table.groupBy("_chunk").cogroup(marks.groupBy("chunk")).applyInArrow(lambda t, m: _kept(t, _read_marks(m), lengths, done, buckets), schema)
-    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns], "_n_words", "_n_removed", "_kept")
+    run = lambda t, m: _kept(t, _read_marks(m), lengths, done, buckets)
+    kept = chunks.table.groupBy("_chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, chunks.schema() + ", _n_words long, _n_removed long, _kept string")
+    return kept.select(*chunks.original(), "_n_words", "_n_removed", "_kept")
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
