@@ -7,7 +7,7 @@ import pyarrow as pa
 
 
 def runs(batches, key: int = 0):
-    """(table, bounds): whole runs of equal values of column `key`, a batch or more of them at a time."""
+    """(table, where each run starts): whole runs of equal values of column `key`, a batch or more of them at a time."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -18,10 +18,10 @@ def runs(batches, key: int = 0):
         if not len(cuts):
             rest = t
             continue
-        yield t.slice(0, cuts[-1]).combine_chunks(), np.concatenate([[0], cuts])
+        yield t.slice(0, cuts[-1]).combine_chunks(), np.concatenate([[0], cuts[:-1]])
         rest = t.slice(cuts[-1])
     if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+        yield rest.combine_chunks(), np.zeros(1, np.int64)
 
 
 def spanning(links: np.ndarray) -> np.ndarray:

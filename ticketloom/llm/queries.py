@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from ticketloom.llm import bpe, embedding_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -51,6 +51,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = embedding_dedup.embedding_duplicates(read_table(spark, sf_dir, "embeddings"))
+    return x.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op9_quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,5 +71,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
