@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, embedding_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from ticketloom.llm import bpe, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -51,6 +51,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all their evidence, and documents, which only have text; the text model learns from all documents."""
+    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    model = language_id.learn_text_model(docs)
+    none = F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("url"), none.alias("declared"))
+    html = F.col("html")
+    rows = rows.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", language_id.visible_text(html).alias("text"), "url", language_id.declared_language(html).alias("declared")))
+    x = language_id.identify(rows, model, keep=("doc_id", "page_id"))
+    return x.select("doc_id", "page_id", "language", F.round("probability", 6).alias("probability"), "text_language")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = embedding_dedup.embedding_duplicates(read_table(spark, sf_dir, "embeddings"))
     return x.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
@@ -71,5 +83,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
