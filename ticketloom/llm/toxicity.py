@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples in TF-IDF space.
 
-A bounded sample of labelled rows (`max_examples`, a uniform one by hash) gives the examples. Their terms are
-lower-cased runs of letters and digits, and the first bytes of each, so that inflected forms share a term; a term that
-makes up a larger share of a text's words counts again for each step of `rates` reached. Terms that are at least `min_lift` times as frequent in one class as in the other, by a chi-square above `min_chi2`, make the
-vocabulary, at most `max_terms`. Document frequencies come from all documents. Vectors are log tf times idf, of
-length 1 within the vocabulary.
+A bounded sample of labelled rows (`max_examples`, a uniform one by hash) gives the examples; copies of a text are
+one. Their terms are lower-cased runs of letters and digits, and the first bytes of each, so that inflected forms
+share a term; a term that makes up a larger share of a text's words counts again for each step of `rates` reached.
+Terms that are at least `min_lift` times as frequent in toxic examples as in others, by a chi-square above `min_chi2`,
+make the vocabulary, at most `max_terms`. Document frequencies come from all documents. Vectors are log tf times idf,
+of length 1 within the vocabulary.
 
 The index holds postings by term, cut into blocks of examples, and each block's largest weight of each term. A
 query's bound for a block is the dot product with these maxima. Blocks are scored exactly from the largest bound
@@ -22,7 +23,6 @@ columns are not read; repeated rows are scored alike; empty tables give empty re
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +49,8 @@ class ToxicityConfig:
     #: Pseudo-votes of the base rate.
     prior: float = 0.5
     threshold: float = 0.7
+    #: Vectors whose result a worker remembers.
+    remembered: int = 20000
     evidence: int = 3
 
 
@@ -179,22 +181,30 @@ class BlockMaxIndex:
         q = self.weights(terms, counts)
         bounds = q @ self.maxima[terms]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(best) == self.k and best[0][0] >= bounds[b] + 1e-12):
-                break
-            got = np.zeros(self.block)
-            base = b * self.block
-            for t, w in zip(terms.tolist(), q.tolist()):
-                a, z = self.first[t * self.n_blocks + b], self.first[t * self.n_blocks + b + 1]
-                if a < z:
-                    got[self.example[a:z] - base] += w * self.weight[a:z]
-            least = best[0][0] if len(best) == self.k else 0.0
-            for i in np.flatnonzero(got > least).tolist():
-                if base + i != skip:
-                    (heapq.heappush if len(best) < self.k else heapq.heappushpop)(best, (float(got[i]), -(base + i)))
-        best.sort(reverse=True)
-        return np.array([-i for _, i in best], dtype=np.int64), np.array([s for s, _ in best])
+        order = order[bounds[order] > 0]
+        at, sim = np.zeros(0, np.int64), np.zeros(0)
+        base = terms.astype(np.int64) * self.n_blocks
+        i, step = 0, 4
+        while i < len(order) and not (len(sim) == self.k and sim[-1] >= bounds[order[i]] + 1e-12):
+            blocks = order[i : i + step]
+            cell = (base[:, None] + blocks[None, :]).ravel()
+            first = self.first[cell]
+            n = self.first[cell + 1] - first
+            upto = np.cumsum(n)
+            posting = np.repeat(first - (upto - n), n) + np.arange(upto[-1])
+            place = np.empty(self.n_blocks, np.int64)
+            place[blocks] = np.arange(len(blocks))
+            example = self.example[posting]
+            local = place[example // self.block] * self.block + example % self.block
+            got = np.bincount(local, weights=np.repeat(np.repeat(q, len(blocks)), n) * self.weight[posting], minlength=len(blocks) * self.block)
+            hit = np.flatnonzero(got > 0)
+            who = blocks[hit // self.block] * self.block + hit % self.block
+            keep = who != skip
+            at, sim = np.concatenate([at, who[keep]]), np.concatenate([sim, got[hit[keep]]])
+            best = np.lexsort((at, -sim))[: self.k]
+            at, sim = at[best], sim[best]
+            i, step = i + step, 2 * step
+        return at, sim
 
 
 class Model:
@@ -202,6 +212,7 @@ class Model:
 
     def __init__(self, cfg: ToxicityConfig, vocabulary: np.ndarray, idf: np.ndarray, rows: list):
         self.cfg, self.vocabulary = cfg, vocabulary
+        self.seen: dict[bytes, tuple] = {}  # results of vectors that came before
         y = np.array([r[1] for r in rows], dtype=np.float64)
         self.base = float((y.sum() + 0.5) / (len(y) + 1))
         empty = np.array([r[1] for r in rows if not len(r[2])], dtype=np.float64)
@@ -220,11 +231,16 @@ class Model:
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         if not len(terms):
             return self.blank, np.zeros(0, np.int64), np.zeros(0)
-        at, sim = self.index.nearest(terms, counts)
-        vote = self.vote(at, sim)
-        fitted = float(np.interp(vote, *self.knots)) if self.knots else vote
-        # The vote keeps a small share, so that scores that are calibrated alike stay in order.
-        return 0.9 * fitted + 0.1 * vote, at, sim
+        key = terms.tobytes() + counts.tobytes()
+        if key not in self.seen:
+            at, sim = self.index.nearest(terms, counts)
+            vote = self.vote(at, sim)
+            fitted = float(np.interp(vote, *self.knots)) if self.knots else vote
+            if len(self.seen) >= self.cfg.remembered:
+                self.seen.clear()
+            # The vote keeps a small share, so that scores that are calibrated alike stay in order.
+            self.seen[key] = 0.9 * fitted + 0.1 * vote, at[: self.cfg.evidence], sim[: self.cfg.evidence]
+        return self.seen[key]
 
 
 def isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -247,6 +263,8 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The sample has max_examples rows of two numbers at most.
     examples = text.join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("_text").alias("_text"))
+    # Copies of a text are one example, so they neither outvote others nor make its words telling.
+    examples = examples.groupBy("_text", "toxic").agg(F.min("doc_id").alias("doc_id"))
     examples = materialise(examples, "examples")
     n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     bad, good = float(sum(v for k, v in n.items() if k >= 1)), float(sum(v for k, v in n.items() if k < 1))
@@ -258,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
         lift = ((a + 0.5) / (bad + 1)) / ((b + 0.5) / (good + 1))
         df, total = a + b, bad + good
         chi2 = total * (a * good - b * bad) ** 2 / (df * (total - df + 1e-9) * bad * good)
-        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2) & ((lift >= cfg.min_lift) | (lift <= 1 / cfg.min_lift)))
+        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2) & (lift >= cfg.min_lift))
         picked = picked.orderBy(chi2.desc(), "term").limit(cfg.max_terms).select("term").collect()  # max_terms rows
         vocabulary = np.sort(np.array([r.term for r in picked], dtype=np.int64).view(U))
     df = np.zeros(len(vocabulary) + 1)
@@ -274,14 +292,14 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
 SCORED = "_toxicity double, _evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """keep columns, _toxicity (0 to 1) and _evidence (nearest examples)."""
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    """keep columns, _toxicity (0 to 1), _evidence (nearest examples) and, if wanted, _text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
     x = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))]
     x = x.toDF(*names, "_text")
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, x.schema)) + ", " + SCORED
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, x.schema)) + ", " + SCORED + ", _text string" * keep_text
 
     def run(batches):
         m = shared.value
@@ -300,13 +318,16 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
                     scores.append(s)
                     evidence.append([{"doc_id": int(m.index.ids[i]), "similarity": float(c), "toxic": int(m.index.toxic[i])} for i, c in zip(who[: m.cfg.evidence], sim)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind)], [*names, "_toxicity", "_evidence"])
+            text = [b.columns[-1]] * keep_text
+            yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind), *text], [*names, "_toxicity", "_evidence", *["_text"] * keep_text])
 
-    return x.mapInArrow(run, schema).toDF(*keep, "_toxicity", "_evidence")
+    return x.mapInArrow(run, schema).toDF(*keep, "_toxicity", "_evidence", *["_text"] * keep_text)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs below the threshold, with their own columns."""
     model = learn(docs, labels, cfg, text_col, id_col)
-    row = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_judged"))
-    return score_texts(row, model, "_judged", ("_row",)).where(F.col("_toxicity") < cfg.threshold).select("_row.*")
+    rest = [c for c in docs.columns if c != text_col]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.col(text_col).alias("_judged"))
+    x = score_texts(row, model, "_judged", ("_rest",), keep_text=True).where(F.col("_toxicity") < cfg.threshold)
+    return x.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
