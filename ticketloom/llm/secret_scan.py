@@ -199,8 +199,8 @@ def candidates(docs: DataFrame, rules=RULES, text_col: str = "text", id_col: str
 def secret_spans(docs: DataFrame, rules=RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs as _row (struct), _text and _spans, sorted by start and kind."""
     hits = candidates(docs, rules, text_col, id_col).withColumnRenamed("_id", "_hit")
-    x = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    x = x.join(hits, x["_id"].eqNullSafe(hits["_hit"]), "left")
+    x = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    x = x.join(hits, x["_id"].eqNullSafe(hits["_hit"]), "left").withColumn("_text", F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     found = []
     for i, r in enumerate(rules):
