@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm._store import shared_dir
+from ticketloom.llm._store import arrow_rows, shared_dir
 
 CHUNK_BYTES = 4 << 20
 
@@ -46,7 +46,8 @@ class Chunks:
         known = size >> 26 if size < 1 << 60 else 0  # a plan of unknown size claims the largest number
         self.n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), known), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
         self.name = f"chunks_{uuid.uuid4().hex}"
-        x.mapInArrow(number, schema).write.bucketBy(self.n, "_chunk").option("path", f"{shared_dir(spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
+        with arrow_rows(spark, 1000):
+            x.mapInArrow(number, schema).write.bucketBy(self.n, "_chunk").option("path", f"{shared_dir(spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
         self.table, self.rest, self.text_col, self.columns = spark.table(self.name), rest, text_col, docs.columns
 
     def original(self, text=None) -> list:

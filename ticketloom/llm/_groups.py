@@ -18,10 +18,10 @@ def runs(batches, key: int = 0):
         if not len(cuts):
             rest = t
             continue
-        yield t.slice(0, cuts[-1]).combine_chunks(), np.concatenate([[0], cuts[:-1]])
+        yield t.slice(0, cuts[-1]), np.concatenate([[0], cuts[:-1]])
         rest = t.slice(cuts[-1])
     if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), np.zeros(1, np.int64)
+        yield rest, np.zeros(1, np.int64)
 
 
 def spanning(links: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,10 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_FALLBACK[app]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Jobs inside move n rows at a time to Python: whole texts and sets are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
