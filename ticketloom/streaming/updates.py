@@ -57,7 +57,8 @@ def start_last_by_key(stream: DataFrame, store: SnapshotStore, key: str, order:
 
 def window_counts(events: DataFrame, time: str, width: str, slide: str | None = None, late: str | None = None, by: tuple = ()) -> DataFrame:
     """Tumbling or sliding counts; `late` sets the watermark, which only matters to streams."""
-    x = events.withWatermark(time, late) if late else events
+    x = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zone
+    x = x.withWatermark(time, late) if late else x
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return x.groupBy(w, *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n")
 
