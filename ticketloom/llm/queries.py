@@ -84,4 +84,63 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+# ---- the same in DuckDB's SQL, where it can say it ----
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _url_sql() -> str:
+    cfg = url_filter.ReputationConfig()
+    low, high = 1 / (cfg.max_strength + 1), 1 / (cfg.min_strength + 1)
+
+    def strength(groups: str, above: str) -> str:
+        d, v = f"(bad / n - {above})", f"({above} * (1 - {above}))"
+        return f"(SELECT 1 / least(greatest(coalesce((sum(n * {d} * {d}) - sum({v})) / nullif(sum((n - 1) * {v}), 0), 0), {low}), {high}) - 1 FROM {groups})"
+
+    cases = [(f"(host = '{n}' OR ends_with(host, '.{n}')) AND starts_with(path, '{p}')", n + p, v) for n, p, v in sorted(cfg.rules, key=lambda r: -len(r[0] + r[1]))]
+    rule, verdict = ("CASE " + " ".join(f"WHEN {t} THEN '{x[i]}'" for t, *x in cases) + " END" for i in (0, 1))
+    return rf"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ b AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':\d*$', '') AS h FROM p),
+ q AS (SELECT *, array_to_string(string_split(h, '.')[-2:], '.') AS dom, string_split(h, '.')[-1] AS suf FROM b),
+ o AS (SELECT h, dom, suf, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM q JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY h, dom, suf),
+ od AS (SELECT dom, suf, sum(bad) AS bad, sum(n) AS n FROM o GROUP BY dom, suf), os AS (SELECT suf, sum(bad) AS bad, sum(n) AS n FROM o GROUP BY suf),
+ t AS (SELECT (coalesce(sum(bad), 0) + 0.5) AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5 AS z, (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM o),
+ s0 AS (SELECT os.*, t.m AS up FROM os, t), s1 AS (SELECT *, up * k + bad AS a, (1 - up) * k + n - bad AS z FROM s0, (SELECT {strength("s0", "up")} AS k)),
+ d0 AS (SELECT od.*, s1.a / (s1.a + s1.z) AS up FROM od JOIN s1 USING (suf)), d1 AS (SELECT *, up * k + bad AS a, (1 - up) * k + n - bad AS z FROM d0, (SELECT {strength("d0", "up")} AS k)),
+ h0 AS (SELECT o.*, d1.a / (d1.a + d1.z) AS up FROM o JOIN d1 USING (dom)), h1 AS (SELECT *, up * k + bad AS a, (1 - up) * k + n - bad AS z FROM h0, (SELECT {strength("h0", "up")} AS k)),
+ r AS (SELECT q.page_id, q.host, q.path, coalesce(h1.a, d1.a, s1.a, t.a) AS a, coalesce(h1.z, d1.z, s1.z, t.z) AS z, CASE WHEN h1.a IS NOT NULL THEN 'host' WHEN d1.a IS NOT NULL THEN 'domain' WHEN s1.a IS NOT NULL THEN 'suffix' ELSE 'all' END AS level FROM q LEFT JOIN h1 ON q.h = h1.h LEFT JOIN d1 ON q.dom = d1.dom LEFT JOIN s1 ON q.suf = s1.suf, t)
+ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN a / (a + z) - {cfg.z} * sqrt(a / (a + z) * (z / (a + z)) / (a + z + 1)) > {cfg.max_bad_rate} THEN 'block' ELSE 'allow' END) AS verdict, round(a / (a + z), 6) AS bad_rate, level FROM r"""
+
+
+def _spans_sql() -> str:
+    def of(i: int, r) -> str:
+        p = r.java.replace("'", "''")
+        m, g, part = f"regexp_extract_all(t, '{p}')", f"regexp_split_to_array(t, '{p}')", f"regexp_extract_all(t, '{p}', {r.group})"
+        length = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+        row = f"struct_pack(s := ({length('x.g[1:k]')} + {length('x.m[1:k-1]')})::BIGINT, o := {i}, k := '{r.kind}', e := ({length('x.g[1:k]')} + {length('x.m[1:k]')})::BIGINT, n := length(x.p[k]))"
+        return f"(SELECT list_filter(list_transform(range(1, len(x.m) + 1), lambda k: {row}), lambda y: y.n >= {r.least}) FROM (SELECT {m} AS m, {g} AS g, {part} AS p) x)"
+
+    every = "list_sort(list_concat(" + ", ".join(of(i, r) for i, r in enumerate(secret_scan.RULES)) + "))"
+    text = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda y: y.k || ':' || y.s || ':' || y.e), ','), '')"
+    n = lambda kind: f"len(list_filter(a, lambda y: y.k = '{kind}'))::BIGINT AS n_{kind}"
+    base = "list_filter(a, lambda y: y.k IN ('assign', 'access', 'hex'))"
+    return f"SELECT doc_id, {n('assign')}, {n('access')}, {n('hex')}, sha256({text(base)}) AS base_sha256, {text('a')} AS spans FROM (SELECT doc_id, {every} AS a FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
+_REACH = """, reach AS (SELECT id AS a, id AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a), root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_reputation": _url_sql(),
+    "op3_minhash_forest": rf"""WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+ s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 3))) t(i) WHERE len(w) > 0), c AS (SELECT id, count(*) AS n FROM s GROUP BY id), node AS (SELECT id FROM d),
+ pair AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2), link AS (SELECT a, b FROM pair JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE 100 * k >= 85 * (p.n + q.n - k)){_REACH}
+ SELECT node.id AS doc_id, coalesce(c.n, 0) AS n_shingles, component_id, node.id = component_id AS kept FROM node LEFT JOIN c ON c.id = node.id JOIN root ON root.id = node.id""",
+    "op6_substring_dedup": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents), x AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) t(i)),
+ r AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1), c AS (SELECT DISTINCT doc_id, i + k AS j FROM x JOIN r USING (g), range(35) t(k)), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+ z AS (SELECT u.doc_id, count(*) AS n, count(c.j) AS cut, string_agg(word, ' ' ORDER BY u.j) FILTER (WHERE c.j IS NULL) AS kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.j = c.j GROUP BY u.doc_id)
+ SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(cut, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN z USING (doc_id)""",
+    "op8_embedding_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), node AS (SELECT id FROM e), link AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93){_REACH}
+ SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE a = node.id) AS n_links, component_id, node.id = component_id AS kept FROM node JOIN root USING (id)""",
+    "op10_secret_scan": _spans_sql(),
+}

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ticketloom.llm._store import materialise
+
 #: Fixed values: (host, path prefix, verdict).
 RULES = (
     ("net", "/", "block"),
@@ -75,7 +77,7 @@ def _strength(groups: DataFrame, mean: str, cfg: ReputationConfig) -> DataFrame:
     """
     d = F.col("bad") / F.col("n") - F.col(mean)
     v = F.col(mean) * (1 - F.col(mean))
-    rho = (F.sum(F.col("n") * d * d) - F.sum(v)) / F.sum((F.col("n") - 1) * v)
+    rho = F.try_divide(F.sum(F.col("n") * d * d) - F.sum(v), F.sum((F.col("n") - 1) * v))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(1 / (cfg.max_strength + 1))), F.lit(1 / (cfg.min_strength + 1)))
     return groups.where("n > 0").agg((1 / rho - 1).alias("s"))
 
@@ -88,7 +90,7 @@ def host_reputation(outcomes: DataFrame, cfg: ReputationConfig = ReputationConfi
     # Each level's bad and n are kept apart, so a level's evidence enters once.
     base = outcomes.where("bad is not null").select(F.coalesce(bare_host(F.col("host")), F.lit("")).alias("host"), F.col("bad").cast("double").alias("bad"))
     hosts = base.groupBy("host").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
-    hosts = hosts.select("*", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
+    hosts = materialise(hosts, "hosts").select("*", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     top = suffixes.agg(F.sum("bad").alias("b"), F.sum("n").alias("m")).first()  # one row
