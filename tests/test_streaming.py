@@ -63,8 +63,11 @@ def test_sessions(spark, tmp_path):
     m = spark.createDataFrame([("s1", "user", "hi", 15, None), ("s1", "assistant", "ok", None, 0.3), ("s2", "user", "yo", None, None)], "session_id string, role string, content string, min_size int, epsilon double")
     m.coalesce(1).write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema(m.schema).parquet(str(tmp_path / "m"))
-    q = sessions.track_sessions(stream).writeStream.outputMode("update").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = sessions.track_sessions(stream).writeStream.outputMode("update").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if q.awaitTermination(1) or spark.table("s").count():
+            break
+    q.stop()
     out = {r.session_id: r for r in spark.table("s").collect()}
     assert (out["s1"].messages, out["s1"].last_role, out["s1"].min_cluster_size, out["s1"].epsilon) == (2, "assistant", 15, 0.3)
     assert (out["s2"].messages, out["s2"].min_cluster_size) == (1, None)

@@ -24,7 +24,8 @@ SESSION_STATE = "messages long, last_role string, min_cluster_size int, epsilon
 
 def track_sessions(messages: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """messages (session_id, role, content, min_size, epsilon; the last two from functions.intents.parameter): running
-    state of each session. After idle_ms without a message the state is dropped."""
+    state of each session. After idle_ms without a message the state is dropped;
+    such timeouts need batches without data, so run it with a processing-time trigger."""
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
