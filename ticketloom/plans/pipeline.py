@@ -33,7 +33,8 @@ def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringPar
     if config.algorithm not in ALGORITHMS:
         raise ValueError(f"Unsupported clustering algorithm: {config.algorithm}")
     began = time.perf_counter()
-    x = with_embedding(tasks).drop("cluster_id", "cluster_confidence")
+    x = tasks.drop("cluster_id", "cluster_confidence").persist()  # what made the vectors runs once
+    x_all, x = x, with_embedding(x)
     if config.algorithm == "kmeans":
         k = k or kmeans.optimal_k(x, config.max_clusters, seed, method="auto")
         centroids = kmeans.by_size(x, kmeans.fit(x, k, seed, inits), order)
@@ -45,6 +46,7 @@ def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringPar
         got = reports.assignments(hdbscan.assign(x, model), "_label", "_probability").drop("_label", "_probability").persist()
         report = reports.cluster_report(got, order)
     t = reports.totals(got, k).first()
+    x_all.unpersist()
     return ClusteringResult(got, report, t.total_tasks, t.clusters_found, time.perf_counter() - began, k, config)
 
 
