@@ -66,6 +66,23 @@ def test_brute(spark, crowd, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {r.id for r in got if r.id == r.component}
 
 
+@pytest.mark.parametrize("limits", [{"crowd": 4}, {"crowd": 3, "crowd_shingles": 300}, {"crowd_shingles": 150}])
+def test_crowded_is_exact(spark, limits, monkeypatch):
+    """Regions and groups beyond the size of a task lose no pair."""
+    monkeypatch.setattr(_chunks, "CHUNK_BYTES", 5000)
+    rows = list(enumerate(some_texts(4)))
+    x = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash_dedup.near_duplicates(x, minhash_dedup.MinHashConfig(**limits)).collect()
+    want = brute(rows)
+    assert len(got) == len(rows) and [r for r in got if (r.n, r.component) != want[r.id]] == []
+
+
+def test_common():
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(rng.integers(0, 5_000_000, n)).astype(np.uint64) for n in (1_500_000, 3_000_000))
+    assert minhash_dedup.common(a, b) == minhash_dedup.common(b, a) == len(np.intersect1d(a, b))
+
+
 def test_ids_and_empty(spark):
     text = "a b c d e f g h"
     x = spark.createDataFrame([(7, text), (7, text), (3, text + " i"), (None, text), (None, None)], "doc_id long, text string")

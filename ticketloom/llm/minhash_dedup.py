@@ -2,16 +2,17 @@
 
 Texts of equal shingle sets form a class at once. Each class has one signature of `trees * depth` minima. A tree sorts
 the classes by its own rotation of the signature, so classes with a long common prefix are neighbours. The
-candidates of a class are its neighbours in each tree that share a prefix with it: at least `shallow` minima, and
-more where a region of the order is crowded (more than `crowd` classes or `crowd_shingles` shingles share the prefix).
-Only crowded regions are cut deeper, by a ladder of depths, so each region fits into a task. Neighbours whose
-signatures agree in `agree` of their minima tie their classes into candidate groups.
+candidates of a class are all its neighbours that share a prefix of `shallow` minima with it in some tree. A region
+(the classes of one prefix) of more than `crowd` classes is split into parts, and every pair of parts meets in a task of
+its own: no region is cut deeper. Neighbours whose signatures agree in `agree` of their minima tie their classes into
+candidate groups.
 
 The whole sets of a candidate group then meet in one task, where every pair is compared exactly; groups beyond the
-size of a task are compared region by region instead. The links found make the components.
+size of a task (`crowd` classes or `crowd_shingles` shingles) are split into parts that meet in pairs likewise. The
+links found make the components.
 
-What isn't linked: a pair at the threshold shares no region with probability (1 - 0.85**3)**10, about 7e-5; in
-crowded regions deeper prefixes make that likelier for a single pair, while their other neighbours tie them.
+What isn't linked: a pair at the threshold shares no region with probability (1 - 0.85**3)**10, about 7e-5, in regions
+of every size. The work of a region or group grows with the square of its classes, over as many tasks.
 
 Texts are written once, bucketed by chunk, and never shuffled; sets of candidates only are. Classes, keys and edges
 move by their hashes; copies never do.
@@ -141,6 +142,16 @@ def _edges_of_regions(cfg: MinHashConfig):
     return run
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members two sorted sets share; the shorter one is looked up in blocks, nothing is copied whole."""
+    a, b = sorted((a, b), key=len)
+    n = 0
+    for lo in range(0, len(a), 1 << 20):
+        x = a[lo : lo + (1 << 20)]
+        n += int((b[np.minimum(np.searchsorted(b, x), len(b) - 1)] == x).sum())
+    return n
+
+
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of distinct-element sets have 100 * intersection >= percent * union."""
     m = len(sets)
@@ -176,7 +187,7 @@ def _verified(cfg: MinHashConfig):
                     continue
                 sets = [np.frombuffer(raw[a + int(i)].as_buffer(), dtype=U) for i in first]
                 if len(own) == 2:
-                    both = len(np.intersect1d(*sets, assume_unique=True))
+                    both = common(*sets)
                     if 100 * both >= cfg.percent * (len(sets[0]) + len(sets[1]) - both):
                         u.append(own[1:])
                         v.append(own[:1])
@@ -191,32 +202,24 @@ def _verified(cfg: MinHashConfig):
     return run
 
 
+def _in_pairs(df: DataFrame, key: str, cls: str, parts) -> DataFrame:
+    """df with `key` for the task: rows of a key with several parts go to the task of each pair that has their part."""
+    x = df.withColumn("_parts", parts.cast("int")).withColumn("_part", F.pmod(F.xxhash64(cls), "_parts").cast("int"))
+    x = x.withColumn("_other", F.explode(F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda p: (p != F.col("_part")) | (F.col("_parts") == 1))))
+    task = F.xxhash64(key, F.least("_part", "_other"), F.greatest("_part", "_other"))
+    return x.withColumn(key, F.when(F.col("_parts") == 1, F.col(key)).otherwise(task)).drop("_parts", "_part", "_other")
+
+
 def _regions(reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(region, cls, n): classes that share a prefix in a tree, at the depth where they are few enough."""
+    """(region, cls): classes that share a prefix of `shallow` minima in a tree, crowded regions as pairs of parts."""
     width, total = 4 * cfg.depth, 4 * cfg.depth * cfg.trees
-    ladder = [d for d in (cfg.shallow, 5, 8, cfg.depth, 2 * cfg.depth) if cfg.shallow <= d < cfg.depth * cfg.trees] + [cfg.depth * cfg.trees]
-    parts, pending = [], reps.select("cls", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree"))
-    small = (F.col("c") <= cfg.crowd) & (F.col("s") <= cfg.crowd_shingles)
-    for d in ladder:
-        turned = F.concat(F.substring("sig", F.col("tree") * width + 1, total), F.substring("sig", F.lit(1), F.col("tree") * width))
-        rows = pending.select("cls", "n", "tree", F.xxhash64("tree", F.lit(d), F.substring(turned, F.lit(1), F.lit(4 * d))).alias("region"))
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
-        placed = materialise(rows.join(sizes, "region"), "regions")
-        parts.append(placed.where(small).select("region", "cls", "n"))
-        over = placed.where(~small)
-        if over.isEmpty():
-            break
-        pending = over.select("cls", "n", "tree").join(reps.select("cls", "sig"), "cls")
-    else:
-        # Whole signatures agree, and still too many: blocks, each with the region's least class.
-        blocks = F.ceil(F.greatest(F.col("c") / cfg.crowd, F.col("s") / cfg.crowd_shingles)).cast("long")
-        parts.append(over.select(F.xxhash64("region", F.pmod(F.xxhash64("cls"), blocks)).alias("region"), "cls", "n"))
-        hub = over.groupBy("region", "c", "s").agg(F.min(F.struct("cls", "n")).alias("h"))
-        parts.append(hub.select(F.xxhash64("region", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).alias("region"), "h.cls", "h.n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    turned = F.concat(F.substring("sig", F.col("tree") * width + 1, total), F.substring("sig", F.lit(1), F.col("tree") * width))
+    rows = reps.select("cls", "sig", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree"))
+    rows = rows.select("cls", F.xxhash64("tree", F.lit(cfg.shallow), F.substring(turned, F.lit(1), F.lit(4 * cfg.shallow))).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    placed = materialise(rows.join(sizes, "region"), "regions")
+    # Two parts together have `crowd` classes.
+    return _in_pairs(placed, "region", "cls", F.when(F.col("c") <= cfg.crowd, 1).otherwise(F.ceil(2 * F.col("c") / cfg.crowd))).select("region", "cls")
 
 
 def _by(df: DataFrame, key: str) -> DataFrame:
@@ -239,11 +242,9 @@ def _components(chunks: Chunks, id_col: str, cfg: MinHashConfig) -> tuple[DataFr
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     groups = materialise(groups.join(sizes, "root"), "groups")
     fits = (F.col("c") <= cfg.crowd) & (F.col("s") <= cfg.crowd_shingles)
-    wanted = groups.where(fits).select(F.col("root").alias("key"), F.col("node").alias("cls"), "chunk", "no")
-    large = groups.where(~fits)
-    some_large = not large.isEmpty()
-    if some_large:
-        wanted = wanted.unionByName(large.join(regions.select("region", F.col("cls").alias("node")).distinct(), "node").select(F.xxhash64("region").alias("key"), F.col("node").alias("cls"), "chunk", "no"))
+    parts = F.when(fits, 1).otherwise(F.least("c", F.ceil(F.greatest(2 * F.col("c") / cfg.crowd, 2 * F.col("s") / cfg.crowd_shingles))))
+    some_large = not groups.where(~fits).isEmpty()
+    wanted = _in_pairs(groups.withColumnRenamed("root", "key"), "key", "node", parts).select("key", F.col("node").alias("cls"), "chunk", "no")
 
     def fetch(t: pa.Table, w: pa.Table) -> pa.Table:
         w = w.combine_chunks()
