@@ -52,6 +52,17 @@ def test_quality_thresholds(spark):
     assert quality_rules.quality_verdicts(docs(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_groups_decide(spark):
+    """The same rates are judged by what is usual in the group."""
+    plain = " ".join(f"word{j}" for j in range(90))
+    signs, lines, long = " ".join(f"word{j}" + "#" * (j % 2) for j in range(90)), plain + "\nagain" * 2 + "\nother" * 2, " ".join(f"longerwords{j}" for j in range(90))
+    rows = []
+    for source, usual, odd in (("prose", plain, [signs, lines, long]), ("code", signs, [signs]), ("verse", lines, [lines]), ("terms", long, [long])):
+        rows += [(len(rows) + i, t, "en", source) for i, t in enumerate([usual] * 400 + odd)]
+    got = quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").collect()
+    assert sorted(r.doc_id for r in got) == [400, 401, 402]
+
+
 URLS = [
     (1, "http://A.net/x?y"), (2, "https://www.Example.net/en/a#b"), (3, "http://example.com/de/"), (4, "http://q.org/fr/z"), (5, None), (6, "no url"), (7, "http://net"),
     (8, "http://xnet/"), (9, "://good.com"), (10, "http://u:p@bad.com:80/p"), (10, "http://u:p@bad.com:80/p"), (11, "http://a.net/b://c/d"), (12, "http://new.bad.com/"),

@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
 Base counts of each text (words, symbols, repeated lines, repeated three-word windows) become rates. A mergeable
-KLL sketch of each rate is built for each (lang, source); a group's threshold is an outer fence, the upper quartile
-plus `fence` times the spread between the quartiles, at least a floor of the rule. Small groups take the threshold
-of their language, then the one of the whole table, by merging sketches, not by reading the rows again. The
-thresholds are joined to the counts and rows beyond any of them go.
+KLL sketch of each rate is built for each (lang, source); a group's threshold lies beyond an upper quantile of the
+group, by `reach` times the spread from the median to that quantile, and a tenth of the quantile at least. Only where
+nearly all of a group have a rate of zero does a small guard stand in. Small groups take the threshold of their
+language, then the one of the whole table, by merging sketches, not by reading the rows again. The thresholds are
+joined to the counts and rows beyond any of them go.
 
 Defined results:
 - null or empty text: all counts 0, base_failed true (fewer than 50 words).
@@ -35,13 +36,16 @@ _POS_BITS = 24
 class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Upper quartile plus so many interquartile ranges.
-    fence: float = 6.0
+    #: Rate -> (upper quantile, reach): the threshold is the quantile plus `reach` times its distance from the median. Rates
+    #: that sound texts have none of, or within narrow limits, take 0.9, which a tenth of junk can't move.
+    fences: dict = field(default_factory=lambda: {"symbol_rate": (0.9, 1.0), "dup_line_rate": (0.99, 0.25), "repeat_rate": (0.99, 0.5), "long_word": (0.9, 1.5)})
+    #: A threshold is so many times its quantile at least.
+    margin: float = 1.1
     #: A group with fewer rows takes the thresholds of its language, then of all rows.
     min_group: int = 200
     sketch_k: int = 400
-    #: Rate -> least threshold: what is below is never cut, however narrow the group.
-    floors: dict = field(default_factory=lambda: {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.30, "long_word": 14.0})
+    #: Rate -> least threshold, for groups whose quantile is zero.
+    guards: dict = field(default_factory=lambda: {"symbol_rate": 0.01, "dup_line_rate": 0.02, "repeat_rate": 0.02, "long_word": 1.0})
 
 
 def let(value: Column, body) -> Column:
@@ -116,8 +120,9 @@ def adaptive_thresholds(counts: DataFrame, cfg: QualityConfig = QualityConfig())
     def fences(s: DataFrame, to: str) -> list[Column]:
         out = []
         for r in RATES:
-            low, high = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75))
-            out.append(F.greatest(high + cfg.fence * (high - low), F.lit(float(cfg.floors[r]))).alias(r))
+            upper, reach = cfg.fences[r]
+            mid, high = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.5, upper))
+            out.append(F.greatest(high + reach * (high - mid), cfg.margin * high, F.lit(float(cfg.guards[r]))).alias(r))
         return F.struct(F.col("n"), *out).alias(to)
 
     own = sketches.select("lang", "source", fences(sketches, "_own"))
