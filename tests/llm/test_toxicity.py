@@ -53,6 +53,15 @@ def test_learns_and_handles_edges(spark):
     assert toxicity.score_texts(odd.limit(0), model).count() == 0
 
 
+def test_clean_terms_count(spark):
+    """Words that tell of clean texts are in the vectors, so one toxic word among them doesn't decide alone."""
+    x = corpus(spark).withColumn("text", F.when(F.col("toxic") == 0, F.concat("text", F.lit(" calm kind gentle" * 2))).otherwise(F.col("text")))
+    model = toxicity.learn(x, x.select("doc_id", "toxic"))
+    mixed = spark.createDataFrame([(-1, "calm kind gentle " * 6 + "nasty"), (-2, "awful nasty vile")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_texts(mixed, model).collect()}
+    assert got[-1]._toxicity < 0.3 and got[-1]._evidence[0].toxic == 0 and got[-2]._toxicity > 0.7
+
+
 @pytest.mark.parametrize("which", ["none", "one class"])
 def test_without_examples(spark, which):
     x = corpus(spark, 30)

@@ -3,8 +3,8 @@
 A bounded sample of labelled rows (`max_examples`, a uniform one by hash) gives the examples; copies of a text are
 one. Their terms are lower-cased runs of letters and digits, and the first bytes of each, so that inflected forms
 share a term; a term that makes up a larger share of a text's words counts again for each step of `rates` reached.
-Terms that are at least `min_lift` times as frequent in toxic examples as in others, by a chi-square above `min_chi2`,
-make the vocabulary, at most `max_terms`. Document frequencies come from all documents. Vectors are log tf times idf,
+Terms that are at least `min_lift` times as frequent in examples of one class as in those of the other, by a chi-square
+above `min_chi2`, make the vocabulary: terms that tell of toxic texts and terms that tell of clean ones, however many. Document frequencies come from all documents. Vectors are log tf times idf,
 of length 1 within the vocabulary.
 
 The index holds postings by term, cut into blocks of examples, and each block's largest weight of each term. A
@@ -38,7 +38,6 @@ from ticketloom.llm._text import U
 class ToxicityConfig:
     #: Bound of the sample of labelled rows that is learned from.
     max_examples: int = 20000
-    max_terms: int = 4096
     min_df: int = 3
     min_lift: float = 3.0
     min_chi2: float = 12.0
@@ -276,12 +275,12 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
         lift = ((a + 0.5) / (bad + 1)) / ((b + 0.5) / (good + 1))
         df, total = a + b, bad + good
         chi2 = total * (a * good - b * bad) ** 2 / (df * (total - df + 1e-9) * bad * good)
-        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2) & (lift >= cfg.min_lift))
-        picked = picked.orderBy(chi2.desc(), "term").limit(cfg.max_terms).select("term").collect()  # max_terms rows
+        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2) & ((lift >= cfg.min_lift) | (lift <= 1 / cfg.min_lift)))
+        picked = picked.select("term").collect()  # terms of max_examples texts
         vocabulary = np.sort(np.array([r.term for r in picked], dtype=np.int64).view(U))
     df = np.zeros(len(vocabulary) + 1)
     for r in text.select("_text").mapInArrow(_document_frequencies(vocabulary, cfg), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r.term] = r.df  # max_terms rows
+        df[r.term] = r.df  # a row for each term of the vocabulary
     idf = np.log1p(df[-1] / np.maximum(1, df[:-1]))
     vectors = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "_text").mapInArrow(_example_vectors(vocabulary, cfg), "doc_id long, toxic int, terms array<int>, counts array<int>")
     rows = [(r.doc_id, int(r.toxic >= 1), np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in vectors.collect()]  # max_examples rows
@@ -295,7 +294,7 @@ SCORED = "_toxicity double, _evidence array<struct<doc_id:long,similarity:double
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",), keep_text: bool = False) -> DataFrame:
     """keep columns, _toxicity (0 to 1), _evidence (nearest examples) and, if wanted, _text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
+    shared = spark.sparkContext.broadcast(model)  # bounded by the terms of max_examples texts
     x = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))]
     x = x.toDF(*names, "_text")
