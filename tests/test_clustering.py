@@ -122,3 +122,20 @@ def test_centroids(spark):
     c = kmeans.centroid_table(groups(spark).withColumnRenamed("g", "cluster_id")).collect()
     assert len(c) == 4 and all(abs(r.centroid_distance - float(np.linalg.norm(r.centroid))) < 1e-9 for r in c)
     assert spark.range(1).select(vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == 11.0
+
+
+def test_passes_beyond_a_block(spark, monkeypatch):
+    """Silhouette, best k and nearest neighbours need no bound: several passes give what one pass gives."""
+    from ticketloom.plans import pipeline
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, (rng.normal(size=4) + 4 * (i % 3)).tolist()) for i in range(150)] + [(150, 9, [50.0, 0.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, l long, embedding array<double>").repartition(3)
+    v = e.select("l", F.col("embedding").alias("v"))
+    top = lambda block: sorted(map(tuple, pipeline.top_k_in_passes(e.where("vec_id % 2 = 0"), e, 3, block=block).collect()))
+    close = lambda a, b: len(a) == len(b) and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b))
+    one, ones = sorted(map(tuple, kmeans.silhouette_rows(v).collect())), top(1024)
+    monkeypatch.setattr(kmeans, "MAX_EXACT", 40)
+    assert close(sorted(map(tuple, kmeans.silhouette_rows(v).collect())), one)
+    assert close(top(10), ones) and len(ones) == 3 * 76
+    assert kmeans.optimal_k(e.where("l < 9"), 4, method="auto") == 3

@@ -68,42 +68,56 @@ def review(tasks: DataFrame, decisions: DataFrame, key: str = "issue_id") -> Dat
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, id, cosine, rank): exact nearest neighbours of a stated set of queries, at most `block` of them.
+    """top_k_in_passes() in a single pass; more than `block` queries are an error."""
+    if queries.where(F.col(vector).isNotNull()).limit(block + 1).count() > block:
+        raise ValueError(f"more than {block} queries: use top_k_in_passes")
+    return top_k_in_passes(queries, vectors, k, id_col, vector, block)
 
-    The queries go into the tasks as a matrix; each task sends its own k best, so k rows a query and task are shuffled.
+
+def top_k_in_passes(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, id, cosine, rank): exact nearest neighbours of a stated set of queries, about `block` of them in a pass.
+
+    A block of queries goes into the tasks as a matrix; each task sends its own k best, so k rows a query and task are shuffled.
     """
     import numpy as np
     import pyarrow as pa
 
     from ticketloom.operators.prepare import top_per_group
 
-    rows = queries.select(F.col(id_col).alias("i"), F.col(vector).alias("v")).where("v is not null").limit(block + 1).collect()
-    if len(rows) > block:
-        raise ValueError(f"more than {block} queries: pass them in blocks")
-    if not rows:
+    wanted = queries.select(F.col(id_col).alias("i"), F.col(vector).alias("v")).where("v is not null")
+    passes = -(-wanted.count() // block)
+    if not passes:
         return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    q = np.array([r.v for r in rows], dtype=np.float64)
-    q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-    ids = np.array([r.i for r in rows], dtype=np.int64)
-
-    def run(batches):
-        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
-        for b in batches:
-            keep = np.array([v is not None for v in b.column(1).to_pylist()])
-            own = b.column(0).to_numpy()[keep]
-            p = np.array([v for v in b.column(1).to_pylist() if v is not None], dtype=np.float64).reshape(len(own), -1)
-            if not len(own):
-                continue
-            p /= np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
-            s = q @ p.T
-            for i in range(len(q)):
-                other = own != ids[i]
-                score, who = np.concatenate([best[i][0], s[i][other]]), np.concatenate([best[i][1], own[other]])
-                at = np.lexsort((who, -score))[:k]
-                best[i] = (score[at], who[at])
-        yield pa.record_batch([pa.array(np.repeat(ids, [len(x) for x, _ in best])), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([x for x, _ in best]))], ["query_id", "id", "cosine"])
-
-    x = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(run, "query_id long, id long, cosine double")
+
+    def nearest(q, ids):
+        def run(batches):
+            best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+            for b in batches:
+                keep = np.array([v is not None for v in b.column(1).to_pylist()])
+                own = b.column(0).to_numpy()[keep]
+                p = np.array([v for v in b.column(1).to_pylist() if v is not None], dtype=np.float64).reshape(len(own), -1)
+                if not len(own):
+                    continue
+                p /= np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
+                s = q @ p.T
+                for i in range(len(q)):
+                    other = own != ids[i]
+                    score, who = np.concatenate([best[i][0], s[i][other]]), np.concatenate([best[i][1], own[other]])
+                    at = np.lexsort((who, -score))[:k]
+                    best[i] = (score[at], who[at])
+            yield pa.record_batch([pa.array(np.repeat(ids, [len(x) for x, _ in best])), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([x for x, _ in best]))], ["query_id", "id", "cosine"])
+
+        return run
+
+    x = None
+    for n in range(passes):
+        rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()  # about `block` rows
+        if not rows:
+            continue
+        q = np.array([r.v for r in rows], dtype=np.float64)
+        q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+        part = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(nearest(q, np.array([r.i for r in rows], dtype=np.int64)), "query_id long, id long, cosine double")
+        x = part if x is None else x.unionByName(part)
     from pyspark.sql import Window
 
     ranked = top_per_group(x, "query_id", k, F.desc("cosine"), "id")

@@ -155,7 +155,7 @@ def q14_point_confidence(spark, sf_dir):
 def q15_cosine_topk(spark, sf_dir):
     """The queries are the vectors whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
-    return pipeline.cosine_top_k(e.where(F.col("vec_id") % 20 == 0), e, 5).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+    return pipeline.top_k_in_passes(e.where(F.col("vec_id") % 20 == 0), e, 5).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def q16_nearest_centroid(spark, sf_dir):
