@@ -1,5 +1,10 @@
 """Toxicity: exact neighbours against brute force, edge cases, held-out accuracy."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +81,70 @@ def test_held_out(spark):
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit / (got.predicted == 1).sum() > 0.95 and hit / (got.toxic == 1).sum() > 0.85
     assert ((got.score >= 0.7) == (got.predicted == 1)).all()
+
+
+def terms_of(text, cfg):
+    """Terms and counts in plain Python."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    n = Counter(("word", w) for w in words)
+    n += Counter(("begins", w[:k]) for w in words for k in cfg.prefix_bytes if len(w) > k)
+    return n + Counter((r, *t) for t, c in n.items() for r in cfg.rates if c / len(words) >= r)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_by_brute_force(spark, sf):
+    """Scores and evidence of the query against dense loops over every example."""
+    where = SF.replace("0.001", sf)
+    cfg = toxicity.ToxicityConfig()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{where}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    first = {}
+    for i in sorted(labels):
+        first.setdefault((texts[i], labels[i]), i)
+    examples = sorted(first.values())
+    aside = {r.id for r in spark.createDataFrame([(i,) for i in examples], "id long").where(F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(cfg.folds)) == 0).collect()}
+    terms = {i: terms_of(t, cfg) for i, t in texts.items()}
+    choosing = [i for i in examples if i not in aside]
+    bad, good = (sum(labels[i] == y for i in choosing) for y in (1, 0))
+    a, b = (Counter(t for i in choosing if labels[i] == y for t in terms[i]) for y in (1, 0))
+    df = Counter(t for i in texts for t in terms[i])
+    n = bad + good
+    chi2 = {t: n * (a[t] * good - b[t] * bad) ** 2 / (k * (n - k + 1e-9) * bad * good) for t in a | b if (k := a[t] + b[t]) >= cfg.min_df}
+    idf = {t: math.log1p(len(texts) / df[t]) for t, x in chi2.items() if x >= (cfg.min_chi2 if df[t] <= max(cfg.max_df * len(texts), cfg.min_df) else cfg.common_chi2)}
+
+    def vector(i):
+        w = {t: (1 + math.log(c)) * idf[t] for t, c in terms[i].items() if t in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    vectors = {i: vector(i) for i in texts}
+    base = (sum(labels[i] for i in examples) + 0.5) / (len(examples) + 1)
+    empty = [labels[i] for i in examples if not vectors[i]]
+
+    def nearest(i, skip=None):
+        sims = [sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items()) for e in examples if e != skip]
+        return sorted(((s, labels[e]) for s, e in zip(sims, (e for e in examples if e != skip)) if s > 0), key=lambda x: -x[0])
+
+    def vote(found):
+        top = found[: cfg.k]
+        return (sum(s * y for s, y in top) + cfg.prior * base) / (sum(s for s, _ in top) + cfg.prior) if top else base
+
+    held = [(vote(nearest(i, i)), labels[i]) for i in examples if i in aside and vectors[i]]
+    knots = toxicity.isotonic(held) or toxicity.isotonic([(vote(nearest(i, i)), labels[i]) for i in examples if vectors[i]])
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, where).collect()}
+    assert got.keys() == texts.keys()
+    some = list(texts) if len(texts) < 500 else list(texts)[::5]
+    compared = 0
+    for i in some:
+        found = nearest(i)
+        if not vectors[i]:
+            want = (sum(empty) + base) / (len(empty) + 1)
+        elif len(found) > cfg.k and found[cfg.k - 1][0] - found[cfg.k][0] < 1e-9:
+            continue  # a tie at the k-th place may go either way
+        else:
+            v = vote(found)
+            want = 0.9 * float(np.interp(v, *knots)) + 0.1 * v if knots else v
+        compared += 1
+        assert got[i].score == pytest.approx(want, abs=1e-9), i
+        assert np.allclose([e.similarity for e in got[i].evidence], [s for s, _ in found[: cfg.evidence]]), i
+    assert compared > 0.8 * len(some)

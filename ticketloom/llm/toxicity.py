@@ -3,15 +3,17 @@
 A bounded sample of labelled rows (`max_examples`, a uniform one by hash) gives the examples; copies of a text are
 one. Their terms are lower-cased runs of letters and digits, and the first bytes of each, so that inflected forms
 share a term; a term that makes up a larger share of a text's words counts again for each step of `rates` reached.
-Terms that are at least `min_lift` times as frequent in examples of one class as in those of the other, by a chi-square
-above `min_chi2`, make the vocabulary: terms that tell of toxic texts and terms that tell of clean ones, however many. Document frequencies come from all documents. Vectors are log tf times idf,
-of length 1 within the vocabulary.
+Terms in `min_df` examples or more whose split over the classes has a chi-square of `min_chi2` or more make the
+vocabulary, whichever class they tell of and however many they are; of terms that more than `max_df` of all documents
+hold, only those with `common_chi2`. So words that fall alike on both classes are left out. Document frequencies come from all documents. Vectors are log tf times idf, of length 1 within the
+vocabulary.
 
-The index holds postings by term, cut into blocks of examples, and each block's largest weight of each term. A
-query's bound for a block is the dot product with these maxima. Blocks are scored exactly from the largest bound
+The index holds postings by term, cut into blocks of examples, and each block's largest weight of each term it holds.
+A query's bound for a block is the dot product with these maxima. Blocks are scored exactly from the largest bound
 down, until the k-th best cosine is no less than the next bound: the k nearest are exact. Votes are weighted by
-similarity, shrunk to the base rate, and mapped by a monotone fit of the examples' own votes (each left out) to a
-calibrated score. The evidence lists the nearest examples.
+similarity, shrunk to the base rate, and mapped by a monotone fit to a calibrated score. One example in `folds` is
+kept from choosing the vocabulary, and the fit is made of these examples' votes, each without itself (of all
+examples' votes where those kept lack a class). The evidence lists the nearest examples.
 
 Labels are read only to learn; scores depend on the text alone.
 
@@ -39,12 +41,17 @@ class ToxicityConfig:
     #: Bound of the sample of labelled rows that is learned from.
     max_examples: int = 20000
     min_df: int = 3
-    min_lift: float = 3.0
-    min_chi2: float = 12.0
+    #: About the 11 % level of significance.
+    min_chi2: float = 2.5
+    #: Terms of a larger share of all documents must be telling at the 0.1 % level.
+    max_df: float = 0.05
+    common_chi2: float = 10.83
+    #: One example in so many calibrates and doesn't choose terms.
+    folds: int = 4
     prefix_bytes: tuple = (4, 5, 6, 7)
     rates: tuple = (0.004, 0.008, 0.012)
     k: int = 25
-    block: int = 64
+    block: int = 512
     #: Pseudo-votes of the base rate.
     prior: float = 0.5
     threshold: float = 0.7
@@ -138,11 +145,11 @@ def _example_vectors(vocabulary: np.ndarray, cfg: ToxicityConfig):
     def run(batches):
         sieve = _sieve(vocabulary)
         for b in batches:
-            for lo, data, offsets in _text.chunks(b.column(2)):
+            for lo, data, offsets in _text.chunks(b.column(3)):
                 doc, term, n = _sparse(vocabulary, sieve, data, offsets, cfg)
                 at = np.searchsorted(doc, np.arange(len(offsets)))
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (term, n)]
-                yield pa.record_batch([b.column(0).slice(lo, len(at) - 1), b.column(1).slice(lo, len(at) - 1), *lists], ["doc_id", "toxic", "terms", "counts"])
+                yield pa.record_batch([*(b.column(i).slice(lo, len(at) - 1) for i in range(3)), *lists], ["doc_id", "toxic", "aside", "terms", "counts"])
 
     return run
 
@@ -153,8 +160,8 @@ class BlockMaxIndex:
     def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, cfg: ToxicityConfig):
         self.idf, self.k, self.block = idf, cfg.k, cfg.block
         filled = [r for r in rows if len(r[2])]
-        # Examples that share their heaviest term lie together, which makes the bounds of blocks tight.
-        filled.sort(key=lambda r: (int(r[2][np.argmax(idf[r[2]])]), r[1], r[0]))
+        # Examples of one language share their most common term, so they lie together and others' blocks have low bounds.
+        filled.sort(key=lambda r: (int(r[2][np.argmin(idf[r[2]])]), r[1], r[0]))
         self.ids = np.array([r[0] for r in filled], dtype=np.int64)
         self.toxic = np.array([r[1] for r in filled], dtype=np.float64)
         n, v = len(filled), len(idf)
@@ -162,13 +169,18 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(n), [len(r[2]) for r in filled]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([self.weights(r[2], r[3]) for r in filled]) if n else np.zeros(0)
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
         self.n_blocks = -(-n // self.block) if n else 0
-        self.maxima = np.zeros((v, self.n_blocks))
-        np.maximum.at(self.maxima, (term, example // self.block), weight)
-        # First posting of each term in each block.
-        code = term[order].astype(np.int64) * self.n_blocks + self.example // self.block
-        self.first = np.searchsorted(code, np.arange(v * self.n_blocks + 1))
+        # A cell is a term in a block that holds it: its block, its largest weight, its first posting.
+        block = self.example // self.block
+        self.slot = self.example % self.block
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.cell_block = block[at].astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.cell_first = np.append(at, len(term)).astype(np.int32)
+        self.first_cell = np.searchsorted(term[at], np.arange(v + 1)).astype(np.int32)
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -178,34 +190,47 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, those with a cosine of 0 left out."""
         q = self.weights(terms, counts)
-        bounds = q @ self.maxima[terms]
+        first = self.first_cell[terms]
+        n = self.first_cell[terms + 1] - first
+        cell = _ranges(first, n)
+        block, weight = self.cell_block[cell], np.repeat(q, n)
+        bounds = np.bincount(block, weights=weight * self.cell_max[cell], minlength=self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
+        rank = np.full(self.n_blocks, len(order))
+        rank[order] = np.arange(len(order))
+        turn = rank[block].astype(np.int16 if self.n_blocks < 1 << 15 else np.int64)  # short numbers sort by radix
+        by_turn = np.argsort(turn, kind="stable")
+        cell, weight, turn = cell[by_turn], weight[by_turn], turn[by_turn]
         at, sim = np.zeros(0, np.int64), np.zeros(0)
-        base = terms.astype(np.int64) * self.n_blocks
-        i, step = 0, 4
+        i, step = 0, 16
         while i < len(order) and not (len(sim) == self.k and sim[-1] >= bounds[order[i]] + 1e-12):
-            blocks = order[i : i + step]
-            cell = (base[:, None] + blocks[None, :]).ravel()
-            first = self.first[cell]
-            n = self.first[cell + 1] - first
-            upto = np.cumsum(n)
-            posting = np.repeat(first - (upto - n), n) + np.arange(upto[-1])
-            place = np.empty(self.n_blocks, np.int64)
-            place[blocks] = np.arange(len(blocks))
-            example = self.example[posting]
-            local = place[example // self.block] * self.block + example % self.block
-            got = np.bincount(local, weights=np.repeat(np.repeat(q, len(blocks)), n) * self.weight[posting], minlength=len(blocks) * self.block)
-            hit = np.flatnonzero(got > 0)
-            who = blocks[hit // self.block] * self.block + hit % self.block
+            lo, hi = np.searchsorted(turn, [i, i + step])
+            posts = self.cell_first[cell[lo:hi]]
+            m = self.cell_first[cell[lo:hi] + 1] - posts
+            posting = _ranges(posts, m)
+            local = np.repeat((turn[lo:hi].astype(np.int32) - i) * self.block, m) + self.slot[posting]
+            got = np.bincount(local, weights=np.repeat(weight[lo:hi], m) * self.weight[posting])
+            # Only what may be among the best is sorted: one more than k, should `skip` be among them.
+            hit = np.flatnonzero(got >= sim[-1] if len(sim) == self.k else got > 0)
+            if len(hit) > self.k + 1:
+                own = got[hit]
+                hit = hit[own >= np.partition(own, -self.k - 1)[-self.k - 1]]
+            who = order[i + hit // self.block] * self.block + hit % self.block
             keep = who != skip
             at, sim = np.concatenate([at, who[keep]]), np.concatenate([sim, got[hit[keep]]])
             best = np.lexsort((at, -sim))[: self.k]
             at, sim = at[best], sim[best]
-            i, step = i + step, 2 * step
+            i, step = i + step, 4 * step
         return at, sim
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), then those from first[1], and so on."""
+    upto = np.cumsum(n)
+    return np.repeat((first - (upto - n)).astype(np.int32), n) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+
+
 class Model:
     """vocabulary, index, base rates and calibration; small by the bounds of the configuration."""
 
@@ -219,8 +244,8 @@ class Model:
         self.index = BlockMaxIndex(rows, idf, cfg)
         self.knots = None
         order = {int(d): i for i, d in enumerate(self.index.ids)}
-        votes = [(self.vote(*self.index.nearest(r[2], r[3], order[int(r[0])])), r[1]) for r in rows if len(r[2])]
-        self.knots = isotonic(votes)
+        votes = lambda some: isotonic([(self.vote(*self.index.nearest(r[2], r[3], order[int(r[0])])), r[1]) for r in some if len(r[2])])
+        self.knots = votes([r for r in rows if r[4]]) or votes(rows)
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         if not len(at):
@@ -264,26 +289,30 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
     examples = text.join(F.broadcast(sample), F.col("_id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("_text").alias("_text"))
     # Copies of a text are one example, so they neither outvote others nor make its words telling.
     examples = examples.groupBy("_text", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    examples = materialise(examples, "examples")
-    n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    examples = materialise(examples.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(cfg.folds)) == 0), "examples")
+    choosing = examples.where("not aside")
+    n = {r.toxic: r.n for r in choosing.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     bad, good = float(sum(v for k, v in n.items() if k >= 1)), float(sum(v for k, v in n.items() if k < 1))
-    counts = examples.select("_text", (F.col("toxic") >= 1).cast("double").alias("y")).mapInArrow(_term_counts(cfg), "term long, bad long, good long")
+    counts = choosing.select("_text", (F.col("toxic") >= 1).cast("double").alias("y")).mapInArrow(_term_counts(cfg), "term long, bad long, good long")
     counts = counts.groupBy("term").agg(F.sum("bad").alias("a"), F.sum("good").alias("b"))
-    vocabulary = np.zeros(0, dtype=U)
+    vocabulary, sure = np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
     if bad and good:
         a, b = F.col("a"), F.col("b")
-        lift = ((a + 0.5) / (bad + 1)) / ((b + 0.5) / (good + 1))
         df, total = a + b, bad + good
         chi2 = total * (a * good - b * bad) ** 2 / (df * (total - df + 1e-9) * bad * good)
-        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2) & ((lift >= cfg.min_lift) | (lift <= 1 / cfg.min_lift)))
-        picked = picked.select("term").collect()  # terms of max_examples texts
-        vocabulary = np.sort(np.array([r.term for r in picked], dtype=np.int64).view(U))
+        picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2))
+        picked = picked.select("term", (chi2 >= cfg.common_chi2).alias("sure")).toPandas()  # terms of max_examples texts
+        vocabulary = picked["term"].to_numpy(dtype=np.int64).view(U)
+        order = np.argsort(vocabulary)
+        vocabulary, sure = vocabulary[order], picked["sure"].to_numpy(dtype=bool)[order]
     df = np.zeros(len(vocabulary) + 1)
     for r in text.select("_text").mapInArrow(_document_frequencies(vocabulary, cfg), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df  # a row for each term of the vocabulary
+    stays = sure | (df[:-1] <= max(cfg.max_df * df[-1], cfg.min_df))
+    vocabulary, df = vocabulary[stays], np.append(df[:-1][stays], df[-1])
     idf = np.log1p(df[-1] / np.maximum(1, df[:-1]))
-    vectors = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "_text").mapInArrow(_example_vectors(vocabulary, cfg), "doc_id long, toxic int, terms array<int>, counts array<int>")
-    rows = [(r.doc_id, int(r.toxic >= 1), np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in vectors.collect()]  # max_examples rows
+    vectors = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "aside", "_text").mapInArrow(_example_vectors(vocabulary, cfg), "doc_id long, toxic int, aside boolean, terms array<int>, counts array<int>")
+    rows = [(r.doc_id, int(r.toxic >= 1), np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64), r.aside) for r in vectors.collect()]  # max_examples rows
     rows.sort(key=lambda r: r[0])
     return Model(cfg, vocabulary, idf, rows)
 
