@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 1024."""
-    return packing.pack_documents(docs, queries.vocabulary(), end_id=2, capacity=1024)
+    return packing.pack_documents(docs, queries.vocabulary("json"), end_id=2, capacity=1024)
 
 
 STAGES = [

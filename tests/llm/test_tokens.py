@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,47 @@ def test_random_strings(library):
             assert ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(texts[lo + k] or "")
 
 
+def pieces_of_json(texts):
+    e = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for lo, data, offsets in _text.chunks(pa.array(texts)):
+        ids, at = e.encode(data, offsets)
+        for k in range(len(at) - 1):
+            yield texts[lo + k], ids[at[k] : at[k + 1]].tolist(), e.decode(ids[at[k] : at[k + 1]]).tobytes()
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 40])
+def test_tokenizer_file(monkeypatch, chunk):
+    """Ids of the tokenizer file, added tokens included: at the ends, in a row, by blanks, cut short, across texts."""
+    monkeypatch.setattr(_text, "CHUNK_BYTES", chunk)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(1)
+    end = "<|endoftext|>"
+    parts = [end, " ", "  ", "word", "é", "<|endof", "text|>", "'s", "\n", "<|", "endoftext|>", "12"]
+    texts = [None, "", end, f"hello {end} world", end * 3, f"{end}a", f"a{end}", f" {end} ", "<|endof", "text|>", end[:-1], f"x{end}{end[:-1]}"]
+    texts += ["".join(random.choices(parts, k=random.randint(0, 9))) for _ in range(3000)]
+    for text, ids, back in pieces_of_json(texts):
+        assert ids == t.encode(text or "", add_special_tokens=False).ids, text
+        assert back == (text or "").encode()
+
+
+def test_long_pieces(library, monkeypatch):
+    """Pieces beyond a matrix: equal to the library's and to the matrix's own, in about linear time."""
+    random.seed(2)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[:k], k=n)) for k, n in ((2, 700), (26, 5000), (52, 20000), (1, 999), (5, 513))]
+    monkeypatch.setattr(bpe, "WIDEST", 40)
+    texts += ["".join(random.choices("etaoins", k=random.randint(1, 90))) for _ in range(300)]
+    e = bpe.Encoder(RANKS)
+    for lo, data, offsets in _text.chunks(pa.array(texts)):
+        ids, at = e.encode(data, offsets)
+        for k in range(len(at) - 1):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(texts[lo + k])
+    assert list(pieces_of_json(texts[:4])) == [(x, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False).ids, x.encode()) for x in texts[:4]]
+    began = time.perf_counter()
+    data = np.frombuffer("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20)).encode(), dtype=np.uint8)
+    ids, _ = e.encode(data, np.array([0, len(data)]))
+    assert e.decode(ids).tobytes() == data.tobytes() and time.perf_counter() - began < 30
+
+
 def test_small_cache(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_PIECES", 50)
     monkeypatch.setattr(_text, "CHUNK_BYTES", 64)

@@ -3,18 +3,27 @@
 Texts are cut by the character classes of the published pattern ('s|'t|...| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|
 \\s+(?!\\S)|\\s+) with array operations over code points. Distinct pieces that are not known yet are merged in padded
 matrices, one for each byte length: each round every row merges its leftmost pair of least rank, pairs are found in a
-hash table of (left, right) -> rank, and rows without a mergeable pair leave the matrix. Pieces are kept in a bounded
-hash table by worker (`MAX_PIECES`); when it is full it is emptied, which costs time and changes no result.
-
-Defined results: null text encodes as empty (0 tokens, hashes of nothing); ties of rank go to the left; strings of
-special tokens in a text are ordinary text; repeated rows and empty tables need nothing special. A single piece of
-L bytes costs O(L) a round. Pieces are told apart by two independent hashes of 64 bits together.
+hash table of (left, right) -> rank, and rows without a mergeable pair leave the matrix. A row of L bytes costs O(L) a
+round, so pieces of more than `WIDEST` bytes (runs of base64, say) are merged one at a time from a heap of pairs
+instead, in the same order, by O(L log L). Pieces are kept in a bounded hash table by worker (`MAX_PIECES`); when it is
+full it is emptied, which costs time and changes no result.
+
+A vocabulary is a rank file (.tiktoken: every pair that makes a token merges, strings of special tokens are ordinary
+text) or a tokenizer file (.json: the merges it lists, and its added tokens are cut out of texts first and stand for
+themselves).
+
+Defined results: null text encodes as empty (0 tokens, hashes of nothing); ties of rank go to the left; repeated rows
+and empty tables need nothing special; very long texts and pieces are encoded whole. Columns other than id and text
+are not read. Pieces are told apart by a 64-bit hash, their length and their end bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +33,8 @@ from ticketloom.llm import _text
 from ticketloom.llm._text import U
 
 MAX_PIECES = 1 << 20
+#: Bytes of a piece that is merged in a matrix.
+WIDEST = 512
 _NONE = np.int32(2**31 - 1)
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -77,25 +88,54 @@ def character_classes() -> np.ndarray:
     return out
 
 
+def letters_of_bytes() -> list[str]:
+    """The character that stands for each byte in a byte-level tokenizer file: printable ones for themselves, the others
+    for code points from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(i if i in shown else next(other)) for i in range(256)]
+
+
+def read_ranks(path: str):
+    """(token -> id, (left id, right id, id) of the pairs that merge, whether a piece that is a token is taken whole, added
+    tokens). Ids are in the order of merging."""
+    with open(path, "rb") as f:
+        if not path.endswith(".json"):
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            return ranks, [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], True, {}
+        spec = json.load(f)
+    added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+    if spec["normalizer"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("tokenizer files that normalize texts or widen added tokens are not supported")
+    byte = {c: i for i, c in enumerate(letters_of_bytes())}
+    raw = lambda token: bytes(byte[c] for c in token)
+    vocabulary, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    ranks = {raw(t): i for t, i in vocabulary.items() if i not in added.values()}
+    pairs = [(vocabulary[x], vocabulary[y], vocabulary[x + y]) for x, y in merges]
+    if any(p[2] >= q[2] for p, q in zip(pairs, pairs[1:])):
+        raise ValueError("the ids of this file are not in the order of its merges")
+    return ranks, pairs, bool(spec["model"].get("ignore_merges")), added
+
+
 class Encoder:
-    """Encodes and decodes with the ranks of a .tiktoken file."""
+    """Encodes and decodes with the vocabulary of a .tiktoken or tokenizer .json file."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks, pairs, take_whole, self.added = read_ranks(path)
         self.classes = character_classes()
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(20)
-        self.pairs.put(np.array([p for p, _ in pairs], dtype=U) + U(1), np.array([r for _, r in pairs], dtype=np.int32))
-        n = max(ranks.values()) + 1
-        by_id = [b""] * n
-        for t, r in ranks.items():
+        left, right, rank = np.array(pairs, dtype=np.int64).T
+        self.pairs.put((left << 32 | right).astype(U) + U(1), rank.astype(np.int32))
+        by_id = [b""] * (max([*ranks.values(), *self.added.values()]) + 1)
+        for t, r in [*ranks.items(), *self.added.items()]:
             by_id[r] = t
         self.token_len = np.array(list(map(len, by_id)), dtype=np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
-        self.whole = ranks
+        self.whole = ranks if take_whole else {}
+        self.rank_of = {(x << 32 | y): r for x, y, r in pairs}
+        self.cuts = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.forget()
 
     def forget(self) -> None:
@@ -182,9 +222,52 @@ class Encoder:
         keep = np.arange(width) < length[:, None]
         return out[keep], length
 
+    def _merge_long(self, row: np.ndarray) -> np.ndarray:
+        """The ids of one row of byte values; pairs leave a heap by rank and place."""
+        ids = self.byte_ids[row]
+        rank = self.pairs.get(((ids[:-1].astype(np.int64) << 32) | ids[1:].astype(np.int64)).astype(U) + U(1))
+        at = np.flatnonzero(rank != _NONE)
+        heap = ((rank[at].astype(np.int64) << 32) | at).tolist()
+        heapq.heapify(heap)
+        n = len(ids)
+        ids, rank = ids.tolist(), rank.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank.append(int(_NONE))
+        rank_of, none, place = self.rank_of, int(_NONE), (1 << 32) - 1
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            x = pop(heap)
+            i, r = x & place, x >> 32
+            if rank[i] != r:
+                continue  # merged or changed since
+            j = after[i]
+            ids[i], ids[j], rank[j] = r, -1, none
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                rank[i] = new = rank_of.get(r << 32 | ids[k], none)
+                if new != none:
+                    push(heap, new << 32 | i)
+            else:
+                rank[i] = none
+            h = before[i]
+            if h >= 0:
+                rank[h] = new = rank_of.get(ids[h] << 32 | r, none)
+                if new != none:
+                    push(heap, new << 32 | h)
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, check: np.ndarray) -> None:
         size = ends - starts
+        for g in np.flatnonzero(size > WIDEST).tolist():
+            ids = self._merge_long(data[starts[g] : ends[g]])
+            if len(ids) > 1 and size[g] <= self.token_len.max() and (t := self.whole.get(data[starts[g] : ends[g]].tobytes())) is not None:
+                ids = np.array([t], dtype=np.int32)
+            self._store(hashes[g : g + 1], check[g : g + 1], ids, np.array([len(ids)]))
         order = np.argsort(size, kind="stable")
+        order = order[: np.searchsorted(size[order], WIDEST, side="right")]
+        if not len(order):
+            return
         cuts = np.flatnonzero(np.diff(size[order])) + 1
         for group in np.split(order, cuts):
             width = int(size[group[0]])
@@ -194,7 +277,7 @@ class Encoder:
                 rows = data[starts[g][:, None] + np.arange(width)]
                 ids, n = self._merge(rows)
                 # A piece that is itself a token is that token, even where merging would end elsewhere.
-                if width <= 128 and (many := np.flatnonzero(n > 1)).size:
+                if self.whole and width <= self.token_len.max() and (many := np.flatnonzero(n > 1)).size:
                     at = np.concatenate([[0], np.cumsum(n)])
                     keep = np.ones(len(ids), dtype=bool)
                     for k in many:
@@ -218,8 +301,41 @@ class Encoder:
         self.known.put(hashes, np.arange(a, b, dtype=np.int32))
         self.n_known = b
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the added tokens in each text, leftmost first."""
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return []
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            out += [(a + m.start(), a + m.end(), self.added[m.group()]) for m in self.cuts.finditer(raw[a:b])]
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (n + 1)."""
+        found = self._added(data, offsets) if self.added else []
+        if not found:
+            return self._encode(data, offsets)
+        # What is between added tokens is encoded as texts of its own, each added token as an empty one and its id.
+        start, end, own = (np.array(x, dtype=np.int64) for x in zip(*found))
+        cut = np.ones(len(data), dtype=bool)
+        for a, b in zip(start.tolist(), end.tolist()):
+            cut[a:b] = False
+        upto = np.concatenate([[0], np.cumsum(cut)])
+        edges = np.concatenate([offsets, start, end])
+        # Of equal places a text's end comes first, so that an added token belongs to the text it is in.
+        kind = np.concatenate([np.zeros(len(offsets), np.int64), np.full(len(start), 1), np.full(len(end), 2)])
+        order = np.lexsort((np.where(kind == 2, 0, kind + 1), edges))
+        ids, at = self._encode(data[cut], upto[edges[order]])
+        place = np.empty(len(edges), np.int64)
+        place[order] = np.arange(len(edges))
+        where = at[place[len(offsets) : len(offsets) + len(start)]]
+        ids = np.insert(ids, where, own)
+        text_at = at[place[: len(offsets)]]
+        in_text = np.searchsorted(start, offsets, side="left")
+        return ids, text_at + in_text
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds, first = self.pieces(data, offsets)
         starts, ends = bounds[:-1], bounds[1:]
         if not len(starts):

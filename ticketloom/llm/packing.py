@@ -9,7 +9,8 @@ in one task.
 
 Defined results: a null or empty text is one piece of just the end token. A document longer than the capacity is cut
 into pieces of full capacity, the first of which may be shorter. Repeated rows are packed each for itself. An empty
-table gives no pieces. Ties in length are numbered in any order. Columns other than id and text are not read.
+table gives no pieces. Ties in length are numbered in any order. Very long texts are encoded whole. A null id is an id
+like any other. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """The pieces of each document; nth counts the pieces of one length within one task. With ids as little-endian
-    unsigned 32-bit integers, if wanted. `vocabulary` is the rank file; its ids are those of the same vocabulary's
-    tokenizer file."""
+    unsigned 32-bit integers, if wanted. `vocabulary` is a tokenizer file (its added tokens count) or a rank file."""
 
     def run(batches):
         e = encoder(vocabulary)

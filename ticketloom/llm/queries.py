@@ -8,15 +8,15 @@ from ticketloom.llm import bpe, embedding_dedup, language_id, minhash_dedup, pac
 from ticketloom.llm._store import read_table
 
 
-def vocabulary() -> str:
-    """The installed rank file of the byte-level vocabulary."""
+def vocabulary(kind: str = "tiktoken") -> str:
+    """The installed rank file (tiktoken) or tokenizer file (json) of the byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, capacity=1024, with_ids=False)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("json"), end_id=2, capacity=1024, with_ids=False)
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
