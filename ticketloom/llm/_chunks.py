@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ticketloom.llm._store import arrow_rows, shared_dir
+from ticketloom.llm._store import arrow_rows, remember, remove_path, shared_dir
 
 CHUNK_BYTES = 4 << 20
 
@@ -55,7 +55,7 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, text_col: str, chunk_bytes: int | None = None):
         spark = docs.sparkSession
-        chunk_bytes = chunk_bytes or CHUNK_BYTES
+        self.chunk_bytes = chunk_bytes = chunk_bytes or CHUNK_BYTES
         rest = [c for c in docs.columns if c != text_col]
         x = docs.select((F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))).alias("_rest"), F.col(text_col).cast("string").alias("_text"))
         schema = x.select("*", F.lit(0).cast("long").alias("_chunk"), F.lit(0).alias("_no")).schema
@@ -85,6 +85,13 @@ class Chunks:
         with arrow_rows(spark, 1000):
             x.mapInArrow(number, schema).write.bucketBy(self.n, "_chunk").option("path", f"{shared_dir(spark)}/{self.name}").option("compression", "zstd").saveAsTable(self.name)
         self.table, self.rest, self.text_col, self.columns = spark.table(self.name), rest, text_col, docs.columns
+        remember(self.name, self.discard)
+
+    def discard(self) -> None:
+        """Drop the table and its files, once nothing reads them any more."""
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(spark, f"{shared_dir(spark)}/{self.name}")
 
     def original(self, text=None) -> list:
         """The columns as they came, for a select; text: what takes the text's place."""

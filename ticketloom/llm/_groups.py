@@ -38,3 +38,22 @@ def spanning(links: np.ndarray) -> np.ndarray:
             front = np.flatnonzero(links[front].any(axis=0) & ~inside)
         root[inside] = i
     return root
+
+
+def reached(n: int, linked) -> np.ndarray:
+    """Each of n members' first member that it is connected to. linked(i, rest): which of `rest`, in order, i has a link to;
+    it is asked for each member once, about those that nothing has reached yet."""
+    root, left = np.arange(n), np.ones(n, dtype=bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
+        while todo:
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return root
+            hit = rest[linked(todo.pop(), rest)]
+            left[hit] = False
+            root[hit] = start
+            todo += hit.tolist()
+    return root

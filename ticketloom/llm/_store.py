@@ -46,16 +46,51 @@ def materialise(df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
+    remember(path, lambda: remove_path(df.sparkSession, path))
     return out
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_table_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        for scope in _SCOPES:
+            scope.pop(path, None)
+        remove_path(df.sparkSession, path)
+
+
+_SCOPES: list[dict] = []
+
+
+def remember(name: str, drop) -> None:
+    """drop() takes away the table of that name when the innermost temporary() ends."""
+    if _SCOPES:
+        _SCOPES[-1][name] = drop
+
+
+@contextmanager
+def temporary():
+    """Tables written inside are deleted at the end, but for those given to the function that this yields: they pass to the
+    scope outside. What is returned lazily must read kept tables only."""
+    depth = len(_SCOPES)
+    _SCOPES.append({})
+
+    def keep(df: DataFrame) -> DataFrame:
+        drop = _SCOPES[depth].pop(df._table_path, None)
+        if drop and depth:
+            _SCOPES[depth - 1][df._table_path] = drop
+        return df
+
+    try:
+        yield keep
+    finally:
+        for drop in _SCOPES.pop().values():
+            drop()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

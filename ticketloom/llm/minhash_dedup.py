@@ -2,17 +2,19 @@
 
 Texts of equal shingle sets form a class at once. Each class has one signature of `trees * depth` minima. A tree sorts
 the classes by its own rotation of the signature, so classes with a long common prefix are neighbours. The
-candidates of a class are all its neighbours that share a prefix of `shallow` minima with it in some tree. A region
-(the classes of one prefix) of more than `crowd` classes is split into parts, and every pair of parts meets in a task of
-its own: no region is cut deeper. Neighbours whose signatures agree in `agree` of their minima tie their classes into
-candidate groups.
+candidates of a class are its neighbours in each tree's order, as far as they share a prefix of `shallow` minima with
+it: how far that goes depends on the region, from no neighbour to thousands. In a region (a run of such neighbours) those
+that agree in `agree` of all their minima are tied into candidate groups: what the first reaches goes on, and
+nothing is compared again that has been reached, so a region of copies with small changes takes a few passes over it.
+A region of more than `crowd` classes is split into parts, and every pair of parts meets in a task of its own.
 
-The whole sets of a candidate group then meet in one task, where every pair is compared exactly; groups beyond the
-size of a task (`crowd` classes or `crowd_shingles` shingles) are split into parts that meet in pairs likewise. The
-links found make the components.
+The whole sets of a candidate group then meet in one task, where they are tied by exact comparison in the same way; groups
+beyond the size of a task (`crowd` classes or `crowd_shingles` shingles) are split into parts that meet in pairs
+likewise. The links found make the components.
 
-What isn't linked: a pair at the threshold shares no region with probability (1 - 0.85**3)**10, about 7e-5, in regions
-of every size. The work of a region or group grows with the square of its classes, over as many tasks.
+What isn't linked: a pair at the threshold shares no region with probability (1 - 0.85**3)**10, about 7e-5, and agrees in
+too few minima with probability 2e-5 (binomial), in regions of every size. Pairs of parts grow with the square of a
+region's classes, as does the work where they are not alike; both are spread over as many tasks.
 
 Texts are written once, bucketed by chunk, and never shuffled; sets of candidates only are. Classes, keys and edges
 move by their hashes; copies never do.
@@ -34,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from ticketloom.llm import _text
 from ticketloom.llm._chunks import Chunks
 from ticketloom.llm._components import connected_components
-from ticketloom.llm._groups import runs, spanning
-from ticketloom.llm._store import materialise
+from ticketloom.llm._groups import reached, runs
+from ticketloom.llm._store import materialise, temporary
 from ticketloom.llm._text import U
 
 
@@ -46,7 +48,7 @@ class MinHashConfig:
     trees: int = 10
     depth: int = 12
     shallow: int = 3
-    agree: float = 0.72
+    agree: float = 0.7
     crowd: int = 2048
     crowd_shingles: int = 4_000_000
 
@@ -126,14 +128,10 @@ def _edges_of_regions(cfg: MinHashConfig):
             u.append(cls[two[hit]])
             v.append(cls[two[hit] + 1])
             for a, z in zip(bounds[ends - bounds > 2].tolist(), ends[ends - bounds > 2].tolist()):
-                own, s = cls[a:z], sig[a:z]
-                # In the order of the tree; a run of neighbours that agree is tied along the order first.
-                order = np.lexsort(s.T[::-1])
-                own, s = own[order], s[order]
-                links = np.zeros((z - a, z - a), dtype=bool)
-                for i in range(z - a - 1):
-                    links[i, i + 1 :] = (s[i] == s[i + 1 :]).sum(axis=1) >= least
-                root = spanning(links | links.T)
+                # In the order of the tree, so that neighbours of the longest common prefix come first.
+                order = a + np.lexsort(sig[a:z].T[::-1])
+                own, s = cls[order], sig[order]
+                root = reached(len(own), lambda i, rest: (s[rest] == s[i]).sum(axis=1) >= least)
                 at = np.flatnonzero(root != np.arange(len(root)))
                 u.append(own[at])
                 v.append(own[root[at]])
@@ -152,28 +150,28 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of distinct-element sets have 100 * intersection >= percent * union."""
+def exact_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Each set's first set reachable by links of 100 * intersection >= percent * union. Elements of a set differ."""
     m = len(sets)
     n = np.array(list(map(len, sets)))
-    value, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-    _, col, count = np.unique(value, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[col]
-    col, owner = number[col[keep]], owner[keep]
-    inter = np.zeros((m, m), dtype=np.float64)
-    width = max(1, (1 << 23) // m)
-    order = np.argsort(col, kind="stable")
-    col, owner = col[order], owner[order]
-    for c in range(0, int(shared.sum()), width):
-        a, z = np.searchsorted(col, [c, c + width])
-        x = np.zeros((m, min(width, int(shared.sum()) - c)), dtype=np.float32)
-        x[owner[a:z], col[a:z] - c] = 1
-        inter += x @ x.T
-    links = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-    np.fill_diagonal(links, False)
-    return links
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(n)])
+    held = np.zeros(int(col.max()) + 1 if len(col) else 0, dtype=np.int32)
+    # Rows that are left, one after another; taken together anew whenever half of them are gone.
+    rows, flat, at = np.arange(m), col, first[:-1]
+
+    def linked(i: int, rest: np.ndarray) -> np.ndarray:
+        nonlocal rows, flat, at
+        if 2 * len(rest) < len(rows):
+            rows, flat = rest, np.concatenate([col[first[k] : first[k + 1]] for k in rest])
+            at = np.concatenate([[0], np.cumsum(n[rest])[:-1]])
+        own = col[first[i] : first[i + 1]]
+        held[own] = 1
+        both = np.add.reduceat(held[flat], at)[np.searchsorted(rows, rest)]
+        held[own] = 0
+        return 100 * both.astype(np.int64) >= percent * (n[i] + n[rest] - both)
+
+    return reached(m, linked)
 
 
 def _verified(cfg: MinHashConfig):
@@ -192,7 +190,7 @@ def _verified(cfg: MinHashConfig):
                         u.append(own[1:])
                         v.append(own[:1])
                     continue
-                root = spanning(exact_links(sets, cfg.percent))
+                root = exact_roots(sets, cfg.percent)
                 at = np.flatnonzero(root != np.arange(len(root)))
                 u.append(own[at])
                 v.append(own[root[at]])
@@ -269,21 +267,22 @@ def _components(chunks: Chunks, id_col: str, cfg: MinHashConfig) -> tuple[DataFr
     return rows, materialise(found.select(F.col("node").alias("cls"), "root"), "roots")
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, roots: DataFrame, keep=lambda table: table) -> DataFrame:
     """rows with component (least id of all linked classes). Ids are combined by class before the shuffle; one join of
     rows with classes, whose skewed partitions Spark can split."""
     least = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     classes = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     components = classes.groupBy("root").agg(F.min("least").alias("least"))
-    classes = materialise(classes.select("cls", "root").join(components, "root").select("cls", "least"), "components")
-    x = rows.drop("sig").join(classes, "cls", "left")
+    classes = keep(materialise(classes.select("cls", "root").join(components, "root").select("cls", "least"), "components"))
+    x = keep(rows).drop("sig").join(classes, "cls", "left")
     return x.withColumn("component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).drop("least")
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n (shingles), component, one row for each row of docs."""
-    chunks = Chunks(docs.select(id_col, text_col), text_col)
-    return _labelled(*_components(chunks, id_col, cfg)).select("id", "n", "component")
+    with temporary() as keep:  # the copy of the texts goes with the tables in between
+        chunks = Chunks(docs.select(id_col, text_col), text_col)
+        return _labelled(*_components(chunks, id_col, cfg), keep).select("id", "n", "component")
 
 
 def keep_one(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
