@@ -38,14 +38,17 @@ def test_brute(spark, window, monkeypatch):
             t[random.randint(0, len(t)) : 0] = passage.split()[random.randint(0, 4) :]
         texts.append(" ".join(t))
     texts += [texts[-1], texts[20], " ".join(f"long{i}" for i in range(9000))]
-    rows = [(i, t, "n", 5) for i, t in enumerate(texts)]
-    x = spark.createDataFrame(rows, "doc_id long, text string, _kept string, _chunk int").repartition(3)
+    rows = [(i, t, "n", 5, "w", None, 3, "row") for i, t in enumerate(texts)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, _kept string, _chunk int, _n_words string, _n_removed int, bucket int, _row string").repartition(3)
     want = brute(texts, window)
-    got = substring_dedup.remove_repeats(x.drop("_kept"), window).collect()
+    got = substring_dedup.remove_repeats(x, window).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert (r._n_words, r._n_removed, r._kept) == want[r.doc_id] and r.text == texts[r.doc_id] and r._chunk == 5
-    clean = {r.doc_id: r for r in substring_dedup.drop_repeats(x.drop("_kept"), window).collect()}
+        assert (r._n_words, r._n_removed, r._kept) == want[r._row.doc_id] and r._row.text == texts[r._row.doc_id] and r._row._chunk == 5 and r._row._kept == "n"
+    kept = substring_dedup.drop_repeats(x, window)
+    assert kept.columns == x.columns
+    clean = {r.doc_id: r for r in kept.collect()}
+    assert all(tuple(r)[2:] == rows[r.doc_id][2:] for r in clean.values())
     assert clean[0].text is None and clean[2].text == " \n "
     assert all(clean[i].text == (want[i][2] if want[i][1] else t) for i, t in enumerate(texts))
 

@@ -6,15 +6,19 @@ words do. So windows of 9 words are counted first; those that repeat are extende
 
 Texts stay where they are: they are written once, in chunks of a few MB, as a table bucketed by chunk, and each level
 reads it without a shuffle. A chunk sends each distinct candidate hash once, as arrays by hash bucket (4 bytes a
-window, 8 at the last level), so a passage that a third of all rows share costs one hash from each chunk. A bucket
+window, 16 at the last level), so a passage that a third of all rows share costs one hash from each chunk. A bucket
 answers each chunk with a bit for each hash: repeated or not. The answers are small and are joined by chunk.
 
-At the early levels a collision of 32 bits within a bucket only keeps a candidate alive; the last level compares 64
+There are as many buckets as keep one at `BUCKET_WINDOWS` windows or so. Rows sent are one for each bucket and chunk
+that have something in common, so one for each window at most: beyond a TB or so arrays get short, and a row's own 60
+bytes outweigh them. Larger chunks (`chunk_bytes`), where executors have the memory, push that out.
+
+At the early levels a collision of 32 bits within a bucket only keeps a candidate alive; the last level compares 128
 bits. Windows are judged on the input; equal means the same words, whatever white space is between them.
 
-Defined results: null text has no words and stays null; texts shorter than the window stay as they are; copies of a
-whole text (repeated rows too) lose all words of their windows, the first one as well. An empty table gives an empty
-result. Other columns, with any name, come back unchanged.
+Defined results: null text has no words and stays null; texts shorter than the window stay as they are; very long ones
+are one chunk each and judged whole; copies of a whole text (repeated rows too) lose all words of their windows, the
+first one as well. An empty table gives an empty result. Other columns, with any name, come back unchanged.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from ticketloom.llm._chunks import Chunks
 from ticketloom.llm._store import materialise
 from ticketloom.llm._text import U
 
+#: Windows of a bucket, about; they meet in one task.
+BUCKET_WINDOWS = 1 << 23
+_TWO = np.dtype([("a", "<u8"), ("b", "<u8")])
 MARKS = "chunk long, level int, bucket int, n int, bits binary"
 SENT = "chunk long, bucket int, n int, hashes binary, twice binary"
 
@@ -39,6 +46,16 @@ def level_lengths(window: int, shortest: int = 9) -> list[int]:
     return out
 
 
+def _windows(h: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Hashes of windows of the last of the lengths, doubled up from words through each length."""
+    k = 1
+    for length in lengths:
+        while k < length:
+            to = min(2 * k, length)
+            h, k = _text.double(h, k, to) if len(h) > to - k else h[:0], to
+    return h
+
+
 class Levels:
     """The windows of one chunk, level by level."""
 
@@ -52,17 +69,27 @@ class Levels:
         n = np.diff(self.first)
         self.left = np.repeat(self.first[1:], n) - np.arange(len(self.h))  # words from here to the end of the text
         long_enough = np.repeat(n >= lengths[-1], n)
-        k, w = 1, self.h
-        while k < lengths[0]:
-            to = min(2 * k, lengths[0])
-            w, k = _text.double(w, k, to) if len(w) > to - k else w[:0], to
-        self.level, self.windows = 0, w
-        self.at = np.flatnonzero((self.left >= k) & long_enough)
+        self.level, self.windows = 0, _windows(self.h, lengths[:1])
+        self.at = np.flatnonzero((self.left >= lengths[0]) & long_enough)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in order, which of them occur twice here, each candidate's number among them, first key of each bucket."""
-        own, back, n = np.unique(self.windows[self.at], return_inverse=True, return_counts=True)
-        bucket = ((own >> U(32)) * U(self.buckets)) >> U(32)
+        """Distinct keys in order, which of them occur twice here, each candidate's number among them, first key of each
+        bucket. Keys have 64 bits, at the last level 128."""
+        if self.level < len(self.lengths) - 1:
+            own, back, n = np.unique(self.windows[self.at], return_inverse=True, return_counts=True)
+            high = own
+        else:
+            a, b = self.windows[self.at], _windows(_text.mix(self.h ^ U(0xA5A5A5A5A5A5A5A5)), self.lengths)[self.at]
+            order = np.lexsort((b, a))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            back = np.empty(len(order), np.int64)
+            back[order] = np.cumsum(new) - 1
+            n = np.bincount(back, minlength=int(new.sum()))
+            own = np.empty(int(new.sum()), dtype=_TWO)
+            own["a"], own["b"] = a[order[new]], b[order[new]]
+            high = own["a"]
+        bucket = ((high >> U(32)) * U(self.buckets)) >> U(32)
         return own, n > 1, back, np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=U))
 
     def repeated(self, marks: dict[tuple[int, int], bytes]) -> np.ndarray:
@@ -95,7 +122,7 @@ def _emit(text: pa.ChunkedArray, chunk: int, marks: dict, lengths: list[int], le
     for _ in range(level):
         x.step(marks)
     own, twice, _, first = x.keys()
-    kind = np.uint64 if level == len(lengths) - 1 else np.uint32
+    kind = _TWO if level == len(lengths) - 1 else np.uint32
     rows = [(b, first[b], first[b + 1]) for b in np.flatnonzero(np.diff(first))]
     return pa.table({
         "chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([int(b) for b, _, _ in rows], pa.int32()), "n": pa.array([int(z - a) for _, a, z in rows], pa.int32()),
@@ -121,9 +148,9 @@ def _answer(level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         n = table["n"].to_numpy()
-        h = np.frombuffer(b"".join(table["hashes"].to_pylist()), dtype=np.uint64 if last else np.uint32)
+        h = np.frombuffer(b"".join(table["hashes"].to_pylist()), dtype=_TWO if last else np.uint32)
         hit = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=k) for b, k in zip(table["twice"].to_pylist(), n)]).astype(bool)
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((h["b"], h["a"])) if last else np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
@@ -164,14 +191,13 @@ def _kept(table: pa.Table, marks: dict, lengths: list[int], done: bool, buckets:
     return pa.table({"_rest": table["_rest"], "_text": text, "_n_words": pa.array(n, pa.int64()), "_n_removed": pa.array(n - left, pa.int64()), "_kept": pa.array(kept, pa.string())})
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 9, text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _n_removed and _kept (the words left, joined by one space); text_col as it was."""
+def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 9, text_col: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+    """_row (struct of docs' columns, as they were), _n_words, _n_removed and _kept (the words left, joined by one space)."""
     lengths = level_lengths(window, shortest)
-    chunks = Chunks(docs, text_col)
-    # About a million windows to a bucket: a chunk of 4 MB has 700 thousand words or so.
+    chunks = Chunks(docs, text_col, chunk_bytes)
     n_chunks = chunks.table.select("_chunk").distinct().count()
-    buckets = max(chunks.n, n_chunks)
-    marks, levels, done = None, [], True
+    buckets = max(chunks.n, n_chunks * chunks.chunk_bytes // (6 * BUCKET_WINDOWS))  # a word of six bytes starts a window
+    marks, done = None, True
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
         if marks is None:
@@ -179,17 +205,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, shortest: int = 9, text_co
         else:
             sent = chunks.table.groupBy("_chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_next(lengths, level, buckets), SENT)
         found = materialise(sent.groupBy("bucket").applyInArrow(_answer(level, last), MARKS), "marks")
-        levels.append(found)
         marks = found if marks is None else marks.unionByName(found)
         if found.isEmpty():
             done = False
             break
     run = lambda t, m: _kept(t, _read_marks(m), lengths, done, buckets)
     kept = chunks.table.groupBy("_chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, chunks.schema() + ", _n_words long, _n_removed long, _kept string")
-    return kept.select(*chunks.original(), "_n_words", "_n_removed", "_kept")
+    return kept.select(F.struct(*chunks.original()).alias("_row"), "_n_words", "_n_removed", "_kept")
 
 
 def drop_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of text_col; texts without any stay as they are."""
     x = remove_repeats(docs, window, text_col=text_col)
-    return x.select(*[F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"_row.`{text_col}`"))
+    return x.select(*[clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
