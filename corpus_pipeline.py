@@ -3,6 +3,12 @@ and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text is scored by the rate of such examples, has no near-duplicates, repeats or
+secrets, stays null, and packs as one end token. Null ids and nulls in other columns pass; of several rows with
+one id all are one document to near-dedup, so they stay or go together. Very long texts go through whole. Repeated rows are
+scored alike; an empty table gives empty results. Extra columns come back unchanged, whatever their names; a column
+n_chars is counted anew where texts change.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.llm import minhash_dedup, packing, queries, secret_scan, substring_dedup, toxicity
-from ticketloom.llm._store import materialise, read_table
+from ticketloom.llm._store import materialise, read_table, temporary
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -55,7 +61,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with temporary() as keep:  # what a stage writes on its way goes with it
+            docs = keep(materialise(stage(spark, docs, sf_dir), name))
     return docs
 
 

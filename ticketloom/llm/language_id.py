@@ -4,18 +4,19 @@ For each row four kinds of evidence are multiplied, as log odds over the languag
 - the text: hashed byte trigrams of lower-cased text under a multinomial model with additive smoothing, tempered by
   `text_power`, since neighbouring trigrams repeat each other;
 - the language that the markup declares (lang attribute), by how often rows of a language declare which;
-- the address suffix, by how often hosts of a suffix serve a language;
-- the host, by a prior smoothed from all rows to suffix, from suffix to registered domain, from domain to host.
-
-All tables come from grouped aggregation: trigram counts by language over all labelled texts, and counts of the text's
-own verdicts by declaration, host, domain and suffix over all rows. Counts are partially aggregated by task, so a host
-with a third of the rows costs a row from each task. The suffix is the first level of the host's prior; alone it
-speaks only for rows without a known host.
-
-Defined results: null or empty texts have flat text evidence and are decided by the rest; without any evidence the
-largest prior wins, ties by name. Languages are those of the labelled texts, at most `max_languages`, by frequency. Null
-languages are not learned from. Rows without url or markup just lack that evidence. Repeated rows are judged alike;
-empty tables give empty results; extra columns are not read.
+- the address suffix and the host, by a prior smoothed from all rows to suffix, from suffix to registered domain, from
+  domain to host.
+
+All tables come from grouped aggregation: trigram counts by language over all labelled texts, and counts of the texts'
+own verdicts by declaration, host, domain and suffix over all rows. A row's own verdict is taken out of the counts that
+judge it, so it doesn't confirm itself: a host's only page is judged by its domain, a domain's by its suffix. Counts are
+partially aggregated by task, so a host with a third of the rows costs a row from each task.
+
+Defined results: null or empty texts have flat text evidence, count in no table and are decided by the rest; without any
+evidence the largest prior wins, ties by name. Very long texts count whole. Languages are those of the labelled texts,
+by frequency at most `max_languages`, which bounds the model. Null languages are not learned from. Rows without url or
+markup just lack that evidence. Repeated rows are judged alike; empty tables give empty results; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ticketloom.llm import _text
 from ticketloom.llm._store import materialise
 from ticketloom.llm._text import U
-from ticketloom.llm.url_filter import bare_host, url_host
+from ticketloom.llm.url_filter import bare_host, site_of, url_host
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class LanguageConfig:
     bits: int = 15
     smoothing: float = 0.5
     text_power: float = 0.25
-    max_languages: int = 64
+    max_languages: int = 256
     #: Pseudo-rows of the level above.
     strength: float = 10.0
     #: Pseudo-rows that spread a declaration over all languages.
@@ -140,32 +141,41 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], cfg: Language
     host = F.when(F.col("url").isNotNull(), F.nullif(bare_host(url_host(F.col("url"))), F.lit("")))
     x = rows.select(F.struct(*keep).alias("_keep"), "text", host.alias("host"), F.col("declared").cast("string").alias("declared"))
     x = text_likelihoods(x, model, cfg, keep=("_keep", "host", "declared"))
-    x = materialise(x.withColumn("by_text", _verdict(languages, F.col("_ll"))), "likelihoods", rows=2000)
+    says = F.when(F.exists("_ll", lambda v: v != 0), _verdict(languages, F.col("_ll")))  # no trigram: no verdict
+    x = materialise(x.withColumn("by_text", says), "likelihoods", rows=2000)
     n = len(languages)
-    votes = lambda: F.array(*[F.sum((F.col("by_text") == l).cast("double")) for l in languages])
-    total = lambda *cs: F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(n)])
+    votes = lambda: F.array(*[F.coalesce(F.sum((F.col("by_text") == l).cast("double")), F.lit(0.0)) for l in languages])
+    total = lambda v="v": F.array(*[F.sum(F.get(v, F.lit(i))) for i in range(n)])
+    own = F.array(*[(F.col("by_text").eqNullSafe(l)).cast("double") for l in languages])
+    others = lambda v: F.zip_with(v, own, lambda a, b: a - b)
 
-    def smooth(own: Column, above: Column) -> Column:
-        size = F.aggregate(own, F.lit(0.0), lambda a, v: a + v)
-        return F.zip_with(own, above, lambda v, p: (v + cfg.strength * p) / (size + cfg.strength))
+    one = F.col("by_text").isNotNull().cast("double")
+
+    def smooth(level: str, above: Column) -> Column:
+        size = F.col(f"n{level}") - one
+        return F.zip_with(others(F.col(f"v{level}")), above, lambda c, p: (c + cfg.strength * p) / (size + cfg.strength))
 
     every = x.agg(votes().alias("v")).first()["v"]  # one row
-    every = [v or 0.0 for v in every]
-    flat = F.array(*[F.lit((v + 1) / (sum(every) + n)) for v in every])
-    hosts = materialise(x.where("host is not null").groupBy("host").agg(votes().alias("v")), "hosts")
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
-    suffix = hosts.groupBy("suffix").agg(total().alias("v")).select("suffix", smooth(F.col("v"), flat).alias("ps"))
-    domain = hosts.groupBy("domain", "suffix").agg(total().alias("v")).join(suffix, "suffix").select("domain", smooth(F.col("v"), F.col("ps")).alias("pd"))
-    prior = hosts.join(domain, "domain").select("host", smooth(F.col("v"), F.col("pd")).alias("prior"))
+    flat = F.transform(others(F.array(*map(F.lit, every))), lambda v: (v + 1) / (sum(every) + n - one))
+    hosts = materialise(x.where("host is not null").groupBy("host").agg(votes().alias("vh")), "hosts")
+    domain, suffix = site_of(F.col("host"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    domains = hosts.groupBy("domain", "suffix").agg(total("vh").alias("vd"))
+    suffixes = domains.groupBy("suffix").agg(total("vd").alias("vs"))
+    size = lambda v: F.aggregate(v, F.lit(0.0), lambda a, c: a + c).alias("n" + v[1:])
+    levels = hosts.join(domains.join(suffixes, "suffix").drop("suffix"), "domain").select("host", *(c for v in ("vh", "vd", "vs") for c in (v, size(v))))
     # P(declared | language), by language: spread by pseudo-rows over the declarations that occur.
     said = x.where("declared is not null").groupBy("declared").agg(votes().alias("v"))
     sums = said.agg(total().alias("s"), F.count(F.lit(1)).alias("m")).first()  # one row
     sums, kinds = [v or 0.0 for v in sums["s"]], max(1, sums["m"])
-    said = said.select("declared", F.array(*[(F.get("v", F.lit(i)) + cfg.declared_noise) / (sums[i] + cfg.declared_noise * kinds) for i in range(n)]).alias("said"))
-    y = x.join(prior, "host", "left").join(said, "declared", "left")
+    y = x.join(levels, "host", "left").join(said.withColumnRenamed("v", "said"), "declared", "left")
+    prior = F.when(F.col("vh").isNull(), flat).otherwise(smooth("h", smooth("d", smooth("s", flat))))
+    y = y.withColumn("prior", prior)
+    spread = F.zip_with(others(F.col("said")), others(F.array(*map(F.lit, sums))), lambda c, s: (c + cfg.declared_noise) / (s + cfg.declared_noise * kinds))
+    y = y.withColumn("said", F.when(F.col("said").isNotNull(), spread))
     logs = lambda a: F.transform(a, lambda p: F.ln(p))
     plus = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
-    score = plus(F.col("_ll"), logs(F.coalesce("prior", flat)))
+    score = plus(F.col("_ll"), logs(F.col("prior")))
     score = F.when(F.col("said").isNull(), score).otherwise(plus(score, logs(F.col("said"))))
     y = y.withColumn("_s", score)
     top = F.array_max("_s")

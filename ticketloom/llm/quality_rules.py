@@ -11,7 +11,7 @@ Defined results:
 - null or empty text: all counts 0, base_failed true (fewer than 50 words).
 - null lang or source form groups of their own (null-safe join); ties at a threshold stay.
 - repeated rows are judged alike; an empty table gives an empty result; extra columns are not read.
-- windows are told apart by 40 hash bits and then by their words, so equal counts mean equal words.
+- very long texts are counted whole; windows are told apart by 64-bit hashes and then by their words.
 
 Texts are never shuffled: only one row of counts for each text is written, and sketches are merged after partial
 aggregation, so a source with a third of the rows costs one sketch from each task.
@@ -29,7 +29,6 @@ SPACE = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\x0c\r"
 #: The symbols that count.
 SYMBOLS = "#*$%&|<>"
-_POS_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -43,7 +42,8 @@ class QualityConfig:
     margin: float = 1.1
     #: A group with fewer rows takes the thresholds of its language, then of all rows.
     min_group: int = 200
-    sketch_k: int = 400
+    #: A sketch of so many rows or fewer is exact; beyond, ranks are off by about 0.3 % of the rows.
+    sketch_k: int = 1024
     #: Rate -> least threshold, for groups whose quantile is zero.
     guards: dict = field(default_factory=lambda: {"symbol_rate": 0.01, "dup_line_rate": 0.02, "repeat_rate": 0.02, "long_word": 1.0})
 
@@ -59,15 +59,14 @@ def words_of(text: Column) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more. words: an array column or lambda variable."""
-    mask = (1 << _POS_BITS) - 1
-    windows = F.when(
+    hashes = F.when(
         F.size(words) >= 4,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))),
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
 
     def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(F.lit(mask)).cast("int"), y.bitwiseAND(F.lit(mask)).cast("int")
-        return (F.shiftright(x, _POS_BITS) == F.shiftright(y, _POS_BITS)) & (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
+        p, q = x["at"], y["at"]
+        return (x["h"] == y["h"]) & (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
 
     def found(s: Column) -> Column:
         return F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
@@ -75,7 +74,13 @@ def repeated_words(words: Column) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(F.sort_array(windows), lambda s: let(F.sort_array(F.transform(found(s), lambda x: x.bitwiseAND(F.lit(mask)))), covered))
+    def count(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        some = let(pairs, lambda s: let(F.sort_array(F.transform(found(s), lambda x: x["at"])), covered))
+        # Most texts repeat nothing; for them the hashes need no sorting.
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(some)
+
+    return let(hashes, count)
 
 
 def base_counts(text: Column) -> Column:

@@ -38,9 +38,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the labels whose doc_id is a page's id; bad if of low quality or toxic."""
+    """Outcomes: the labels whose doc_id is a page's id; bad if of low quality or toxic, unknown if a null leaves it open."""
     pages = read_table(spark, sf_dir, "pages")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
     outcomes = pages.select("page_id", url_filter.url_host(F.col("url")).alias("host")).join(labels, F.col("page_id") == F.col("doc_id")).select("host", "bad")
     x = url_filter.judge_urls(pages, outcomes, keep=("page_id",))
     return x.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), "level")
@@ -48,7 +48,7 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
-    return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return x.select("_row.doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +101,13 @@ def _url_sql() -> str:
 
     cases = [(f"(host = '{n}' OR ends_with(host, '.{n}')) AND starts_with(path, '{p}')", n + p, v) for n, p, v in sorted(cfg.rules, key=lambda r: -len(r[0] + r[1]))]
     rule, verdict = ("CASE " + " ".join(f"WHEN {t} THEN '{x[i]}'" for t, *x in cases) + " END" for i in (0, 1))
+    suffixes = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
     return rf"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
  b AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':\d*$', '') AS h FROM p),
- q AS (SELECT *, array_to_string(string_split(h, '.')[-2:], '.') AS dom, string_split(h, '.')[-1] AS suf FROM b),
- o AS (SELECT h, dom, suf, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM q JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY h, dom, suf),
+ k AS (SELECT *, regexp_matches(h, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') OR contains(h, ':') AS ip, array_to_string(string_split(h, '.')[-2:], '.') IN ({suffixes}) AS two FROM b),
+ q AS (SELECT *, CASE WHEN ip THEN h WHEN two THEN array_to_string(string_split(h, '.')[-3:], '.') ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS dom, CASE WHEN ip THEN '' WHEN two THEN array_to_string(string_split(h, '.')[-2:], '.') ELSE string_split(h, '.')[-1] END AS suf FROM k),
+ lab AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS y FROM labels GROUP BY doc_id HAVING y IS NOT NULL),
+ o AS (SELECT h, dom, suf, sum(y)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM q JOIN lab ON page_id = doc_id GROUP BY h, dom, suf),
  od AS (SELECT dom, suf, sum(bad) AS bad, sum(n) AS n FROM o GROUP BY dom, suf), os AS (SELECT suf, sum(bad) AS bad, sum(n) AS n FROM o GROUP BY suf),
  t AS (SELECT (coalesce(sum(bad), 0) + 0.5) AS a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5 AS z, (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM o),
  s0 AS (SELECT os.*, t.m AS up FROM os, t), s1 AS (SELECT *, up * k + bad AS a, (1 - up) * k + n - bad AS z FROM s0, (SELECT {strength("s0", "up")} AS k)),
@@ -129,6 +132,30 @@ def _spans_sql() -> str:
     return f"SELECT doc_id, {n('assign')}, {n('access')}, {n('hex')}, sha256({text(base)}) AS base_sha256, {text('a')} AS spans FROM (SELECT doc_id, {every} AS a FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
 
 
+def _quality_sql() -> str:
+    """As long as no group, language or whole table that decides has more rows than a sketch holds exactly."""
+    cfg = quality_rules.QualityConfig()
+    rates = quality_rules.RATES
+
+    def fence(r: str) -> str:
+        upper, reach = cfg.fences[r]
+        at = lambda q: f"list_sort(list({r}))[greatest(1, ceil({q} * count(*)))::INT]"
+        return f"greatest({at(upper)} + {reach} * ({at(upper)} - {at(0.5)}), {cfg.margin} * {at(upper)}, {float(cfg.guards[r])}::DOUBLE) AS t_{r}"
+
+    fences = "count(*) AS n, " + ", ".join(map(fence, rates))
+    pick = lambda r: f"CASE WHEN own.n >= {cfg.min_group} THEN own.t_{r} WHEN l.n >= {cfg.min_group} THEN l.t_{r} ELSE a.t_{r} END"
+    beyond = " OR ".join(f"coalesce(r.{x} > {pick(x)}, FALSE)" for x in rates)
+    return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+ x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) u(i)), f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x),
+ v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f, range(3) u(k) WHERE c > 1 GROUP BY doc_id),
+ m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, y -> length(y))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), y -> regexp_matches(y, '{_WORDS}')) AS l, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
+ c AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_percent} * n_words AS base_failed FROM m),
+ r AS (SELECT *, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_rate, n_dup_lines::DOUBLE / greatest(len(l), 1) AS dup_line_rate, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_rate, word_chars::DOUBLE / greatest(n_words, 1) AS long_word FROM c),
+ p AS (SELECT * FROM r WHERE NOT base_failed), own AS (SELECT lang, source, {fences} FROM p GROUP BY lang, source), l AS (SELECT lang, {fences} FROM p GROUP BY lang), a AS (SELECT {fences} FROM p)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
+ FROM r LEFT JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang, a"""
+
+
 _REACH = """, reach AS (SELECT id AS a, id AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a), root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_sql(),
@@ -142,5 +169,6 @@ ORACLE_SQL: dict[str, str] = {
  SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(cut, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN z USING (doc_id)""",
     "op8_embedding_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), node AS (SELECT id FROM e), link AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93){_REACH}
  SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE a = node.id) AS n_links, component_id, node.id = component_id AS kept FROM node JOIN root USING (id)""",
+    "op9_quality_thresholds": _quality_sql(),
     "op10_secret_scan": _spans_sql(),
 }

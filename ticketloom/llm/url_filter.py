@@ -1,7 +1,9 @@
 """URL filter by empirical-Bayes host reputation (native: DataFrame functions only).
 
 Labelled page outcomes (bad = 1, fine = 0) are counted by host. Beta-binomial priors shrink each level towards
-the one above: suffix towards the whole table, registered domain towards its suffix, host towards its domain.
+the one above: suffix towards the whole table, registered domain towards its suffix, host towards its domain. The suffix is the
+last label of a host, or the last two where they are one of `SUFFIXES`; the registered domain has one label more. An
+IP address is its own domain and has no suffix.
 The strength of each level's prior is fitted by moments from the spread of the groups. A host is blocked when the
 lower posterior bound of its bad rate, mean - z * sd, exceeds `max_bad_rate`. Explicit rules overrule that.
 
@@ -10,6 +12,7 @@ Defined results:
 - unlabelled hosts, domains and suffixes take the mean of the level above.
 - repeated page rows are judged alike, one output row for each input row; outcomes that are null are not counted.
 - an empty table gives an empty result; without any labelled outcome nothing is blocked by reputation.
+- very long urls are judged whole. Of several labels of a page the worst counts; a page that comes twice counts twice.
 - extra columns are ignored unless named in `keep`; their names can't clash, as only named columns are read.
 
 Hot hosts: the counts are partially aggregated before the shuffle; the host table joins the pages by host, where
@@ -32,6 +35,13 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
+#: Suffixes of two labels under which names are registered.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my",
+    "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gob.mx", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk",
+    "gv.at", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "nhs.uk", "or.at", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
+
 
 @dataclass(frozen=True)
 class ReputationConfig:
@@ -58,6 +68,15 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":\d*$", "")
 
 
+def site_of(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a bare host."""
+    ip = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | host.contains(":")
+    two = F.substring_index(host, ".", -2).isin(*SUFFIXES)
+    domain = F.when(ip, host).when(two, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    suffix = F.when(ip, F.lit("")).when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    return domain, suffix
+
+
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
     rule = verdict = None
@@ -87,10 +106,11 @@ def host_reputation(outcomes: DataFrame, cfg: ReputationConfig = ReputationConfi
 
     The tables hold alpha and beta of the posterior for each labelled host, domain and suffix; "all" has one row.
     """
-    # Each level's bad and n are kept apart, so a level's evidence enters once.
+    # A level's counts hold those of the levels below: a host's outcomes speak for it and, through the means, for its domain.
     base = outcomes.where("bad is not null").select(F.coalesce(bare_host(F.col("host")), F.lit("")).alias("host"), F.col("bad").cast("double").alias("bad"))
     hosts = base.groupBy("host").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
-    hosts = materialise(hosts, "hosts").select("*", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"))
+    domain, suffix = site_of(F.col("host"))
+    hosts = materialise(hosts, "hosts").select("*", domain.alias("domain"), suffix.alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     top = suffixes.agg(F.sum("bad").alias("b"), F.sum("n").alias("m")).first()  # one row
@@ -119,7 +139,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, cfg: ReputationConfig = Re
     b = levels["all"].first()
     host = url_host(F.col(url_col))
     x = pages.select(*keep, host.alias("host"), url_path(F.col(url_col)).alias("path"))
-    x = x.withColumn("_h", bare_host(F.col("host"))).withColumns({"_d": F.substring_index("_h", ".", -2), "_s": F.substring_index("_h", ".", -1)})
+    x = x.withColumn("_h", bare_host(F.col("host")))
+    domain, suffix = site_of(F.col("_h"))
+    x = x.withColumns({"_d": domain, "_s": suffix})
     for key, name in (("_h", "host"), ("_d", "domain"), ("_s", "suffix")):
         side = levels[name].select(F.col(name).alias(key), F.struct("alpha", "beta").alias(f"_{name}"))
         x = x.join(side, key, "left")
