@@ -50,11 +50,20 @@ def content_fingerprint(summary: Column, description: Column, label: Column | No
     return F.substring(F.md5(F.concat_ws("|", F.coalesce(summary, F.lit("")), F.coalesce(description, F.lit("")), label)), 1, 16)
 
 
+def characters(c: Column) -> Column:
+    """The set of lower-cased characters; null has none."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), "")), "")
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; both empty 1, one empty 0."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
+
+
 def character_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of lower-cased characters; both empty 1, one empty 0."""
-    chars = lambda x: F.array_distinct(F.split(F.lower(F.coalesce(x, F.lit(""))), ""))
-    x, y = F.array_remove(chars(a), ""), F.array_remove(chars(b), "")
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return set_jaccard(characters(a), characters(b))
 
 
 def truncate(c: Column, n: int) -> Column:

@@ -4,42 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketloom.functions.text import character_jaccard, content_fingerprint
+from ticketloom.functions.text import characters, content_fingerprint, set_jaccard
 from ticketloom.operators.prepare import keep_last
 
 TOLERANCE_MICROS = 1_000_000
 PRESERVE_SIMILARITY = 0.8
 
 
-def meaningful_update(new: str, old: str) -> Column:
-    """Newer by more than a second, or other content; an older timestamp alone is no update."""
-    at = lambda side: F.unix_micros(F.col(f"{side}.updated_at").cast("timestamp"))
-    mark = lambda side: content_fingerprint(F.col(f"{side}.summary"), F.col(f"{side}.description"), F.col(f"{side}.cluster_label"))
-    return F.coalesce(at(new) - at(old) > TOLERANCE_MICROS, F.lit(False)) | (mark(new) != mark(old))
+def _marks(df: DataFrame) -> Column:
+    """What a comparison needs of a row, small whatever its texts: fingerprint, and the sets of characters of its texts."""
+    text = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    return F.struct(
+        F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), content_fingerprint(text("summary"), text("description"), text("cluster_label")).alias("fingerprint"),
+        characters(text("summary")).alias("summary"), characters(text("cleaned_description")).alias("cleaned_description"),
+    )
 
 
-def _with_old(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    old = existing.select(F.col("issue_id").alias("_id"), F.struct("*").alias("old"))
-    new = incoming.select(F.col("issue_id").alias("_new_id"), F.struct("*").alias("new"))
-    return new.join(old, F.col("_new_id") == F.col("_id"), "left")
+def meaningful_update(new: str = "_new_marks", old: str = "_old_marks") -> Column:
+    """Newer by more than a second, or other content; an older timestamp alone is no update."""
+    return F.coalesce(F.col(f"{new}.at") - F.col(f"{old}.at") > TOLERANCE_MICROS, F.lit(False)) | (F.col(f"{new}.fingerprint") != F.col(f"{old}.fingerprint"))
 
 
 def categorize(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new struct, old struct, category): each incoming row by itself. `existing` has a row for each id (keep_last)."""
-    c = F.when(F.col("_id").isNull(), "new").when(meaningful_update("new", "old"), "updated").otherwise("unchanged")
-    return _with_old(incoming, existing).select("new", "old", c.alias("category"))
+    """(new struct, old struct, category, alike): each incoming row by itself. `existing` has a row for each id (keep_last).
+
+    Fingerprints and character sets are taken before the join, so texts cross it only where `new` or `old` is read.
+    """
+    old = existing.select(F.col("issue_id").alias("_id"), F.struct("*").alias("old"), _marks(existing).alias("_old_marks"))
+    new = incoming.select(F.col("issue_id").alias("_new_id"), F.struct("*").alias("new"), _marks(incoming).alias("_new_marks"))
+    x = new.join(old, F.col("_new_id") == F.col("_id"), "left")
+    c = F.when(F.col("_id").isNull(), "new").when(meaningful_update(), "updated").otherwise("unchanged")
+    return x.select("new", "old", c.alias("category"), preserve_clustering().alias("alike"))
 
 
-def preserve_clustering(new: str = "new", old: str = "old") -> Column:
+def preserve_clustering(new: str = "_new_marks", old: str = "_old_marks") -> Column:
     """Both summary and cleaned description are alike enough to keep the cluster."""
-    like = lambda c: character_jaccard(F.col(f"{new}.{c}"), F.col(f"{old}.{c}")) >= PRESERVE_SIMILARITY
+    like = lambda c: set_jaccard(F.col(f"{new}.{c}"), F.col(f"{old}.{c}")) >= PRESERVE_SIMILARITY
     return like("summary") & like("cleaned_description")
 
 
 def merge_delta(categorized: DataFrame) -> DataFrame:
     """New and updated rows with their cluster: updated ones keep it if alike, others have null and wait for clustering."""
     x = categorized.where("category <> 'unchanged'")
-    keep = (F.col("category") == "updated") & preserve_clustering() & F.col("old.cluster_id").isNotNull()
+    keep = (F.col("category") == "updated") & F.col("alike") & F.col("old.cluster_id").isNotNull()
     fields = categorized.schema["new"].dataType.fieldNames()
     own = F.col("category") == "new"
     kept = lambda c: F.when(own, F.col(f"new.{c}")).when(keep, F.col(f"old.{c}"))
