@@ -138,4 +138,4 @@ def test_passes_beyond_a_block(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "MAX_EXACT", 40)
     assert close(sorted(map(tuple, kmeans.silhouette_rows(v).collect())), one)
     assert close(top(10), ones) and len(ones) == 3 * 76
-    assert kmeans.optimal_k(e.where("l < 9"), 4, method="auto") == 3
+    assert kmeans.optimal_k(e.where("l < 9"), 4, inits=2) == 3

@@ -43,8 +43,3 @@ def kmeans_confidence(point: Column, centroid: Column) -> Column:
     """exp(-distance / spread of the point), within 0 and 1; 0.5 where it can't be computed."""
     c = F.exp(-euclidean(point, centroid) / population_std(point))
     return F.when(c.isNull() | F.isnan(c), 0.5).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
-
-
-def mean_vector(v: Column, dims: int) -> list[Column]:
-    """Aggregates for a centroid, one average by component: partial sums combine before the shuffle."""
-    return [F.avg(F.get(doubles(v), F.lit(i))) for i in range(dims)]

@@ -231,18 +231,28 @@ def assign(df: DataFrame, model: Fitted, id_col: str = "issue_id", vector: str =
     at, vec = df.columns.index(id_col), df.columns.index(vector)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_label int, _probability double"])
 
+    def nearest(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and distance of each row's nearest point: by products first, then the closest few by differences."""
+        near = (points * points).sum(axis=1)[None, :] - 2 * q @ points.T
+        few = min(8, len(points))
+        some = np.sort(np.argpartition(near, few - 1, axis=1)[:, :few], axis=1)
+        d = np.sqrt(((q[:, None, :] - points[some]) ** 2).sum(axis=2))
+        at = d.argmin(axis=1)
+        return some[np.arange(len(q)), at], d[np.arange(len(q)), at]
+
     def run(batches):
         m, number = shared.value
         for b in batches:
-            label, p = [], []
-            for i, v in zip(b.column(at).to_pylist(), b.column(vec).to_pylist()):
-                k = number.get(i)
-                if k is None and v is not None and len(m.points):
-                    d = _distances(np.array([v], dtype=np.float64), m.points)[0]
-                    j = int(d.argmin())
-                    k = j if d[j] <= m.core[j] else None
-                label.append(-1 if k is None else int(m.labels[k]))
-                p.append(0.0 if k is None else float(m.probabilities[k]))
+            k = np.array([number.get(i, -1) for i in b.column(at).to_pylist()], dtype=np.int64)
+            vectors = b.column(vec).to_pylist()
+            rest = [i for i in np.flatnonzero(k < 0).tolist() if vectors[i] is not None] if len(m.points) else []
+            for lo in range(0, len(rest), _BLOCK):
+                rows = rest[lo : lo + _BLOCK]
+                j, d = nearest(np.array([vectors[i] for i in rows], dtype=np.float64), m.points)
+                k[rows] = np.where(d <= m.core[j], j, -1)
+            found = k >= 0
+            label, p = np.full(len(k), -1), np.zeros(len(k))
+            label[found], p[found] = m.labels[k[found]], m.probabilities[k[found]]
             yield pa.record_batch([*b.columns, pa.array(label, pa.int32()), pa.array(p)], names=[*b.schema.names, "_label", "_probability"])
 
     return df.mapInArrow(run, schema)

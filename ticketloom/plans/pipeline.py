@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ticketloom.functions.labels import keyword_label
+from ticketloom.functions.vectors import euclidean
 from ticketloom.operators import hdbscan, kmeans, reports
 from ticketloom.operators.embed import Embedder, embed_tasks
-from ticketloom.operators.prepare import preprocess_tasks, with_embedding
+from ticketloom.operators.prepare import preprocess_tasks, top_per_group, with_embedding
 from ticketloom.plans.config import ALGORITHMS, ClusteringParameters
 from ticketloom.sources.tickets import load_tickets
 
@@ -24,11 +26,15 @@ class ClusteringResult:
     k: int | None = None
     parameters: ClusteringParameters = field(default_factory=ClusteringParameters)
 
+    def release(self) -> None:
+        """Give back the cached assignments, once report and assignments are written or shown."""
+        self.assignments.unpersist()
+
     def totals(self) -> DataFrame:
         return self.assignments.sparkSession.createDataFrame([(self.total_tasks, self.clusters_found)], "total_tasks long, clusters_found int")
 
 
-def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringParameters(), order: str = "issue_id", seed: int = 42, inits: int = 1, k: int | None = None) -> ClusteringResult:
+def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringParameters(), order: str = "issue_id", seed: int = 42, inits: int = 10, k: int | None = None) -> ClusteringResult:
     """Assignments, report and totals of tasks with embeddings."""
     if config.algorithm not in ALGORITHMS:
         raise ValueError(f"Unsupported clustering algorithm: {config.algorithm}")
@@ -36,11 +42,10 @@ def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringPar
     x = tasks.drop("cluster_id", "cluster_confidence").persist()  # what made the vectors runs once
     x_all, x = x, with_embedding(x)
     if config.algorithm == "kmeans":
-        k = k or kmeans.optimal_k(x, config.max_clusters, seed, method="auto")
+        k = k or kmeans.optimal_k(x, config.max_clusters, seed, inits=inits)
         centroids = kmeans.by_size(x, kmeans.fit(x, k, seed, inits), order)
         got = kmeans.assign(x, centroids).persist()
-        table = kmeans.centroid_table(got, dims=len(centroids[0]))
-        report = reports.cluster_report(got, order, centroids=table, noise=False)
+        report = reports.cluster_report(got, order, centroids=kmeans.centroid_table(got), noise=False)
     else:
         model = hdbscan.fit(x, config.min_cluster_size, config.cluster_selection_epsilon)
         got = reports.assignments(hdbscan.assign(x, model), "_label", "_probability").drop("_label", "_probability").persist()
@@ -55,6 +60,49 @@ def analyze(spark: SparkSession, path: str, config: ClusteringParameters = Clust
     return cluster_tasks(embed_tasks(preprocess_tasks(load_tickets(spark, path)), embedder), config)
 
 
+@dataclass
+class RunStatistics:
+    """Runs so far, their time in all and on average."""
+
+    runs: int = 0
+    total_time: float = 0.0
+
+    def add(self, result: ClusteringResult) -> None:
+        self.runs, self.total_time = self.runs + 1, self.total_time + result.processing_time
+
+    @property
+    def average_time(self) -> float:
+        return self.total_time / self.runs if self.runs else 0.0
+
+
+def near_centroid(assigned: DataFrame, n: int = 5, order: str = "issue_id", vector: str = "embedding") -> DataFrame:
+    """The n rows of each cluster that are nearest its centroid, with their rank; ties by `order`. First within 64 parts of
+    each cluster, so that a large one isn't one task's window."""
+    c = kmeans.centroid_table(assigned).select(F.col("cluster_id").alias("_c"), "centroid")
+    x = assigned.join(c, F.col("cluster_id") == F.col("_c")).withColumn("distance", euclidean(F.col(vector), F.col("centroid"))).drop("_c", "centroid")
+    x = top_per_group(x.withColumn("_g", F.struct("cluster_id", F.pmod(F.xxhash64(order), F.lit(64)))), "_g", n, "distance", order).drop("_g")
+    w = Window.partitionBy("cluster_id").orderBy("distance", order)
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def label_clusters(assigned: DataFrame, dictionary: dict, n: int = 5, order: str = "issue_id", text: str = "summary") -> DataFrame:
+    """(cluster_id, label): the keyword label that most of the n rows nearest the centroid have; ties to the dictionary's
+    order, null where none has one."""
+    number = {k: i for i, k in enumerate(dictionary)}
+    x = near_centroid(assigned, n, order).withColumn("label", keyword_label(F.col(text), dictionary))
+    at = F.coalesce(*[F.when(F.col("label") == k, F.lit(i)) for k, i in number.items()], F.lit(len(number)))
+    votes = x.groupBy("cluster_id", "label").agg(F.count("label").alias("n"), F.min(at).alias("o"))
+    return votes.groupBy("cluster_id").agg(F.max_by("label", F.struct("n", -F.col("o"))).alias("label"))
+
+
+def register_views(spark: SparkSession, result: ClusteringResult, prefix: str = "") -> list[str]:
+    """Temporary views for SQL: assignments, report and totals of a run."""
+    made = {"assignments": result.assignments, "clusters": result.report, "totals": result.totals()}
+    for name, df in made.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in made]
+
+
 def recent(tasks: DataFrame, as_of: Column, months: int = 6, column: str = "created_at") -> DataFrame:
     """What re-clustering looks at."""
     return tasks.where(F.col(column) >= F.add_months(as_of, -months))
@@ -82,8 +130,6 @@ def top_k_in_passes(queries: DataFrame, vectors: DataFrame, k: int, id_col: str
     import numpy as np
     import pyarrow as pa
 
-    from ticketloom.operators.prepare import top_per_group
-
     wanted = queries.select(F.col(id_col).alias("i"), F.col(vector).alias("v")).where("v is not null")
     passes = -(-wanted.count() // block)
     if not passes:
@@ -118,7 +164,5 @@ def top_k_in_passes(queries: DataFrame, vectors: DataFrame, k: int, id_col: str
         q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
         part = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector).alias("v")).mapInArrow(nearest(q, np.array([r.i for r in rows], dtype=np.int64)), "query_id long, id long, cosine double")
         x = part if x is None else x.unionByName(part)
-    from pyspark.sql import Window
-
     ranked = top_per_group(x, "query_id", k, F.desc("cosine"), "id")
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")))
