@@ -56,10 +56,18 @@ def labelling_text(summary: Column, description: Column) -> Column:
 
 
 def label_join(docs: DataFrame, table: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """As matching_labels, for dictionaries kept as a table: a contains-join; the dictionary side is broadcast if Spark
-    finds it small."""
+    """As matching_labels, for dictionaries kept as a table. One of MAX_KEYWORDS rows or fewer is broadcast and each text looks
+    for its keywords; a larger one is joined by the keywords' first characters (up to three), of which a text has few
+    different ones, and the pairs are verified."""
     t = docs.select(id_col, F.lower(text_col).alias("_t")).where(F.length("_t") > 0)
-    return t.join(table, F.contains(F.col("_t"), F.lower("keyword"))).select(id_col, "label", "label_ord").distinct()
+    k = table.select(F.lower("keyword").alias("_k"), "label", "label_ord").where(F.length("_k") > 0).distinct()
+    if k.limit(MAX_KEYWORDS + 1).count() <= MAX_KEYWORDS:
+        x = t.join(F.broadcast(k), F.contains(F.col("_t"), F.col("_k")))
+    else:
+        chars = F.split("_t", "")
+        starts = F.array_distinct(F.flatten(F.transform(chars, lambda c, i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(chars, i + 1, n), "")))))
+        x = t.withColumn("_s", F.explode(starts)).join(k.withColumn("_s", F.substring("_k", 1, 3)), "_s").where(F.contains("_t", F.col("_k")))
+    return x.select(id_col, "label", "label_ord").distinct()
 
 
 def inverted_index(table: DataFrame) -> DataFrame:

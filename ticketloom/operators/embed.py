@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom.functions.text import feature_text
 from ticketloom.plans.config import MODELS
@@ -111,6 +111,13 @@ def embed_tasks(tasks: DataFrame, embedder: Embedder | None = None, dedupe: bool
     return x.drop("_f")
 
 
+def embedding_statistics(tasks: DataFrame) -> DataFrame:
+    """One row: texts to embed, different ones, and the percentage (one decimal) that embedding equal texts once saves."""
+    x = tasks.select(feature_text(F.col("summary"), F.col("cleaned_description")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    x = x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"), F.count(F.lit(1)).alias("different"))
+    return x.withColumn("saved_percent", F.round(F.coalesce(100 * F.try_divide(F.col("texts") - F.col("different"), F.col("texts")), F.lit(0.0)), 1))
+
+
 def embedding_dimension(df: DataFrame) -> int | None:
     row = df.where("embedding is not null").select(F.size("embedding").alias("n")).first()
     return row.n if row else None
@@ -119,3 +126,8 @@ def embedding_dimension(df: DataFrame) -> int | None:
 def text_key(text: str) -> str:
     """The key of a text in outside caches."""
     return hashlib.md5(text.encode()).hexdigest()[:16]
+
+
+def text_key_column(text: Column) -> Column:
+    """As text_key."""
+    return F.substring(F.md5(text), 1, 16)

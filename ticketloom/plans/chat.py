@@ -46,6 +46,13 @@ class Session:
         self.last_activity = datetime.now(timezone.utc)
         self.messages.append({"role": role, "content": content, "timestamp": self.last_activity})
 
+    def release(self) -> None:
+        """Give back what the session keeps in memory."""
+        if (tasks := self.context.pop("processed_tasks", None)) is not None:
+            tasks.unpersist()
+        if result := self.context.pop("clustering_result", None):
+            result.release()
+
 
 def recognize_intent(message: str, table: dict = INTENTS) -> str:
     """As functions.intents.intent, for one message."""
@@ -97,6 +104,7 @@ class Agent:
             return Reply("I have no uploaded file yet.")
         tasks = preprocess_tasks(load_tickets(self.spark, path)).persist()
         n = tasks.count()
+        s.release()
         s.context.update(processed_tasks=tasks, total_tasks=n)
         return Reply(f"Loaded and cleaned {n} tickets; they can be clustered now.", context_updates={"data_processed": True})
 
@@ -109,6 +117,8 @@ class Agent:
         size = extract_parameter(message, "min_size") or s.context.get("min_cluster_size") or 10
         eps = s.context.get("cluster_epsilon") or 0.5
         r = cluster_tasks(embed_tasks(tasks, self.embedder), ClusteringParameters(min_cluster_size=size, cluster_selection_epsilon=eps))
+        if old := s.context.pop("clustering_result", None):
+            old.release()
         s.context["clustering_result"] = r
         return Reply(reports.summary_text(r.report, r.total_tasks, r.clusters_found, r.processing_time), context_updates={"analysis_completed": True})
 
@@ -128,7 +138,9 @@ class Agent:
         return Reply("Set " + ", ".join(f"{k} to {v}" for k, v in got.items()) + " for the next run.", parameters=got)
 
     def cleanup_session(self, session_id: str) -> None:
-        self.sessions.pop(session_id, None)
+        if s := self.sessions.pop(session_id, None):
+            s.release()
 
     def close(self) -> None:
-        self.sessions.clear()
+        for key in list(self.sessions):
+            self.cleanup_session(key)

@@ -72,18 +72,19 @@ def suggested(rows: Column) -> dict[str, Column]:
     }
 
 
+#: What validate looks for: (test of parameters and rows, issue or None, advice).
+_CHECKS = (
+    (lambda c, n: n is not None and c.min_cluster_size > n // 2, "min_cluster_size leaves most rows as noise", lambda n: f"a min_cluster_size near {n // 10} suits {n} rows"),
+    (lambda c, n: c.algorithm == "kmeans" and c.max_clusters < 3, "k-means has too few clusters to choose from", lambda n: "raise max_clusters to 3 or more"),
+    (lambda c, n: c.cluster_selection_epsilon > 1.0, None, lambda n: "an epsilon above 1 may join different clusters"),
+)
+
+
 def validate(config: ClusteringParameters, rows: int | None = None) -> dict:
     """valid, issues, suggestions."""
-    issues, suggestions = [], []
-    if rows is not None and config.min_cluster_size > rows // 2:
-        issues.append("min_cluster_size is so large that most rows may end as noise")
-        suggestions.append(f"try a min_cluster_size of about {rows // 10}")
-    if config.algorithm == "kmeans" and config.max_clusters < 3:
-        issues.append("too few clusters for k-means")
-        suggestions.append("allow at least 3 clusters")
-    if config.cluster_selection_epsilon > 1.0:
-        suggestions.append("a large epsilon may merge clusters that differ")
-    return {"valid": not issues, "issues": issues, "suggestions": suggestions}
+    hit = [(issue, advice(rows)) for test, issue, advice in _CHECKS if test(config, rows)]
+    issues = [issue for issue, _ in hit if issue]
+    return {"valid": not issues, "issues": issues, "suggestions": [advice for _, advice in hit]}
 
 
 def from_env() -> ClusteringParameters:

@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder all machines share: the session's spark.checkpoint.dir; only a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="ticketloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return f"file://{_LOCAL[app]}"
+
 
 def build_session(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and Arrow on; everything else is left to the cluster or to conf."""

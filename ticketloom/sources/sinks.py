@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from contextlib import contextmanager
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ticketloom.functions.text import truncate
 from ticketloom.operators.reports import console_rows, export_rows
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
@@ -17,13 +20,34 @@ def write_tasks(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("timestampFormat", _ISO).option("ignoreNullFields", False).json(path)
 
 
+@contextmanager
+def _one_file(spark: SparkSession, path: str):
+    """write(text) to one new file, by whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        yield lambda text: out.write(text.encode())
+    finally:
+        out.close()
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one local file, a row at a time: for small results that other programs read."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    """One JSON array in one file, a row at a time: for results that other programs read."""
+    with _one_file(df.sparkSession, path) as write:
+        write("[")
         for n, r in enumerate(df.select(F.to_json(F.struct("*"), {"timestampFormat": _ISO, "ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            f.write(("," if n else "") + "\n" + r.j)
-        f.write("\n]\n")
+            write(("," if n else "") + "\n" + r.j)
+        write("\n]\n")
+
+
+def write_tickets_csv(df: DataFrame, path: str) -> None:
+    """Tickets as text cells that sources.tickets.read_csv reads back: a header, every cell quoted, lines kept."""
+    df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+
+
+def demo_sample(tasks: DataFrame, n: int, *order: str) -> DataFrame:
+    """The demonstration's sample: the first n tickets with clipped texts, for a CSV or JSON file."""
+    return tasks.orderBy(*order).limit(n).select("issue_id", truncate(F.col("summary"), 100).alias("summary"), truncate(F.col("description"), 200).alias("description"), "cluster_label")
 
 
 def result_document(report: DataFrame, totals: DataFrame, seconds: float, at: Column | None = None) -> DataFrame:
@@ -35,8 +59,8 @@ def result_document(report: DataFrame, totals: DataFrame, seconds: float, at: Co
 
 def write_result(document: DataFrame, path: str) -> None:
     row = document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(row.j)
+    with _one_file(document.sparkSession, path) as write:
+        write(row.j)
 
 
 def export_csv(report: DataFrame, path: str) -> None:
