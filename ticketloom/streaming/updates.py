@@ -10,33 +10,82 @@ from ticketloom.operators.prepare import keep_last
 
 
 class SnapshotStore:
-    """Versions of a snapshot, one Parquet folder for each batch: writing a batch again gives the same folder."""
+    """A snapshot by key in hash buckets; each batch writes the buckets that it touches and a list of where every bucket
+    now lies. Writing a batch again gives the same folders. Of old versions the last `keep` stay.
 
-    def __init__(self, spark: SparkSession, root: str, schema):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    root/data/v=N/bucket=B/: rows; root/list/v=N: (bucket, version). A version counts once its list is written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema, key: str = "issue_id", buckets: int = 64, keep: int = 3):
+        self.spark, self.root, self.schema, self.key, self.buckets, self.keep = spark, root.rstrip("/"), schema, key, buckets, keep
+
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path = self._path("list")
         if not fs.exists(path):
             return []
         done = [s.getPath() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(int(p.getName().removeprefix("v=")) for p in done)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The latest version, or the latest before a batch."""
-        v = [x for x in self._versions() if before is None or x < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={v[-1]}") if v else self.spark.createDataFrame([], self.schema)
+    def _list(self, version: int) -> dict[int, int]:
+        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").json(f"{self.root}/list/v={version}").collect()}  # a row for each bucket
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={batch}")
+    def _at(self, before: int | None) -> dict[int, int]:
+        v = [x for x in self._versions() if before is None or x < before]
+        return self._list(v[-1]) if v else {}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, df: DataFrame) -> list[int]:
+        return [r.b for r in df.select(self.bucket().alias("b")).distinct().collect()]  # `buckets` rows at most
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """The latest version, or the latest before a batch; `only`: the buckets to read."""
+        paths = [f"{self.root}/data/v={v}/bucket={b}" for b, v in sorted(self._at(before).items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame, batch: int, only: list[int] | None = None) -> None:
+        """df: the rows of the buckets `only` (all: the whole snapshot) as they are from this batch on."""
+        at = self._at(batch) if only is not None else {}
+        x = df.withColumn("bucket", self.bucket())
+        x.repartition(max(1, min(self.buckets, len(only) if only is not None else self.buckets)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={batch}")
+        fs, path = self._path("data", f"v={batch}")
+        new = [int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")]
+        at = {b: v for b, v in at.items() if b not in (only or [])} | dict.fromkeys(new, batch)
+        self.spark.createDataFrame(sorted(at.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{self.root}/list/v={batch}")
+        self._forget(batch)
+
+    def _forget(self, batch: int) -> None:
+        """Delete lists before the last `keep`, and data that no list left names."""
+        known = [v for v in self._versions() if v <= batch]
+        gone = known[: -self.keep]
+        if not gone:
+            return
+        needed = {(v, b) for k in known[-self.keep :] for b, v in self._list(k).items()}
+        for v in gone:
+            fs, path = self._path("list", f"v={v}")
+            fs.delete(path, True)
+        fs, path = self._path("data")
+        for folder in fs.listStatus(path):
+            v = int(folder.getPath().getName().removeprefix("v="))
+            if v > batch:
+                continue
+            for s in fs.listStatus(folder.getPath()):
+                name = s.getPath().getName()
+                if name.startswith("bucket=") and (v, int(name.removeprefix("bucket="))) not in needed:
+                    fs.delete(s.getPath(), True)
 
 
 def apply_batch(store: SnapshotStore, batch: DataFrame, number: int, order: str) -> DataFrame:
-    """Categorize and merge one batch into the store; returns the delta."""
-    old = store.read(before=number)
+    """Categorize and merge one batch into the buckets that it touches; returns the delta."""
+    only = store.touched(batch)
+    old = store.read(before=number, only=only)
     delta = merge_delta(categorize(batch, old))
-    store.write(upsert(old, delta, order), number)
+    store.write(upsert(old, delta, order), number, only)
     return delta
 
 
@@ -46,11 +95,12 @@ def start_updates(stream: DataFrame, store: SnapshotStore, order: str, checkpoin
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_last_by_key(stream: DataFrame, store: SnapshotStore, key: str, order: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """The last row of each key so far, one version for each batch."""
+def start_last_by_key(stream: DataFrame, store: SnapshotStore, order: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The last row so far of each of the store's keys, one version for each batch."""
 
     def step(df: DataFrame, n: int) -> None:
-        store.write(keep_last(store.read(before=n).unionByName(df), key, order), n)
+        only = store.touched(df)
+        store.write(keep_last(store.read(before=n, only=only).unionByName(df), store.key, order), n, only)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
