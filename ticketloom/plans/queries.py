@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.functions import intents, labels, text, vectors
 from ticketloom.operators import hdbscan, incremental, kmeans, prepare, reports
 from ticketloom.operators.embed import HashedNgrams, embed_tasks
 from ticketloom.plans import config, pipeline
+from ticketloom.session import work_dir
 from ticketloom.streaming import sessions, updates
 
 START = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -17,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as tickets: the first line is the summary."""
     d = table(spark, sf_dir, "documents")
@@ -186,7 +193,8 @@ def q20_export_rows(spark, sf_dir):
 
 
 def q21_optimal_k(spark, sf_dir):
-    k = kmeans.optimal_k(table(spark, sf_dir, "embeddings"), max_clusters=12, method="auto")
+    """k from 2 to 20, ten starts each."""
+    k = kmeans.optimal_k(table(spark, sf_dir, "embeddings"))
     return spark.createDataFrame([(k,)], "k int")
 
 
@@ -212,15 +220,11 @@ def q25_suggest_params(spark, sf_dir):
 
 def q26_upsert_stream(spark, sf_dir):
     """events as a stream; the last event of each user."""
-    import tempfile
-    import uuid
-
     schema = table(spark, sf_dir, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    root = f"{shared}/stream-{uuid.uuid4().hex}"
-    store = updates.SnapshotStore(spark, f"{root}/state", schema)
+    root = fresh_folder(spark, "stream")
+    store = updates.SnapshotStore(spark, f"{root}/state", schema, key="user_id")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    updates.start_last_by_key(stream, store, "user_id", "event_id", f"{root}/checkpoint").awaitTermination()
+    updates.start_last_by_key(stream, store, "event_id", f"{root}/checkpoint").awaitTermination()
     return store.read().select("user_id", "event_id", "event_type")
 
 
