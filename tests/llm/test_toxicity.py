@@ -110,19 +110,22 @@ def test_query_by_brute_force(spark, sf):
     df = Counter(t for i in texts for t in terms[i])
     n = bad + good
     chi2 = {t: n * (a[t] * good - b[t] * bad) ** 2 / (k * (n - k + 1e-9) * bad * good) for t in a | b if (k := a[t] + b[t]) >= cfg.min_df}
-    idf = {t: math.log1p(len(texts) / df[t]) for t, x in chi2.items() if x >= (cfg.min_chi2 if df[t] <= max(cfg.max_df * len(texts), cfg.min_df) else cfg.common_chi2)}
+    lift = {t: ((a[t] + 0.5) / (bad + 1)) / ((b[t] + 0.5) / (good + 1)) for t in chi2}
+    tells = {t for t, x in chi2.items() if x >= math.log(n) and max(lift[t], 1 / lift[t]) >= cfg.min_lift}
+    idf = {t: math.log1p(len(texts) / df[t]) for t, x in chi2.items() if t in tells or x >= cfg.min_chi2 and df[t] <= max(cfg.max_df * len(texts), cfg.min_df)}
 
-    def vector(i):
-        w = {t: (1 + math.log(c)) * idf[t] for t, c in terms[i].items() if t in idf}
+    def vector(i, telling):
+        w = {t: (1 + math.log(c)) * idf[t] for t, c in terms[i].items() if t in idf and (t in tells or not telling)}
         size = math.sqrt(sum(x * x for x in w.values()))
         return {t: x / size for t, x in w.items()}
 
-    vectors = {i: vector(i) for i in texts}
+    vectors, sure = ({i: vector(i, telling) for i in texts} for telling in (False, True))
     base = (sum(labels[i] for i in examples) + 0.5) / (len(examples) + 1)
     empty = [labels[i] for i in examples if not vectors[i]]
 
     def nearest(i, skip=None):
-        sims = [sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items()) for e in examples if e != skip]
+        by = sure if sure[i] else vectors
+        sims = [sum(x * by[e].get(t, 0.0) for t, x in by[i].items()) for e in examples if e != skip]
         return sorted(((s, labels[e]) for s, e in zip(sims, (e for e in examples if e != skip)) if s > 0), key=lambda x: -x[0])
 
     def vote(found):

@@ -3,10 +3,11 @@
 A bounded sample of labelled rows (`max_examples`, a uniform one by hash) gives the examples; copies of a text are
 one. Their terms are lower-cased runs of letters and digits, and the first bytes of each, so that inflected forms
 share a term; a term that makes up a larger share of a text's words counts again for each step of `rates` reached.
-Terms in `min_df` examples or more whose split over the classes has a chi-square of `min_chi2` or more make the
-vocabulary, whichever class they tell of and however many they are; of terms that more than `max_df` of all documents
-hold, only those with `common_chi2`. So words that fall alike on both classes are left out. Document frequencies come from all documents. Vectors are log tf times idf, of length 1 within the
-vocabulary.
+Terms in `min_df` examples or more make the vocabulary by the chi-square of their split over the classes, whichever class
+they tell of and however many they are. Two bounds serve, both known from model choice: telling terms have the logarithm
+of the number of examples or more (Schwarz) and are `min_lift` times as frequent in one class as in the other, possible
+ones have 2 or more (Akaike) and are in no more than `max_df` of all documents. A text with telling terms is compared by these, any other by possible ones. Document
+frequencies come from all documents. Vectors are log tf times idf, of length 1 within the terms compared.
 
 The index holds postings by term, cut into blocks of examples, and each block's largest weight of each term it holds.
 A query's bound for a block is the dot product with these maxima. Blocks are scored exactly from the largest bound
@@ -41,11 +42,12 @@ class ToxicityConfig:
     #: Bound of the sample of labelled rows that is learned from.
     max_examples: int = 20000
     min_df: int = 3
-    #: About the 11 % level of significance.
-    min_chi2: float = 2.5
-    #: Terms of a larger share of all documents must be telling at the 0.1 % level.
+    #: Of a telling term; chance alone makes common words differ a little.
+    min_lift: float = 2.0
+    #: Chi-square of a possible term.
+    min_chi2: float = 2.0
+    #: Possible terms in a larger share of all documents are left out.
     max_df: float = 0.05
-    common_chi2: float = 10.83
     #: One example in so many calibrates and doesn't choose terms.
     folds: int = 4
     prefix_bytes: tuple = (4, 5, 6, 7)
@@ -53,7 +55,7 @@ class ToxicityConfig:
     k: int = 25
     block: int = 512
     #: Pseudo-votes of the base rate.
-    prior: float = 0.5
+    prior: float = 0.25
     threshold: float = 0.7
     #: Vectors whose result a worker remembers.
     remembered: int = 20000
@@ -234,36 +236,48 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Model:
     """vocabulary, index, base rates and calibration; small by the bounds of the configuration."""
 
-    def __init__(self, cfg: ToxicityConfig, vocabulary: np.ndarray, idf: np.ndarray, rows: list):
-        self.cfg, self.vocabulary = cfg, vocabulary
+    def __init__(self, cfg: ToxicityConfig, vocabulary: np.ndarray, telling: np.ndarray, idf: np.ndarray, rows: list):
+        self.cfg, self.vocabulary, self.telling = cfg, vocabulary, telling
         self.seen: dict[bytes, tuple] = {}  # results of vectors that came before
         y = np.array([r[1] for r in rows], dtype=np.float64)
         self.base = float((y.sum() + 0.5) / (len(y) + 1))
         empty = np.array([r[1] for r in rows if not len(r[2])], dtype=np.float64)
         self.blank = float((empty.sum() + self.base) / (len(empty) + 1))
-        self.index = BlockMaxIndex(rows, idf, cfg)
+        some = [(r[0], r[1], r[2][telling[r[2]]], r[3][telling[r[2]]]) for r in rows]
+        self.indexes = BlockMaxIndex(rows, idf, cfg), BlockMaxIndex(some, idf, cfg)
+        number = [{int(d): i for i, d in enumerate(x.ids)} for x in self.indexes]
         self.knots = None
-        order = {int(d): i for i, d in enumerate(self.index.ids)}
-        votes = lambda some: isotonic([(self.vote(*self.index.nearest(r[2], r[3], order[int(r[0])])), r[1]) for r in some if len(r[2])])
+        votes = lambda some: isotonic([(self.vote(*self.nearest(r[2], r[3], number, int(r[0]))), r[1]) for r in some if len(r[2])])
         self.knots = votes([r for r in rows if r[4]]) or votes(rows)
 
-    def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, number: list[dict] | None = None, skip: int | None = None):
+        """(index, numbers, cosines): by telling terms, else by possible ones."""
+        sure = self.telling[terms]
+        some = int(sure.any())
+        index = self.indexes[some]
+        if some:
+            terms, counts = terms[sure], counts[sure]
+        return index, *index.nearest(terms, counts, -1 if number is None else number[some][skip])
+
+    def vote(self, index: BlockMaxIndex, at: np.ndarray, sim: np.ndarray) -> float:
         if not len(at):
             return self.base
-        return float(((sim * self.index.toxic[at]).sum() + self.cfg.prior * self.base) / (sim.sum() + self.cfg.prior))
+        return float(((sim * index.toxic[at]).sum() + self.cfg.prior * self.base) / (sim.sum() + self.cfg.prior))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        """Score and evidence."""
         if not len(terms):
-            return self.blank, np.zeros(0, np.int64), np.zeros(0)
+            return self.blank, []
         key = terms.tobytes() + counts.tobytes()
         if key not in self.seen:
-            at, sim = self.index.nearest(terms, counts)
-            vote = self.vote(at, sim)
+            index, at, sim = self.nearest(terms, counts)
+            vote = self.vote(index, at, sim)
             fitted = float(np.interp(vote, *self.knots)) if self.knots else vote
             if len(self.seen) >= self.cfg.remembered:
                 self.seen.clear()
+            evidence = [{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.toxic[i])} for i, c in zip(at[: self.cfg.evidence], sim)]
             # The vote keeps a small share, so that scores that are calibrated alike stay in order.
-            self.seen[key] = 0.9 * fitted + 0.1 * vote, at[: self.cfg.evidence], sim[: self.cfg.evidence]
+            self.seen[key] = 0.9 * fitted + 0.1 * vote, evidence
         return self.seen[key]
 
 
@@ -301,7 +315,9 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
         df, total = a + b, bad + good
         chi2 = total * (a * good - b * bad) ** 2 / (df * (total - df + 1e-9) * bad * good)
         picked = counts.where((df >= cfg.min_df) & (chi2 >= cfg.min_chi2))
-        picked = picked.select("term", (chi2 >= cfg.common_chi2).alias("sure")).toPandas()  # terms of max_examples texts
+        lift = ((a + 0.5) / (bad + 1)) / ((b + 0.5) / (good + 1))
+        sure = (chi2 >= float(np.log(total))) & (F.greatest(lift, 1 / lift) >= cfg.min_lift)
+        picked = picked.select("term", sure.alias("sure")).toPandas()  # terms of max_examples texts
         vocabulary = picked["term"].to_numpy(dtype=np.int64).view(U)
         order = np.argsort(vocabulary)
         vocabulary, sure = vocabulary[order], picked["sure"].to_numpy(dtype=bool)[order]
@@ -309,12 +325,12 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
     for r in text.select("_text").mapInArrow(_document_frequencies(vocabulary, cfg), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df  # a row for each term of the vocabulary
     stays = sure | (df[:-1] <= max(cfg.max_df * df[-1], cfg.min_df))
-    vocabulary, df = vocabulary[stays], np.append(df[:-1][stays], df[-1])
+    vocabulary, sure, df = vocabulary[stays], sure[stays], np.append(df[:-1][stays], df[-1])
     idf = np.log1p(df[-1] / np.maximum(1, df[:-1]))
     vectors = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "aside", "_text").mapInArrow(_example_vectors(vocabulary, cfg), "doc_id long, toxic int, aside boolean, terms array<int>, counts array<int>")
     rows = [(r.doc_id, int(r.toxic >= 1), np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64), r.aside) for r in vectors.collect()]  # max_examples rows
     rows.sort(key=lambda r: r[0])
-    return Model(cfg, vocabulary, idf, rows)
+    return Model(cfg, vocabulary, sure, idf, rows)
 
 
 SCORED = "_toxicity double, _evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -331,20 +347,16 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
 
     def run(batches):
         m = shared.value
-        sieve, none = _sieve(m.vocabulary), []
+        sieve = _sieve(m.vocabulary)
         for b in batches:
             scores, evidence = [], []
             for _, data, offsets in _text.chunks(b.column(b.num_columns - 1)):
                 doc, term, n = _sparse(m.vocabulary, sieve, data, offsets, m.cfg)
                 at = np.searchsorted(doc, np.arange(len(offsets))).tolist()
                 for a, z in zip(at, at[1:]):
-                    if a == z:
-                        scores.append(m.blank)
-                        evidence.append(none)
-                        continue
-                    s, who, sim = m.score(term[a:z], n[a:z])
-                    scores.append(s)
-                    evidence.append([{"doc_id": int(m.index.ids[i]), "similarity": float(c), "toxic": int(m.index.toxic[i])} for i, c in zip(who[: m.cfg.evidence], sim)])
+                    score, found = m.score(term[a:z], n[a:z])
+                    scores.append(score)
+                    evidence.append(found)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             text = [b.columns[-1]] * keep_text
             yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind), *text], [*names, "_toxicity", "_evidence", *["_text"] * keep_text])
