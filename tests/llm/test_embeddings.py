@@ -47,4 +47,12 @@ def test_brute(spark, dims, crowd, finer):
 def test_rotation_keeps_lengths():
     q = embedding_dedup.rotation(64, 7)
     assert np.allclose(q @ q.T, np.eye(64))
-    assert embedding_dedup.block_edges(64, embedding_dedup.EmbeddingConfig()).tolist() == list(range(0, 65, 8))
+    assert embedding_dedup.block_edges(64, embedding_dedup.EmbeddingConfig()).tolist() == [0, 16, 32, 48, 64]
+
+
+def test_ties_and_equal_ids(spark):
+    """A cosine equal to the threshold is a link; rows of one id are separate vectors."""
+    a, b, c = [1.0, 1.0, 1.0, 1.0], [1.0, 1.0, 1.0, -1.0], [1.0, -1.0, 0.0, 0.0]
+    x = spark.createDataFrame([(1, a, 1), (1, c, 1), (2, b, 1), (3, [5 * v for v in a], 1), (4, a, 2)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.id, r.n_links, r.component) for r in embedding_dedup.embedding_duplicates(x, embedding_dedup.EmbeddingConfig(cosine=0.5)).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]

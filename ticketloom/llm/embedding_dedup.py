@@ -3,13 +3,17 @@
 Vectors of length 1 with cosine >= c are at most D = 2 (1 - c) apart in squared distance. After a fixed random rotation
 the space is split into blocks of `block_dims` dimensions; some block then holds at most its proportional share of D.
 So each block is joined on its own: vectors within sqrt(share) of each other in the block's leading coordinates meet
-in a grid cell of that width (home in one cell, guest in half of its neighbours, so each pair meets once), block
-distances within the share are candidates, and candidates are verified by their cosine in double precision. A
+in a grid cell of that width (home in one cell, guest in those of half of its neighbours whose walls are that near, so
+each pair meets once), block distances within the share are candidates, and candidates are verified by their cosine in
+double precision. Of random unit vectors of 64 dimensions about one pair in six million is a candidate in a block of
+16 (one in four thousand in a block of 8), so verification costs next to nothing beside the distances. A
 pair counts only in the first block that yields it, so links are counted without gathering pairs: a task sends each
 vector's number of links and a spanning tree.
 
 Copies (equal label and components) are one class with a weight. The number of grid coordinates follows the size of
-a label; cells that are still crowded are split into pairs of parts, which are tasks of their own.
+a label; cells that are still crowded are split into pairs of parts, which are tasks of their own. The width of a cell is
+about the spread of a coordinate, so the grid saves a constant share of the distances: they grow with the square of a
+label's classes, as matrix products.
 
 Defined results: null labels, null vectors, vectors of zeros or with null or non-finite components link with nothing;
 vectors of different lengths don't either. Every row of the input gives a row; rows of the same id are separate
@@ -27,14 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 from ticketloom.llm import _text
 from ticketloom.llm._components import connected_components
 from ticketloom.llm._groups import runs, spanning
-from ticketloom.llm._store import materialise
+from ticketloom.llm._store import materialise, temporary
 from ticketloom.llm._text import U
 
 
 @dataclass(frozen=True)
 class EmbeddingConfig:
     cosine: float = 0.93
-    block_dims: int = 8
+    block_dims: int = 16
     #: Classes of a label from which the grid has two, three coordinates.
     finer: tuple = (20_000, 400_000)
     #: Vectors of a cell that one task compares.
@@ -86,15 +90,19 @@ def _places(cfg: EmbeddingConfig):
                         if not len(own):
                             continue
                         coords = min(g, int(edges[k + 1] - edges[k]))
-                        cell = np.floor(x[own, edges[k] : edges[k] + coords] / width).astype(np.int64)
+                        at = x[own, edges[k] : edges[k] + coords] / width
+                        cell = np.floor(at).astype(np.int64)
+                        # In widths: how far the next cells' walls are, squared.
+                        wall = np.stack([(at - cell) ** 2, np.zeros(at.shape), (cell + 1 - at) ** 2])
                         for n, step in enumerate(np.ndindex(*(3,) * coords)):
                             if n < 3**coords // 2:
                                 continue  # the other half of the neighbours
-                            key = _text.mix(label[own].astype(np.int64).view(U) ^ U(d * 1_000_003 + k * 31 + g))
+                            near = np.flatnonzero(sum(wall[s, :, c] for c, s in enumerate(step)) <= 1)
+                            key = _text.mix(label[own[near]].astype(np.int64).view(U) ^ U(d * 1_000_003 + k * 31 + g))
                             for c, s in enumerate(step):
-                                key = _text.mix(key ^ (cell[:, c] + (s - 1)).view(U) * U(0x9E3779B97F4A7C15))
+                                key = _text.mix(key ^ (cell[near, c] + (s - 1)).view(U) * U(0x9E3779B97F4A7C15))
                             home = n == 3**coords // 2
-                            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(own), home)), pa.array(np.full(len(own), k, np.int32)), pa.array(cls[own])], ["cell", "home", "block", "cls"])
+                            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(near), home)), pa.array(np.full(len(near), k, np.int32)), pa.array(cls[own[near]])], ["cell", "home", "block", "cls"])
 
     return run
 
@@ -171,6 +179,11 @@ def _compare(cfg: EmbeddingConfig):
 
 def embedding_duplicates(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component: one row for each row of vectors."""
+    with temporary() as keep:
+        return _duplicates(vectors, cfg, id_col, vector_col, label_col, keep)
+
+
+def _duplicates(vectors: DataFrame, cfg: EmbeddingConfig, id_col: str, vector_col: str, label_col: str, keep) -> DataFrame:
     spark = vectors.sparkSession
     e = F.col("embedding")
     fine = F.coalesce(F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(e, lambda c: c != 0), F.lit(False))
@@ -195,5 +208,5 @@ def embedding_duplicates(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingCon
     c = classes.select("cls", "w", "least").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = c.groupBy("root").agg(F.min("least").alias("component"))
     c = c.join(least, "root").select("cls", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component")
-    out = x.select("id", "cls").join(materialise(c, "classes"), "cls", "left")
+    out = x.select("id", "cls").join(keep(materialise(c, "classes")), "cls", "left")
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
