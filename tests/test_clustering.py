@@ -139,3 +139,36 @@ def test_passes_beyond_a_block(spark, monkeypatch):
     assert close(sorted(map(tuple, kmeans.silhouette_rows(v).collect())), one)
     assert close(top(10), ones) and len(ones) == 3 * 76
     assert kmeans.optimal_k(e.where("l < 9"), 4, inits=2) == 3
+
+
+def test_starts_share_passes(spark):
+    """The best of ten starts costs no more than any one of them, and each is a local optimum."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(30, 5)) + 6 * rng.normal(size=5) for _ in range(7)])
+    x = spark.createDataFrame([(r.tolist(),) for r in v], "embedding array<double>").repartition(3)
+    runs = kmeans.fit_many(x, [(7, s) for s in range(5)] + [(3, 1)])
+    for cost, c in runs:
+        d = ((v[:, None] - c[None]) ** 2).sum(-1)
+        own = d.argmin(axis=1)
+        assert d.min(axis=1).sum() <= cost + 1e-6 and len(set(own.tolist())) == len(c)
+        assert all(np.allclose(v[own == i].mean(axis=0), c[i], atol=0.05) for i in range(len(c)))
+    best = np.array(kmeans.fit(x, 7, seed=0, inits=5))
+    assert ((v[:, None] - best[None]) ** 2).sum(-1).min(axis=1).sum() <= min(c for c, _ in runs[:5]) + 1e-6
+    with pytest.raises(ValueError):
+        kmeans.fit(x.limit(0), 3)
+
+
+def test_labels_near_centroids(spark):
+    from ticketloom.plans import pipeline
+
+    rows = [(f"T{i}", "steel bolt" if i < 3 else "tin can" if i < 5 else "nothing", 0, [float(i), 0.0]) for i in range(9)] + [(f"U{i}", "plain", 1, [50.0 + i, 0.0]) for i in range(3)]
+    x = spark.createDataFrame(rows, "issue_id string, summary string, cluster_id int, embedding array<double>")
+    near = pipeline.near_centroid(x, 5).collect()
+    assert sorted(r.issue_id for r in near if r.cluster_id == 0) == ["T2", "T3", "T4", "T5", "T6"] and {r["rank"] for r in near} == {1, 2, 3, 4, 5}
+    got = {r.cluster_id: r.label for r in pipeline.label_clusters(x, {"a": {"keywords": ["steel"]}, "b": {"keywords": ["TIN"]}}).collect()}
+    assert got == {0: "b", 1: None}
+    stats, run = pipeline.RunStatistics(), pipeline.ClusteringResult(x, x, 12, 2, 1.5)
+    stats.add(run)
+    stats.add(run)
+    assert (stats.runs, stats.total_time, stats.average_time) == (2, 3.0, 1.5) and pipeline.RunStatistics().average_time == 0.0
+    assert sorted(pipeline.register_views(spark, run, "t_")) == ["t_assignments", "t_clusters", "t_totals"] and spark.sql("SELECT max(total_tasks) AS n FROM t_totals").first().n == 12

@@ -37,6 +37,22 @@ def test_batches_equal_stream(spark, tmp_path):
     assert key(store.read()) == before
 
 
+def test_store_keeps_what_it_needs(spark, tmp_path):
+    """A batch rewrites its own buckets; versions beyond the last ones go, rows stay."""
+    store = updates.SnapshotStore(spark, str(tmp_path / "s"), "k string, v int", key="k", buckets=8, keep=2)
+    want = {}
+    for n in range(6):
+        batch = spark.createDataFrame([(f"k{n}", n), ("k0", n)], "k string, v int")
+        only = store.touched(batch)
+        old = store.read(before=n, only=only)
+        store.write(old.join(batch, "k", "left_anti").unionByName(batch.dropDuplicates(["k"]) if n == 0 else batch), n, only)
+        want |= {f"k{n}": n, "k0": n}
+        assert {r.k: r.v for r in store.read().collect()} == want and store.read().count() == len(want)
+    assert store._versions() == [4, 5] and len(list((tmp_path / "s" / "list").iterdir())) == 2
+    assert len([f for f in (tmp_path / "s" / "data").rglob("bucket=*")]) <= 2 * 8
+    assert {r.k: r.v for r in store.read(before=5).collect()} == {f"k{n}": n for n in range(1, 5)} | {"k0": 4}
+
+
 def test_windows_and_last(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     got = updates.window_counts(events, "ts", "1 hour")
