@@ -43,3 +43,43 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+EXTRA = "_text string, _row string, _rest string, id long, cls string, _kept int, _chunk string, n int, _toxicity double, _evidence string, _rules string, _spans int, _no string"
+
+
+def odd_rows():
+    long = " ".join(f"w{i}" for i in range(30000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = ["plain words of one text", None, "", " \n\t", long, long + " more", f"one {passage} two", f"three {passage} four", "password=hunter2secret in a text", "ünï 中文 é"]
+    rows = [(i, t, None if i == 3 else "en", None if i == 4 else "src", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[6], (None, "a text without an id", "en", "src", 20), (None, None, None, None, None)]
+    return [(*r, f"x{k}", None, "r", k, "c", 1, "k", None, 0.5, "e", None, 2, "z") for k, r in enumerate(rows)]
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, through each stage on its own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    key = lambda x: sorted(map(repr, map(tuple, x)))
+    for name, stage in corpus_pipeline.STAGES:
+        x = materialise(stage(spark, docs, SF), name)
+        got = x.collect()
+        if name == "toxicity":
+            assert x.columns == docs.columns and key(got) == key(rows)
+        elif name == "minhash_near_dedup":  # rows of one id stay together, near copies go
+            assert x.columns == docs.columns and key(got) == key([r for r in rows if r[0] not in (5, 7)])
+        elif name == "substring_dedup":
+            assert len(got) == len(rows) and all(tuple(g)[5:] == r[5:] for g, r in zip(sorted(got, key=lambda g: g.id), rows))
+            by = {r.id: r for r in got}
+            assert by[1].text is None and by[2].text == "" and by[3].text == " \n\t" and by[9].text == rows[9][1] and by[12].text == rows[12][1]
+            assert by[4].text == "" and by[5].text == "more" and by[6].text == by[11].text == "" and by[7].text == "three four"
+            assert all((r.n_chars is None) == (r.text is None) and r.n_chars in (None, len(r.text or "")) for r in got)
+        elif name == "secret_scan":
+            by = {r.id: r for r in got}
+            assert len(got) == len(rows) and by[8].text == "[secret] in a text" and by[4].text == rows[4][1] and by[13].text is None
+        else:
+            assert [r.length for r in got if r.doc_id in (1, 2)] == [1, 1] and {r.doc_id for r in got} == {r[0] for r in rows}
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0 and (name == "best_fit_packing" or empty.columns == docs.columns)

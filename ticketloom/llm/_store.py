@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not (spark.sparkContext.master + "[").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="ticketloom-")
-        atexit.register(shutil.rmtree, _FALLBACK[app], ignore_errors=True)
-    return f"file://{_FALLBACK[app]}"
+from ticketloom.session import work_dir
+
+#: The session's spark.checkpoint.dir; only a local session without one gets a folder of its own.
+shared_dir = work_dir
 
 
 @contextmanager

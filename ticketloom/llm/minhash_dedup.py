@@ -13,7 +13,7 @@ beyond the size of a task (`crowd` classes or `crowd_shingles` shingles) are spl
 likewise. The links found make the components.
 
 What isn't linked: a pair at the threshold shares no region with probability (1 - 0.85**3)**10, about 7e-5, and agrees in
-too few minima with probability 2e-5 (binomial), in regions of every size. Pairs of parts grow with the square of a
+too few minima with probability 9e-6 (binomial), in regions of every size. Pairs of parts grow with the square of a
 region's classes, as does the work where they are not alike; both are spread over as many tasks.
 
 Texts are written once, bucketed by chunk, and never shuffled; sets of candidates only are. Classes, keys and edges
