@@ -26,6 +26,7 @@ columns are not read; repeated rows are scored alike; empty tables give empty re
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,15 +168,15 @@ class BlockMaxIndex:
         self.ids = np.array([r[0] for r in filled], dtype=np.int64)
         self.toxic = np.array([r[1] for r in filled], dtype=np.float64)
         n, v = len(filled), len(idf)
-        term = np.concatenate([r[2] for r in filled]) if n else np.zeros(0, np.int64)
-        example = np.repeat(np.arange(n), [len(r[2]) for r in filled]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([self.weights(r[2], r[3]) for r in filled]) if n else np.zeros(0)
-        order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        term = np.concatenate([r[2] for r in filled]).astype(np.int32) if n else np.zeros(0, np.int32)
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(r[2]) for r in filled]) if n else np.zeros(0, np.int32)
+        order = np.argsort(term, kind="stable")  # examples stay in order within a term
+        self.weight = np.concatenate([self.weights(r[2], r[3]) for r in filled])[order] if n else np.zeros(0)
+        term, example = term[order], example[order]
         self.n_blocks = -(-n // self.block) if n else 0
         # A cell is a term in a block that holds it: its block, its largest weight, its first posting.
-        block = self.example // self.block
-        self.slot = self.example % self.block
+        block = example // self.block
+        self.slot = (example % self.block).astype(np.int16 if self.block <= 1 << 15 else np.int32)
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(new)
@@ -264,18 +265,18 @@ class Model:
             return self.base
         return float(((sim * index.toxic[at]).sum() + self.cfg.prior * self.base) / (sim.sum() + self.cfg.prior))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        """Score and evidence."""
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
+        """Score and evidence (id, similarity, label)."""
         if not len(terms):
             return self.blank, []
-        key = terms.tobytes() + counts.tobytes()
+        key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.seen:
             index, at, sim = self.nearest(terms, counts)
             vote = self.vote(index, at, sim)
             fitted = float(np.interp(vote, *self.knots)) if self.knots else vote
             if len(self.seen) >= self.cfg.remembered:
                 self.seen.clear()
-            evidence = [{"doc_id": int(index.ids[i]), "similarity": float(c), "toxic": int(index.toxic[i])} for i, c in zip(at[: self.cfg.evidence], sim)]
+            evidence = [(int(index.ids[i]), float(c), int(index.toxic[i])) for i, c in zip(at[: self.cfg.evidence], sim)]
             # The vote keeps a small share, so that scores that are calibrated alike stay in order.
             self.seen[key] = 0.9 * fitted + 0.1 * vote, evidence
         return self.seen[key]
@@ -328,7 +329,12 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
     vocabulary, sure, df = vocabulary[stays], sure[stays], np.append(df[:-1][stays], df[-1])
     idf = np.log1p(df[-1] / np.maximum(1, df[:-1]))
     vectors = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "aside", "_text").mapInArrow(_example_vectors(vocabulary, cfg), "doc_id long, toxic int, aside boolean, terms array<int>, counts array<int>")
-    rows = [(r.doc_id, int(r.toxic >= 1), np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64), r.aside) for r in vectors.collect()]  # max_examples rows
+    t = vectors.toArrow()  # max_examples rows
+    ids, toxic, aside = (t.column(c).to_pylist() for c in ("doc_id", "toxic", "aside"))
+    lists = [t.column(c).combine_chunks() for c in ("terms", "counts")]
+    at = lists[0].offsets.to_numpy()
+    term, count = (x.values.to_numpy() for x in lists)
+    rows = [(d, int(y >= 1), term[a:z], count[a:z], k) for d, y, k, a, z in zip(ids, toxic, aside, at[:-1].tolist(), at[1:].tolist())]
     rows.sort(key=lambda r: r[0])
     return Model(cfg, vocabulary, sure, idf, rows)
 
@@ -356,7 +362,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
                 for a, z in zip(at, at[1:]):
                     score, found = m.score(term[a:z], n[a:z])
                     scores.append(score)
-                    evidence.append(found)
+                    evidence.append([dict(zip(("doc_id", "similarity", "toxic"), e)) for e in found])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             text = [b.columns[-1]] * keep_text
             yield pa.record_batch([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind), *text], [*names, "_toxicity", "_evidence", *["_text"] * keep_text])
