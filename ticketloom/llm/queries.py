@@ -148,7 +148,7 @@ def _quality_sql() -> str:
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
  x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) u(i)), f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x),
  v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f, range(3) u(k) WHERE c > 1 GROUP BY doc_id),
- m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, y -> length(y))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), y -> regexp_matches(y, '{_WORDS}')) AS l, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
+ m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORDS}')) AS l, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
  c AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_percent} * n_words AS base_failed FROM m),
  r AS (SELECT *, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_rate, n_dup_lines::DOUBLE / greatest(len(l), 1) AS dup_line_rate, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_rate, word_chars::DOUBLE / greatest(n_words, 1) AS long_word FROM c),
  p AS (SELECT * FROM r WHERE NOT base_failed), own AS (SELECT lang, source, {fences} FROM p GROUP BY lang, source), l AS (SELECT lang, {fences} FROM p GROUP BY lang), a AS (SELECT {fences} FROM p)
