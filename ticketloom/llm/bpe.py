@@ -2,8 +2,8 @@
 
 Texts are cut by the character classes of the published pattern ('s|'t|...| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|
 \\s+(?!\\S)|\\s+) with array operations over code points. Distinct pieces that are not known yet are merged in padded
-matrices, one for each byte length: each round every row merges its leftmost pair of least rank, pairs are found in a
-hash table of (left, right) -> rank, and rows without a mergeable pair leave the matrix. A row of L bytes costs O(L) a
+matrices, one for each bucket of byte lengths (`BUCKETS`): each round every row merges its leftmost pair of least rank,
+pairs are found in a hash table of (left, right) -> rank, and rows without a mergeable pair leave the matrix. A row of L bytes costs O(L) a
 round, so pieces of more than `WIDEST` bytes (runs of base64, say) are merged one at a time from a heap of pairs
 instead, in the same order, by O(L log L). Pieces are kept in a bounded hash table by worker (`MAX_PIECES`); when it is
 full it is emptied, which costs time and changes no result.
@@ -35,6 +35,10 @@ from ticketloom.llm._text import U
 MAX_PIECES = 1 << 20
 #: Bytes of a piece that is merged in a matrix.
 WIDEST = 512
+#: Widths of the matrices: pieces are padded to the next one.
+BUCKETS = np.array([*range(1, 17), 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512])
+#: Fills a row after its piece; no pair has it.
+_PAD = np.int32(2**31 - 2)
 _NONE = np.int32(2**31 - 1)
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -183,11 +187,12 @@ class Encoder:
         starts = at[chars]
         return np.append(starts, len(data)), np.searchsorted(starts, offsets)
 
-    def _merge(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """rows (n x L byte values) to (ids one row after another, number of each)."""
+    def _merge(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """rows (n x L byte values, `size` of them in each row) to (ids one row after another, number of each)."""
         n, width = rows.shape
-        ids = self.byte_ids[rows]
-        out, length = np.zeros((n, width), np.int32), np.full(n, width)
+        pad = width - size  # a row merges one pair a round and gets narrower with the matrix, so its padding stays
+        ids = np.where(np.arange(width) < size[:, None], self.byte_ids[rows], _PAD)
+        out, length = np.zeros((n, width), np.int32), size.copy()
         alive = np.arange(n)
         key = lambda a, b: ((a.astype(np.int64) << 32) | b.astype(np.int64)).astype(U) + U(1)
         rank = self.pairs.get(key(ids[:, :-1].ravel(), ids[:, 1:].ravel())).reshape(n, width - 1) if width > 1 else np.full((n, 0), _NONE)
@@ -203,7 +208,7 @@ class Encoder:
             done = best == _NONE
             if done.any():
                 out[alive[done], :w] = ids[done]
-                length[alive[done]] = w
+                length[alive[done]] = w - pad[alive[done]]
                 alive, ids, rank, j, best = (x[~done] for x in (alive, ids, rank, j, best))
                 if not len(alive):
                     break
@@ -264,24 +269,22 @@ class Encoder:
             if len(ids) > 1 and size[g] <= self.token_len.max() and (t := self.whole.get(data[starts[g] : ends[g]].tobytes())) is not None:
                 ids = np.array([t], dtype=np.int32)
             self._store(hashes[g : g + 1], check[g : g + 1], ids, np.array([len(ids)]))
-        order = np.argsort(size, kind="stable")
-        order = order[: np.searchsorted(size[order], WIDEST, side="right")]
-        if not len(order):
-            return
-        cuts = np.flatnonzero(np.diff(size[order])) + 1
-        for group in np.split(order, cuts):
-            width = int(size[group[0]])
+        short = np.flatnonzero(size <= WIDEST)
+        widths = np.minimum(BUCKETS[np.minimum(np.searchsorted(BUCKETS, size[short]), len(BUCKETS) - 1)], WIDEST)
+        widths = np.maximum(widths, size[short])
+        for width in np.unique(widths).tolist():
+            group = short[widths == width]
             step = max(1, (1 << 21) // max(1, width))
             for i in range(0, len(group), step):
                 g = group[i : i + step]
-                rows = data[starts[g][:, None] + np.arange(width)]
-                ids, n = self._merge(rows)
+                rows = data[np.minimum(starts[g][:, None] + np.arange(width), len(data) - 1)]
+                ids, n = self._merge(rows, size[g])
                 # A piece that is itself a token is that token, even where merging would end elsewhere.
-                if self.whole and width <= self.token_len.max() and (many := np.flatnonzero(n > 1)).size:
+                if self.whole and (many := np.flatnonzero((n > 1) & (size[g] <= self.token_len.max()))).size:
                     at = np.concatenate([[0], np.cumsum(n)])
                     keep = np.ones(len(ids), dtype=bool)
                     for k in many:
-                        if (t := self.whole.get(rows[k].tobytes())) is not None:
+                        if (t := self.whole.get(rows[k, : size[g[k]]].tobytes())) is not None:
                             ids[at[k]] = t
                             keep[at[k] + 1 : at[k + 1]] = False
                             n[k] = 1
