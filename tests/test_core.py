@@ -195,6 +195,10 @@ def test_result_round_trip(spark, tmp_path):
     assert {(r.cluster_id, r["size"], r.is_noise) for r in tickets.result_rows(back).collect()} == {(0, 1, False), (-1, 1, True)}
     assert main(["export", "-i", str(tmp_path / "r.json"), "-o", str(tmp_path / "csv"), "-f", "CSV"]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    (tmp_path / "d.csv").write_text("summary,description\none,\"text, of\ntwo lines\"\n,second\n" + "x,y\n" * 20)
+    assert main(["demo", "-i", str(tmp_path / "d.csv"), "-o", str(tmp_path / "demo")]) == 0
+    demo = {r.issue_id: r for r in spark.read.json(str(tmp_path / "demo")).collect()}
+    assert len(demo) == 10 and demo["TASK-001"].description == "text, of\ntwo lines" and demo["TASK-002"].summary == "No summary"
     assert main(["export", "-i", str(tmp_path / "r.json"), "-o", str(tmp_path / "x"), "-f", "pdf"]) == 1 and main(["export", "-i", str(tmp_path / "no.json"), "-o", "x"]) == 1
     with pytest.raises(ValueError):
         sinks.export(doc, report, str(tmp_path / "y"), "xml")

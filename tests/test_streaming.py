@@ -76,10 +76,10 @@ def test_sessions(spark, tmp_path):
     turns = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in sessions.session_rollup(turns).collect()}
     assert got[1].transcript == "user: a\nassistant: b" and (got[1].turns, got[1].user_turns, got[1].last_turn) == (2, 1, 1)
-    m = spark.createDataFrame([("s1", "user", "hi", 15, None), ("s1", "assistant", "ok", None, 0.3), ("s2", "user", "yo", None, None)], "session_id string, role string, content string, min_size int, epsilon double")
+    m = spark.createDataFrame([("s1", "assistant", "ok", None, 0.3, 2), ("s1", "user", "hi", 15, None, 1), ("s2", "user", "yo", None, None, 3)], "session_id string, role string, content string, min_size int, epsilon double, at int")
     m.coalesce(1).write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema(m.schema).parquet(str(tmp_path / "m"))
-    q = sessions.track_sessions(stream).writeStream.outputMode("update").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    q = sessions.track_sessions(stream, order="at").writeStream.outputMode("update").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
     for _ in range(60):
         if q.awaitTermination(1) or spark.table("s").count():
             break

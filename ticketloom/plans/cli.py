@@ -53,6 +53,7 @@ def _parser() -> argparse.ArgumentParser:
         return c
 
     command("preprocess")
+    command("demo")
     command("vectorize").add_argument("-m", "--model", default="all-MiniLM-L6-v2")
     for name in ("cluster", "analyze"):
         c = command(name)
@@ -84,6 +85,10 @@ def main(argv: list[str] | None = None) -> int:
             print("No valid rows")
         else:
             sinks.write_tasks(x, a.output)
+    elif a.command == "demo":  # any CSV: missing columns get defaults
+        x = tickets.lenient_tasks(tickets.read_csv(spark, a.input)).withColumn("cluster_label", F.lit(None).cast("string"))
+        demo_distribution(x).orderBy("demo_cluster").show(truncate=False)
+        sinks.write_tasks(sinks.demo_sample(x, 10, "ord"), a.output)
     elif a.command == "vectorize":
         sinks.write_tasks(embed_tasks(tickets.read_processed(spark, a.input), model_for(a.model)), a.output)
     elif a.command in ("cluster", "analyze"):

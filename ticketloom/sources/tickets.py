@@ -88,6 +88,7 @@ def lenient_tasks(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     return x.select(
         c("issue_id", F.format_string("TASK-%03d", F.col("_ord") + 1)).alias("issue_id"), c("summary", F.lit("No summary")).alias("summary"), c("description", F.lit("")).alias("description"),
         c("created_at", now).alias("created_at"), c("updated_at", now).alias("updated_at"), c("status", F.lit("To Do")).alias("status"), F.substring(c("description", F.lit("")), 1, 200).alias("cleaned_description"),
+        F.col("_ord").alias("ord"),
     )
 
 

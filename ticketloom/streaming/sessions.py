@@ -22,9 +22,10 @@ SESSION_OUT = "session_id string, messages long, last_role string, min_cluster_s
 SESSION_STATE = "messages long, last_role string, min_cluster_size int, epsilon double"
 
 
-def track_sessions(messages: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def track_sessions(messages: DataFrame, idle_ms: int = 3_600_000, order: str | None = None) -> DataFrame:
     """messages (session_id, role, content, min_size, epsilon; the last two from functions.intents.parameter): running
-    state of each session. After idle_ms without a message the state is dropped;
+    state of each session. Messages of one batch count in the order of the column `order`, if it is named; a session's
+    messages of one batch are gathered for that. After idle_ms without a message the state is dropped;
     such timeouts need batches without data, so run it with a processing-time trigger."""
 
     def step(key, frames, state: GroupState):
@@ -32,7 +33,7 @@ def track_sessions(messages: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             return
         n, role, size, eps = state.get if state.exists else (0, "", None, None)
-        for f in frames:
+        for f in [pd.concat(list(frames)).sort_values(order, kind="stable")] if order else frames:
             n += len(f)
             if len(f):
                 role = f.role.iloc[-1]
