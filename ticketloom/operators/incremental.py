@@ -11,18 +11,19 @@ TOLERANCE_MICROS = 1_000_000
 PRESERVE_SIMILARITY = 0.8
 
 
-def _marks(df: DataFrame) -> Column:
-    """What a comparison needs of a row, small whatever its texts: fingerprint, and the sets of characters of its texts."""
+def _marks(df: DataFrame, side: str) -> list[Column]:
+    """What a comparison needs of a row, small whatever its texts: fingerprint, and the sets of characters of its texts. Columns
+    of their own, so that those that a query doesn't read are not computed."""
     text = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    return F.struct(
-        F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), content_fingerprint(text("summary"), text("description"), text("cluster_label")).alias("fingerprint"),
-        characters(text("summary")).alias("summary"), characters(text("cleaned_description")).alias("cleaned_description"),
-    )
+    return [
+        F.unix_micros(F.col("updated_at").cast("timestamp")).alias(f"_{side}_at"), content_fingerprint(text("summary"), text("description"), text("cluster_label")).alias(f"_{side}_fingerprint"),
+        characters(text("summary")).alias(f"_{side}_summary"), characters(text("cleaned_description")).alias(f"_{side}_cleaned_description"),
+    ]
 
 
-def meaningful_update(new: str = "_new_marks", old: str = "_old_marks") -> Column:
+def meaningful_update(new: str = "_new", old: str = "_old") -> Column:
     """Newer by more than a second, or other content; an older timestamp alone is no update."""
-    return F.coalesce(F.col(f"{new}.at") - F.col(f"{old}.at") > TOLERANCE_MICROS, F.lit(False)) | (F.col(f"{new}.fingerprint") != F.col(f"{old}.fingerprint"))
+    return F.coalesce(F.col(f"{new}_at") - F.col(f"{old}_at") > TOLERANCE_MICROS, F.lit(False)) | (F.col(f"{new}_fingerprint") != F.col(f"{old}_fingerprint"))
 
 
 def categorize(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -30,16 +31,16 @@ def categorize(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     Fingerprints and character sets are taken before the join, so texts cross it only where `new` or `old` is read.
     """
-    old = existing.select(F.col("issue_id").alias("_id"), F.struct("*").alias("old"), _marks(existing).alias("_old_marks"))
-    new = incoming.select(F.col("issue_id").alias("_new_id"), F.struct("*").alias("new"), _marks(incoming).alias("_new_marks"))
+    old = existing.select(F.col("issue_id").alias("_id"), F.struct("*").alias("old"), *_marks(existing, "old"))
+    new = incoming.select(F.col("issue_id").alias("_new_id"), F.struct("*").alias("new"), *_marks(incoming, "new"))
     x = new.join(old, F.col("_new_id") == F.col("_id"), "left")
     c = F.when(F.col("_id").isNull(), "new").when(meaningful_update(), "updated").otherwise("unchanged")
     return x.select("new", "old", c.alias("category"), preserve_clustering().alias("alike"))
 
 
-def preserve_clustering(new: str = "_new_marks", old: str = "_old_marks") -> Column:
+def preserve_clustering(new: str = "_new", old: str = "_old") -> Column:
     """Both summary and cleaned description are alike enough to keep the cluster."""
-    like = lambda c: set_jaccard(F.col(f"{new}.{c}"), F.col(f"{old}.{c}")) >= PRESERVE_SIMILARITY
+    like = lambda c: set_jaccard(F.col(f"{new}_{c}"), F.col(f"{old}_{c}")) >= PRESERVE_SIMILARITY
     return like("summary") & like("cleaned_description")
 
 
