@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.functions import intents, labels, text, vectors
+from ticketloom.functions import labels, text, vectors
 from ticketloom.operators import embed, hdbscan, kmeans, prepare, reports
 from ticketloom.plans import chat, config, executor, pipeline
-from ticketloom.plans.queries import _CATEGORY, _CENTROIDS, _CHANGED, _NOISE, _TASKS, PART_LABELS, START, _clean, _intent_case, _label_case, _values, _with_centroids, changed, fresh_folder, table, tasks, vector_tasks
+from ticketloom.plans.queries import _CATEGORY, _CENTROIDS, _CHANGED, _NOISE, _TASKS, PART_LABELS, _clean, _label_case, _values, _with_centroids, changed, fresh_folder, table, tasks, vector_tasks
 from ticketloom.schema import PROCESSED
 from ticketloom.sources import sinks, tickets
 from ticketloom.streaming import updates
@@ -203,17 +203,11 @@ def q62_near_centroid(spark, sf_dir):
 
 def q63_cluster_labels(spark, sf_dir):
     """Clusters of parts by brand take the keyword label of most of the five parts nearest their mean."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("issue_id"), F.concat_ws(" ", "p_name", "p_type").alias("summary"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("embedding"), F.dense_rank().over(_by_brand()).alias("cluster_id"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("issue_id"), F.concat_ws(" ", "p_name", "p_type").alias("summary"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("embedding"), F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int").alias("cluster_id"))
     x = pipeline.label_clusters(p, PART_LABELS)
     return x.select("cluster_id", F.col("label").isin(*PART_LABELS).alias("known"))
 
 
-def _by_brand():
-    from pyspark.sql import Window
-
-    return Window.orderBy("p_brand")
-
-
 PRESET_CHECKS = ((10, "conservative"), (30, "conservative"), (19, "balanced"), (20, "balanced"), (9, "aggressive"), (1000, "kmeans_focused"))
 
 
@@ -230,13 +224,14 @@ def q64_validation(spark, sf_dir):
 
 
 def q65_executor(spark, sf_dir):
-    """Python over every part's name on the cluster: ordered results, errors in place, batches."""
-    names = [r.p_name for r in table(spark, sf_dir, "part").orderBy("p_partkey").limit(200).collect()]
+    """Python over every supplier's name on the cluster: ordered results, errors in place, batches. The caller's list is the
+    input, so it is a small table's."""
+    names = [r.s_name for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
 
     def words(name):
-        if "e" not in name:
+        if "7" in name:
             raise ValueError(name)
-        return len(name.split())
+        return len(name.split("#"))
 
     got = executor.submit_batch(spark, words, [(n,) for n in names])
     sizes = executor.map_parallel(spark, len, names)
@@ -336,11 +331,11 @@ ORACLE_SQL = {
     "q61_describe": f"""WITH x AS (SELECT p_partkey, list_filter({_label_case("coalesce(p_name, '') || ' ' || coalesce(p_type, '')")}, lambda y: y IS NOT NULL)[1] AS label FROM part)
  SELECT p_partkey, x.label, description FROM x LEFT JOIN {_values([(k, v["description"]) for k, v in PART_LABELS.items()])} d(label, description) ON x.label = d.label""",
     "q62_near_centroid": f"WITH {_CENTROIDS} SELECT label AS cluster_id, vec_id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id)::INT AS rank FROM d QUALIFY rank <= 5",
-    "q63_cluster_labels": f"""WITH x AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand)::INT AS cluster_id, p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b, len(list_filter({_label_case("p_name || ' ' || p_type")}, lambda y: y IS NOT NULL)) > 0 AS known FROM part),
+    "q63_cluster_labels": f"""WITH x AS (SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS cluster_id, p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b, len(list_filter({_label_case("p_name || ' ' || p_type")}, lambda y: y IS NOT NULL)) > 0 AS known FROM part),
  m AS (SELECT cluster_id, avg(a) AS ma, avg(b) AS mb FROM x GROUP BY cluster_id), y AS (SELECT x.*, row_number() OVER (PARTITION BY cluster_id ORDER BY (a - ma) ^ 2 + (b - mb) ^ 2, p_partkey::VARCHAR) AS rn FROM x JOIN m USING (cluster_id))
  SELECT cluster_id, CASE WHEN bool_or(known) THEN true END AS known FROM y WHERE rn <= 5 GROUP BY cluster_id""",
     "q64_validation": "SELECT * FROM (VALUES (10, 'conservative', 15, 0.8::DOUBLE, 10, 'hdbscan', false, 1, 1), (30, 'conservative', 15, 0.8, 10, 'hdbscan', true, 0, 0), (19, 'balanced', 10, 0.5, 15, 'hdbscan', false, 1, 1), (20, 'balanced', 10, 0.5, 15, 'hdbscan', true, 0, 0), (9, 'aggressive', 5, 0.3, 25, 'hdbscan', false, 1, 1), (1000, 'kmeans_focused', 8, 0.5, 12, 'kmeans', true, 0, 0), (0, 'odd', 10, 1.5, 2, 'kmeans', false, 1, 2)) v(n, name, min_cluster_size, epsilon, max_clusters, algorithm, valid, issues, suggestions)",
-    "q65_executor": "SELECT row_number() OVER (ORDER BY p_partkey)::INT AS i, CASE WHEN contains(p_name, 'e') THEN len(string_split(p_name, ' '))::INT END AS words, length(p_name)::INT AS size, upper(p_name) AS upper FROM part ORDER BY p_partkey LIMIT 200",
+    "q65_executor": "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS i, CASE WHEN NOT contains(s_name, '7') THEN len(string_split(s_name, '#'))::INT END AS words, length(s_name)::INT AS size, upper(s_name) AS upper FROM supplier",
     "q66_chat": "WITH d AS (SELECT count(*) AS k FROM documents WHERE " + _STAY + " <> '') SELECT n, intent, action, CASE WHEN loaded = 1 THEN k END AS tickets, loaded = 1 AS loaded, clustered = 1 AS clustered, min_size, 2 * n + 2 AS messages FROM (VALUES " + ", ".join("(" + ", ".join(map(_null, r)) + ")" for r in _CHAT_ROWS) + ") v(n, intent, action, loaded, clustered, min_size), d",
     "q67_large_dictionary": f"WITH {_PART_WORDS} SELECT p_partkey, count(*) AS labels, sum(length(keyword))::BIGINT AS letters FROM part JOIN w ON contains(lower(p_type || ' ' || p_name), lower(keyword)) GROUP BY p_partkey",
     "q68_views": f"WITH {_NOISE} SELECT cluster_id, size, size AS counted FROM r",

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.functions import intents, labels, text, vectors
-from ticketloom.operators import hdbscan, incremental, kmeans, prepare, reports
+from ticketloom.operators import incremental, kmeans, prepare, reports
 from ticketloom.operators.embed import HashedNgrams, embed_tasks
 from ticketloom.plans import config, pipeline
 from ticketloom.session import work_dir
