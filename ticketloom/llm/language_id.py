@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketloom.llm import _text
 from ticketloom.llm._store import materialise
-from ticketloom.llm._text import U
 from ticketloom.llm.url_filter import bare_host, site_of, url_host
 
 

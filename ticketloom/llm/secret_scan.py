@@ -19,7 +19,6 @@ Defined results:
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as rc, _parser as rp
 
