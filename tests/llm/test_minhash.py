@@ -152,3 +152,15 @@ def test_chunk_numbers(spark):
         assert len(set(ids)) == 30
         spark_says = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "c long").selectExpr(f"pmod(hash(c), {n})").collect()]
         assert spark_says == _chunks.bucket_of(np.array(ids), n).tolist() and len(set(spark_says)) == 2
+
+
+@pytest.mark.parametrize("n", [1024, 65536])
+def test_structured_words(spark, n):
+    """A word over two letters and its complement, which polynomial hashes take for one, are two texts."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    u = t.translate({97: 98, 98: 97})
+    rows = [(1, f"q{t}q"), (2, f"q{u}q"), (3, t), (4, u), (5, f"one two three four {t}"), (6, f"one two three four {u}")]
+    got = {r.id: r.component for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(1, 7)}

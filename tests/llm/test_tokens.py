@@ -171,3 +171,51 @@ def test_plan(seed):
     least = -(-sum(k * v for k, v in counts.items()) // capacity)
     large = sum(v for k, v in counts.items() if 2 * k > capacity)
     assert len(bins) <= max(least, large) * 1.25 + 2
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes modulo powers of two can't tell them apart."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_structured_pieces(library, n):
+    t, u = thue_morse(n)
+    texts = [f"q{t}q", f"q{u}q", t, u, t + u, u + t]
+    e = bpe.Encoder(RANKS)
+    for _, data, offsets in _text.chunks(pa.array(texts)):
+        ids, at = e.encode(data, offsets)
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(text)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, ids, back in pieces_of_json(texts):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids and back == text.encode()
+
+
+def test_pieces_of_one_hash(library, monkeypatch):
+    """Pieces whose first hashes are all equal are still told apart."""
+    whole = _text.span_hashes
+    monkeypatch.setattr(_text, "span_hashes", lambda data, starts, ends, second=False: whole(data, starts, ends, second) if second else whole(data, starts, ends) % 7)
+    texts = ["one two three, four five", "six seven", "one eight nine two", ""]
+    e = bpe.Encoder(RANKS)
+    for _ in range(2):
+        for _, data, offsets in _text.chunks(pa.array(texts)):
+            ids, at = e.encode(data, offsets)
+            assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_span_hashes():
+    """Both hashes go by bytes, order and length alone, wherever a span lies."""
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "12345678abcdefgh", "abcdefgh12345678", "\0", "\0\0", *thue_morse(65536), "é" * 700000]
+    for second in (False, True):
+        seen = {}
+        for order in (words, words[::-1]):
+            data = np.frombuffer(" ".join(order).encode(), dtype=np.uint8)
+            n = np.array([len(w.encode()) for w in order])
+            ends = np.cumsum(n + 1) - 1
+            for w, h in zip(order, _text.span_hashes(data, ends - n, ends, second).tolist()):
+                assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(words)

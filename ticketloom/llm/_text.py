@@ -8,28 +8,17 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
-_BLOCK = 1 << 18
-_BASE = 0x9E3779B97F4A7C55
+_BLOCK = 1 << 20
+#: Keys of the two hashes of span_hashes: what a word of 8 bytes, its place and a span's length are scrambled with.
+_KEYS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+#: The lowest k bytes of a word.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything in ASCII but letters and digits.
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POW = np.ones(1, dtype=U)
-_INV = np.ones(1, dtype=U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n."""
-    global _POW, _INV
-    if len(_POW) < n:
-        m = max(n, _BLOCK + 1)
-        inv = pow(_BASE, -1, 1 << 64)
-        p, q = np.full(m, _BASE, dtype=U), np.full(m, inv, dtype=U)
-        p[0] = q[0] = 1
-        _POW, _INV = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _POW, _INV
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,25 +56,29 @@ def chunks(column: pa.Array | pa.ChunkedArray):
         lo = hi
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of the bytes of each span; spans are in order and don't overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
+
+    Each word of 8 bytes is scrambled together with its place in the span, without which sums of scrambled words would not
+    tell orders apart; their sum is scrambled with the length. second: a hash of other keys from the bytes up, so that
+    the two make 128 bits.
+    """
+    word, place, length = (U(k) for k in _KEYS[second])
     out = np.empty(len(starts), dtype=U)
     i, n = 0, len(starts)
     while i < n:
-        j = int(np.searchsorted(ends, starts[i] + _BLOCK, side="right"))
-        j = max(j, i + 1)
-        a, b = int(starts[i]), int(ends[j - 1])
-        p, q = _powers(b - a + 1)
-        c = np.empty(b - a + 1, dtype=U)
-        c[0] = 0
-        x = data[a:b].astype(U)
-        x += U(1)
-        x *= p[: b - a]
-        np.cumsum(x, out=c[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (c[e] - c[s]) * q[s]
+        j = max(int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")), i + 1)
+        a, z = int(starts[i]), int(ends[j - 1])
+        words = np.ndarray((z - a + 1,), dtype="<u8", buffer=np.concatenate([data[a:z], np.zeros(8, np.uint8)]), strides=(1,))
+        s, size = starts[i:j] - a, ends[i:j] - starts[i:j]
+        k = np.maximum((size + 7) >> 3, 1)
+        first = np.cumsum(k) - k
+        no = np.arange(int(k.sum())) - np.repeat(first, k)
+        x = words[np.repeat(s, k) + 8 * no] & _LOWEST[np.minimum(np.repeat(size, k) - 8 * no, 8)]
+        x = mix((x ^ word) + no.astype(U) * place)
+        out[i:j] = mix(np.add.reduceat(x, first) + size.astype(U) * length)
         i = j
-    return mix(out)
+    return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ themselves).
 
 Defined results: null text encodes as empty (0 tokens, hashes of nothing); ties of rank go to the left; repeated rows
 and empty tables need nothing special; very long texts and pieces are encoded whole. Columns other than id and text
-are not read. Pieces are told apart by a 64-bit hash, their length and their end bytes.
+are not read. Pieces are told apart by two independent 64-bit hashes; two that share the first are kept apart by the second.
 """
 
 from __future__ import annotations
@@ -344,23 +344,24 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         h = _text.span_hashes(data, starts, ends)
-        # The second hash: first and last bytes and the length.
-        check = data[starts].astype(U) << U(48) | data[ends - 1].astype(U) << U(40) | (ends - starts).astype(U)
+        check = _text.span_hashes(data, starts, ends, second=True)
         h = np.maximum(h, U(1))
-        at = self.known.get(h)
-        new = np.flatnonzero(at == _NONE)
-        if len(new):
-            _, one = np.unique(h[new], return_index=True)
-            if self.n_known + len(one) > MAX_PIECES:
-                self.forget()
-                _, one = np.unique(h, return_index=True)
-                new = np.arange(len(h))
-            one = new[one]
-            self._learn(data, starts[one], ends[one], h[one], check[one])
+        while True:
             at = self.known.get(h)
-        odd = np.flatnonzero(self.check[at] != check)
-        if len(odd):  # two pieces of one hash
-            raise RuntimeError("two pieces share a 64-bit hash")
+            new = np.flatnonzero(at == _NONE)
+            if len(new):
+                _, one = np.unique(h[new], return_index=True)
+                if self.n_known + len(one) > MAX_PIECES:
+                    self.forget()
+                    _, one = np.unique(h, return_index=True)
+                    new = np.arange(len(h))
+                one = new[one]
+                self._learn(data, starts[one], ends[one], h[one], check[one])
+                at = self.known.get(h)
+            odd = np.flatnonzero(self.check[at] != check)
+            if not len(odd):
+                break
+            h[odd] = np.maximum(_text.mix(h[odd] ^ check[odd]), U(1))  # another piece has this hash: go by both
         n = self.n[at]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.at[at] - upto[:-1], n) + np.arange(upto[-1])]

@@ -79,7 +79,7 @@ class Levels:
             own, back, n = np.unique(self.windows[self.at], return_inverse=True, return_counts=True)
             high = own
         else:
-            a, b = self.windows[self.at], _windows(_text.mix(self.h ^ U(0xA5A5A5A5A5A5A5A5)), self.lengths)[self.at]
+            a, b = self.windows[self.at], _windows(_text.span_hashes(self.data, self.starts, self.ends, second=True), self.lengths)[self.at]
             order = np.lexsort((b, a))
             new = np.ones(len(order), dtype=bool)
             new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
