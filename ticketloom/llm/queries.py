@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from ticketloom.llm import bpe, collocations, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from ticketloom.llm._store import read_table
 
 
@@ -83,7 +83,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan, op11_collocations)}
 
 
 # ---- the same in DuckDB's SQL, where it can say it ----
@@ -156,6 +160,19 @@ def _quality_sql() -> str:
  FROM r LEFT JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang, a"""
 
 
+def _collocation_sql() -> str:
+    cfg = collocations.CollocationConfig()
+    cut = lambda k: f"SELECT g.lang, g.phrase, g.a, {k} AS k, h.a AS l, t.a AS r, ({cfg.scale}::HUGEINT * g.a // (h.a::HUGEINT + t.a))::BIGINT AS score FROM f g JOIN f h ON h.lang = g.lang AND h.phrase = array_to_string(g.w[1:{k}], ' ') JOIN f t ON t.lang = g.lang AND t.phrase = array_to_string(g.w[{k + 1}:], ' ') WHERE len(g.w) > {k}"
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+ q AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p), tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM q GROUP BY lang),
+ x AS (SELECT lang, w[i : i + m] AS w FROM q, range({cfg.longest}) b(m), unnest(range(1, len(q.w) - m + 1)) s(i)),
+ f AS (SELECT lang, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM x GROUP BY lang, w HAVING a >= {cfg.least}),
+ c AS ({" UNION ALL ".join(map(cut, range(1, cfg.longest)))}), worst AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ o AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM f, range(2, {cfg.longest}) b(m), unnest(range(1, len(f.w) - m + 2)) s(i) WHERE len(f.w) > m GROUP BY ALL)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst JOIN tot USING (lang) LEFT JOIN o USING (lang, phrase) WHERE NOT coalesce(100 * longer >= {cfg.cover_percent} * a, FALSE) QUALIFY rank <= {cfg.top}"""
+
+
 _REACH = """, reach AS (SELECT id AS a, id AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a), root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_sql(),
@@ -171,4 +188,5 @@ ORACLE_SQL: dict[str, str] = {
  SELECT node.id AS vec_id, (SELECT count(*) FROM link WHERE a = node.id) AS n_links, component_id, node.id = component_id AS kept FROM node JOIN root USING (id)""",
     "op9_quality_thresholds": _quality_sql(),
     "op10_secret_scan": _spans_sql(),
+    "op11_collocations": _collocation_sql(),
 }
