@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketloom.llm import bpe, collocations, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
-from ticketloom.llm._store import read_table
+from ticketloom.llm import bpe, collocations, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, warc
+from ticketloom.llm._store import fresh_path, read_table, remove_path
 
 
 def vocabulary(kind: str = "tiktoken") -> str:
@@ -87,7 +87,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan, op11_collocations)}
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no capture times: a page's is its id in seconds."""
+    pages = read_table(spark, sf_dir, "pages").withColumn("at", F.timestamp_seconds(F.col("page_id") + 1_700_000_000))
+    path = fresh_path(spark, "archives")
+    warc.write_archives(pages, path, "page_id", "url", "at", "html")
+    index = warc.capture_index(spark, path)
+    remove_path(spark, path)
+    x = warc.resolved(warc.with_position(index))
+    number = lambda c: F.expr(f"try_cast({c} as long)")
+    x = x.withColumns({"page": warc.row_id(F.col("record_id")), "other": warc.row_id(F.col("refers_to"))})
+    return x.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("other").alias("refers_to"), "url_key", "position")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_reputation, op3_minhash_forest, op4_toxicity, op5_byte_bpe, op6_substring_dedup, op7_language_id, op8_embedding_dedup, op9_quality_thresholds, op10_secret_scan, op11_collocations, op12_warc_index)}
 
 
 # ---- the same in DuckDB's SQL, where it can say it ----
@@ -164,7 +177,8 @@ def _collocation_sql() -> str:
     cfg = collocations.CollocationConfig()
     cut = lambda k: f"SELECT g.lang, g.phrase, g.a, {k} AS k, h.a AS l, t.a AS r, ({cfg.scale}::HUGEINT * g.a // (h.a::HUGEINT + t.a))::BIGINT AS score FROM f g JOIN f h ON h.lang = g.lang AND h.phrase = array_to_string(g.w[1:{k}], ' ') JOIN f t ON t.lang = g.lang AND t.phrase = array_to_string(g.w[{k + 1}:], ' ') WHERE len(g.w) > {k}"
     return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
  q AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p), tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM q GROUP BY lang),
  x AS (SELECT lang, w[i : i + m] AS w FROM q, range({cfg.longest}) b(m), unnest(range(1, len(q.w) - m + 1)) s(i)),
  f AS (SELECT lang, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM x GROUP BY lang, w HAVING a >= {cfg.least}),
@@ -173,6 +187,17 @@ def _collocation_sql() -> str:
  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst JOIN tot USING (lang) LEFT JOIN o USING (lang, phrase) WHERE NOT coalesce(100 * longer >= {cfg.cover_percent} * a, FALSE) QUALIFY rank <= {cfg.top}"""
 
 
+def _warc_sql() -> str:
+    cfg = warc.WarcConfig()
+    digits = " || ".join(f"list_extract(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ''), (('0x' || substr(h, {1 + 5 * i}, 5))::INT >> {5 * k} & 31) + 1)" for i in range(8) for k in (3, 2, 1, 0))
+    whole = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)([^#]*).*$"
+    host = f"regexp_replace(regexp_extract(u, '{whole}', 1), '(:|:80|:443)$', '')"
+    key = f"CASE WHEN regexp_matches(u, '{whole}') THEN array_to_string(list_reverse(string_split(lower({host}), '.')), ',') || ')' || coalesce(nullif(regexp_extract(u, '{whole}', 2), ''), '/') ELSE u END"
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, replace(coalesce(url, ''), ' ', '%20') AS u FROM pages), d AS (SELECT *, strlen(t) AS size, max(page_id) OVER (PARTITION BY t) AS last, sha1(t) AS h FROM p),
+ k AS (SELECT *, {key} AS url_key, {digits} AS digest, size >= {cfg.revisits_from} AND page_id IS DISTINCT FROM last AS again FROM d)
+ SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position FROM k"""
+
+
 _REACH = """, reach AS (SELECT id AS a, id AS b FROM node UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a), root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_sql(),
@@ -189,4 +214,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality_thresholds": _quality_sql(),
     "op10_secret_scan": _spans_sql(),
     "op11_collocations": _collocation_sql(),
+    "op12_warc_index": _warc_sql(),
 }
