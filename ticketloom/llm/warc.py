@@ -6,7 +6,7 @@ that records state, so a task holds one record at a time, whatever the size of a
 payloads the one with the largest id carries the payload, others are revisit records that refer to it.
 
 The index: each task sorts what it reads into runs, cut into blocks of `block` entries. Blocks are split at the range
-limits (taken from a bounded number of block keys; they decide only balance), dealt by range, and each range merges
+limits (taken from a bounded number of keys, uniform by hash; they decide only balance), dealt by range, and each range merges
 its runs with a loser tree: blocks come in order of their first key and enter the tree when the merge gets there, so
 it holds the blocks under the frontier and no more. A URL with very many captures is spread by time, as ranges are of
 (URL key, time, id).
@@ -48,9 +48,9 @@ class WarcConfig:
     #: Entries of a run that is sorted at once, of a block, and by range.
     run: int = 50_000
     block: int = 512
-    range_entries: int = 100_000
-    #: Block keys by range from which the limits are taken.
-    keys: int = 32
+    range_entries: int = 500_000
+    #: Keys by range, uniform by hash, from which the limits are taken.
+    keys: int = 16
 
 
 # ---- writing ----
@@ -329,7 +329,8 @@ def merge_runs(blocks: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
     spark = blocks.sparkSession
     total = blocks.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // cfg.range_entries))
-    keys = blocks.select("first.*", F.xxhash64("first").alias("h")).orderBy("h").limit(cfg.keys * ranges).collect()  # bounded; they decide balance only
+    key = blocks.select(F.explode(F.arrays_zip("entries.url_key", "entries.at", "entries.record_id")).alias("k")).select(F.struct("k.url_key", "k.at", "k.record_id").alias("k"))
+    keys = key.orderBy(F.xxhash64("k")).limit(cfg.keys * ranges).select("k.*").collect()  # bounded; they decide balance only
     keys = sorted({(r.url_key, r.at, r.record_id) for r in keys})
     limits = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
