@@ -17,7 +17,7 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.col(c).isin(*NA_VALUES), None).otherwise(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
-def _reject_reason(df: DataFrame) -> Column:
+def reject_reason(df: DataFrame) -> Column:
     """Why decode_tasks drops a row; null if it keeps it."""
     unread = lambda n: _column(df, n).isNotNull() & parse_timestamp(_column(df, n)).isNull()
     return F.when(_column(df, "issue_id").isNull(), "no issue_id").when(_column(df, "summary").isNull(), "no summary").when(unread("created_at"), "unreadable created_at").when(unread("updated_at"), "unreadable updated_at")
@@ -25,7 +25,7 @@ def _reject_reason(df: DataFrame) -> Column:
 
 def rejects(df: DataFrame) -> DataFrame:
     """(reason, rows): what decode_tasks drops, counted."""
-    return df.select(_reject_reason(df).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    return df.select(reject_reason(df).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def decode_tasks(df: DataFrame, as_of: Column | None = None, compat_nan_label: bool = False) -> DataFrame:
@@ -37,7 +37,7 @@ def decode_tasks(df: DataFrame, as_of: Column | None = None, compat_nan_label: b
     label = F.nullif(strip(c["cluster_label"].cast("string")), F.lit(""))
     if compat_nan_label and "cluster_label" in df.columns:
         label = F.coalesce(label, F.when(c["cluster_label"].isNull(), F.lit("nan")))
-    return df.where(_reject_reason(df).isNull()).select(
+    return df.where(reject_reason(df).isNull()).select(
         c["issue_id"].cast("string").alias("issue_id"), strip(c["summary"].cast("string")).alias("summary"),
         strip(F.coalesce(c["description"].cast("string"), F.lit(""))).alias("description"),
         F.coalesce(created, now).alias("created_at"), F.coalesce(updated, created, now).alias("updated_at"), label.alias("cluster_label"),
