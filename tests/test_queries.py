@@ -7,9 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
-from ticketloom.plans import more_queries, queries
+from ticketloom.plans import index_queries, more_queries, queries
 
-ORACLE_SQL, QUERIES = queries.ORACLE_SQL | more_queries.ORACLE_SQL, queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | more_queries.ORACLE_SQL | index_queries.ORACLE_SQL, queries.QUERIES | more_queries.QUERIES | index_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,4 +37,4 @@ def test_same_rows(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) == 68
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) == 70
