@@ -1,10 +1,13 @@
 """HDBSCAN (Campello, Moulavi, Sander 2013) with the epsilon threshold of Malzer and Baum (2020).
 
-Distances are taken in blocks on the executors against the matrix of fitted rows, which is broadcast and at most
-`max_exact` rows; core distances are one pass, the minimum spanning tree a pass for each of Boruvka's rounds (as many
-as the logarithm of the rows). Ties are broken by (weight, row, row). Tree condensing and selection run on the driver
-over n - 1 edges. Beyond `max_exact` rows the model is fitted on a uniform sample by hash of that size, and every
-other row takes the cluster of its nearest fitted row if it lies within that row's reach.
+cluster() takes every row into account at every size. Up to MAX_EXACT rows distances are taken in blocks on the executors
+against the matrix of all rows, which is broadcast; core distances are one pass, the minimum spanning tree a pass for
+each of Boruvka's rounds (as many as the logarithm of the rows). Beyond that the tree is made block by block
+(hdbscan_blocks); it is the same tree, as ties are broken by (weight, row, row) in both. Tree condensing and selection run on
+the driver over the tree's edges, one for each row (24 bytes).
+
+fit() makes a model that assign() gives other rows by, of at most `max_exact` rows: of more it takes a uniform sample by hash,
+and every other row takes the cluster of its nearest fitted row if it lies within that row's reach.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ticketloom.operators import hdbscan_blocks
+
 MAX_EXACT = 20_000
 _BLOCK = 256
 
@@ -225,6 +230,21 @@ def fit(df: DataFrame, min_cluster_size: int = 10, epsilon: float = 0.5, min_sam
     return Fitted([r.i for r in rows], points, labels, p, core)
 
 
+def cluster(df: DataFrame, min_cluster_size: int = 10, epsilon: float = 0.5, min_samples: int | None = None, id_col: str = "issue_id", vector: str = "embedding", max_exact: int = MAX_EXACT, block: int = hdbscan_blocks.BLOCK) -> DataFrame:
+    """df with _label and _probability, of all its rows; rows without a vector are noise."""
+    there = df.where(F.col(vector).isNotNull())
+    if there.limit(max_exact + 1).count() <= max_exact:
+        return assign(df, fit(df, min_cluster_size, epsilon, min_samples, id_col, vector, max_exact), id_col, vector)
+    spark, folder = df.sparkSession, hdbscan_blocks.fresh_path(df.sparkSession)
+    df.orderBy(id_col).withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)  # numbers in the order of ids
+    numbered = spark.read.parquet(folder)
+    tree = hdbscan_blocks.spanning_tree(numbered.where(F.col(vector).isNotNull()).select(F.col("_n").alias("n"), F.col(vector).cast("array<double>").alias("v")), min_samples or min_cluster_size, block)
+    labels, p = select_clusters(tree.edges, len(tree.numbers), min_cluster_size, epsilon)
+    known = spark.createDataFrame(pa.table({"_n": tree.numbers, "_label": pa.array(labels, pa.int32()), "_probability": p}))
+    x = numbered.join(known, "_n", "left").withColumns({"_label": F.coalesce("_label", F.lit(-1)), "_probability": F.coalesce("_probability", F.lit(0.0))})
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], "_label", "_probability")
+
+
 def assign(df: DataFrame, model: Fitted, id_col: str = "issue_id", vector: str = "embedding") -> DataFrame:
     """df with _label and _probability: of its own for fitted rows, of the nearest fitted row within reach for others."""
     shared = df.sparkSession.sparkContext.broadcast((model, {x: i for i, x in enumerate(model.ids)}))

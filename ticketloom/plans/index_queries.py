@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import vector_index
+from ticketloom.operators import hdbscan_blocks, vector_index
 from ticketloom.plans import pipeline
 from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table
 
@@ -29,9 +29,22 @@ def q70_index_exact(spark, sf_dir):
     return vector_index.search(index, e.where("vec_id % 20 = 0"), 5, exact=True).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+LEVELS = (1.17, 1.18, 1.19, 1.2)
+
+
+def q71_linkage_levels(spark, sf_dir):
+    """The spanning tree of mutual reachability over the whole vectors, made in blocks: what is connected up to some distances."""
+    x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("v"))
+    return spark.createDataFrame(hdbscan_blocks.levels(hdbscan_blocks.spanning_tree(x, 5, block=200), list(LEVELS)), "distance double, components long, largest long, alone long")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 ORACLE_SQL = {
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
+    "q71_linkage_levels": f"""WITH RECURSIVE e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings), p AS MATERIALIZED (SELECT a.i AS a, b.i AS b, list_distance(a.v, b.v) AS d FROM e a, e b), c AS (SELECT a AS i, list_sort(list(d))[5] AS core FROM p GROUP BY a),
+ m AS MATERIALIZED (SELECT a, b, greatest(d, x.core, y.core) AS w FROM p JOIN c x ON x.i = a JOIN c y ON y.i = b WHERE a <> b), t AS (SELECT unnest({list(LEVELS)}::DOUBLE[]) AS t),
+ r AS (SELECT t, i AS a, i AS b FROM e, t UNION SELECT r.t, r.a, m.b FROM r JOIN m ON r.b = m.a AND m.w <= r.t), k AS (SELECT t, root, count(*) AS n FROM (SELECT t, a, min(b) AS root FROM r GROUP BY t, a) GROUP BY t, root)
+ SELECT t AS distance, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS alone FROM k GROUP BY t""",
 }

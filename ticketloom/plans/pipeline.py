@@ -47,8 +47,7 @@ def cluster_tasks(tasks: DataFrame, config: ClusteringParameters = ClusteringPar
         got = kmeans.assign(x, centroids).persist()
         report = reports.cluster_report(got, order, centroids=kmeans.centroid_table(got), noise=False)
     else:
-        model = hdbscan.fit(x, config.min_cluster_size, config.cluster_selection_epsilon)
-        got = reports.assignments(hdbscan.assign(x, model), "_label", "_probability").drop("_label", "_probability").persist()
+        got = reports.assignments(hdbscan.cluster(x, config.min_cluster_size, config.cluster_selection_epsilon), "_label", "_probability").drop("_label", "_probability").persist()
         report = reports.cluster_report(got, order)
     t = reports.totals(got, k).first()
     x_all.unpersist()
