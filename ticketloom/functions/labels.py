@@ -1,15 +1,17 @@
 """Keyword labels: a dictionary of label -> keywords, description.
 
-The dictionary is configuration of a size that is checked (`MAX_KEYWORDS`); it goes into the plan as literals, so
-labelling shuffles nothing.
+A dictionary of configuration, of a size that is checked (`MAX_KEYWORDS`), goes into the plan as literals; one kept as a table goes
+to the tasks as an automaton. Neither shuffles texts.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 from importlib import resources
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_KEYWORDS = 20_000
@@ -55,19 +57,65 @@ def labelling_text(summary: Column, description: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(description, F.lit("")))
 
 
-def label_join(docs: DataFrame, table: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """As matching_labels, for dictionaries kept as a table. One of MAX_KEYWORDS rows or fewer is broadcast and each text looks
-    for its keywords; a larger one is joined by the keywords' first characters (up to three), of which a text has few
-    different ones, and the pairs are verified."""
+#: Bytes of keywords and labels that go to every task at once.
+SHARD_BYTES = 32 << 20
+_AUTOMATA: dict[str, object] = {}
+
+
+def _automaton(key: str, words: dict[str, tuple[int, ...]]):
+    """The worker's automaton of a dictionary, built once; the last few are kept."""
+    if key not in _AUTOMATA:
+        import ahocorasick
+
+        while len(_AUTOMATA) > 3:
+            _AUTOMATA.pop(next(iter(_AUTOMATA)))
+        made = ahocorasick.Automaton()
+        for word, numbers in words.items():
+            made.add_word(word, numbers)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+def _matcher(key: str, words, names: pa.Table, id_name: str):
+    def run(batches):
+        found = _automaton(key, words.value)
+        for b in batches:
+            row, label = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                hits = {n for _, numbers in found.iter(text) for n in numbers}
+                row += [i] * len(hits)
+                label += sorted(hits)
+            own = names.take(pa.array(label, pa.int64())).combine_chunks()
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.columns]
+            yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), *columns], [id_name, "label", "label_ord"])
+
+    return run
+
+
+def label_join(docs: DataFrame, table: DataFrame, text_col: str, id_col: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, label, label_ord): as matching_labels, for dictionaries kept as a table, a row for each row of docs and label.
+
+    All keywords are looked for at once by an Aho-Corasick automaton, which each worker builds from the keywords; a pass reads the texts and
+    shuffles nothing. A dictionary of more than `shard_bytes` is dealt into shards by label, each of them a pass of its own.
+    """
+    spark = docs.sparkSession
     t = docs.select(id_col, F.lower(text_col).alias("_t")).where(F.length("_t") > 0)
-    k = table.select(F.lower("keyword").alias("_k"), "label", "label_ord").where(F.length("_k") > 0).distinct()
-    if k.limit(MAX_KEYWORDS + 1).count() <= MAX_KEYWORDS:
-        x = t.join(F.broadcast(k), F.contains(F.col("_t"), F.col("_k")))
-    else:
-        chars = F.split("_t", "")
-        starts = F.array_distinct(F.flatten(F.transform(chars, lambda c, i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(chars, i + 1, n), "")))))
-        x = t.withColumn("_s", F.explode(starts)).join(k.withColumn("_s", F.substring("_k", 1, 3)), "_s").where(F.contains("_t", F.col("_k")))
-    return x.select(id_col, "label", "label_ord").distinct()
+    k = table.select(F.lower("keyword").alias("k"), "label", F.col("label_ord").cast("int").alias("label_ord")).where(F.length("k") > 0).distinct()
+    size = k.agg(F.sum(F.octet_length("k") + F.octet_length("label") + 16)).first()[0] or 0
+    shards, schema = max(1, -(-size // shard_bytes)), f"`{id_col}` {dict(t.dtypes)[id_col]}, label string, label_ord int"
+    out = None
+    for s in range(shards):
+        part = k.where(F.pmod(F.xxhash64("label", "label_ord"), F.lit(shards)) == s).toArrow()  # about shard_bytes
+        names = part.select(["label", "label_ord"]).group_by(["label", "label_ord"]).aggregate([]).sort_by("label_ord")
+        number = {(x["label"], x["label_ord"]): i for i, x in enumerate(names.to_pylist())}
+        words: dict[str, tuple[int, ...]] = {}
+        for x in part.to_pylist():
+            words[x["k"]] = (*words.get(x["k"], ()), number[x["label"], x["label_ord"]])
+        if words:
+            got = t.mapInArrow(_matcher(uuid.uuid4().hex, spark.sparkContext.broadcast(words), names, id_col), schema)
+            out = got if out is None else out.unionByName(got)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def inverted_index(table: DataFrame) -> DataFrame:
