@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import hdbscan_blocks, vector_index
+from ticketloom.operators import hdbscan_blocks, ticket_search, vector_index
 from ticketloom.plans import pipeline
 from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table
 
@@ -38,11 +38,26 @@ def q71_linkage_levels(spark, sf_dir):
     return spark.createDataFrame(hdbscan_blocks.levels(hdbscan_blocks.spanning_tree(x, 5, block=200), list(LEVELS)), "distance double, components long, largest long, alone long")
 
 
+def q72_ticket_search(spark, sf_dir):
+    """All documents searched for words of every benchmark item: its second to fifth, of odd items the second and third as a phrase."""
+    w = ticket_search.words(F.col("text"))
+    plain, phrase = F.array_join(F.slice(w, 2, 4), " "), F.concat(F.lit('"'), F.array_join(F.slice(w, 2, 2), " "), F.lit('" '), F.array_join(F.slice(w, 4, 2), " "))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 1, phrase).otherwise(plain).alias("query"))
+    index = ticket_search.build(table(spark, sf_dir, "documents"), fresh_folder(spark, "search"), id_col="doc_id", text_col="text")
+    return ticket_search.search(index, queries)
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 ORACLE_SQL = {
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
+    "q72_ticket_search": r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:5] AS w FROM benchmark),
+ n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), tok AS (SELECT id, len(w) AS words, unnest(w) AS term FROM d), tf AS (SELECT id, term, any_value(words) AS words, count(*) AS tf FROM tok GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ qt AS (SELECT query_id, unnest(list_distinct(w)) AS term FROM q),
+ s AS (SELECT query_id, id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / mean))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY query_id, id),
+ b AS (SELECT DISTINCT id, w[i] AS a, w[i + 1] AS z FROM d, unnest(range(1, len(w))) u(i)), f AS (SELECT s.* FROM s JOIN q USING (query_id) WHERE query_id % 2 = 0 OR EXISTS (SELECT 1 FROM b WHERE b.id = s.id AND b.a = q.w[1] AND b.z = q.w[2]))
+ SELECT query_id, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id))::INT AS rank FROM f QUALIFY rank <= 10""",
     "q71_linkage_levels": f"""WITH RECURSIVE e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings), p AS MATERIALIZED (SELECT a.i AS a, b.i AS b, list_distance(a.v, b.v) AS d FROM e a, e b), c AS (SELECT a AS i, list_sort(list(d))[5] AS core FROM p GROUP BY a),
  m AS MATERIALIZED (SELECT a, b, greatest(d, x.core, y.core) AS w FROM p JOIN c x ON x.i = a JOIN c y ON y.i = b WHERE a <> b), t AS (SELECT unnest({list(LEVELS)}::DOUBLE[]) AS t),
  r AS (SELECT t, i AS a, i AS b FROM e, t UNION SELECT r.t, r.a, m.b FROM r JOIN m ON r.b = m.a AND m.w <= r.t), k AS (SELECT t, root, count(*) AS n FROM (SELECT t, a, min(b) AS root FROM r GROUP BY t, a) GROUP BY t, root)
