@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ticketloom.operators import hdbscan_blocks, ticket_search, vector_index
 from ticketloom.plans import pipeline
-from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table
+from ticketloom.plans.more_queries import ORACLE_SQL as _MORE
+from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table, tasks
+from ticketloom.sources import tickets, workbooks
 
 
 def _index(spark, sf_dir):
@@ -47,11 +49,21 @@ def q72_ticket_search(spark, sf_dir):
     return ticket_search.search(index, queries)
 
 
+def q73_workbooks(spark, sf_dir):
+    """Every document as a ticket of an Excel workbook of up to 300, as a column of attachments, and back."""
+    path = fresh_folder(spark, "workbooks")
+    x = tasks(spark, sf_dir).select("issue_id", F.nullif("summary", F.lit("")).alias("summary"), "description", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "cluster_label", F.lit("open").alias("status"))
+    workbooks.workbooks_of(x, rows=300).write.parquet(path)
+    x = tickets.tasks_from_dataframe(workbooks.rows_of(spark.read.parquet(path)))
+    return x.select("issue_id", "summary", F.length("description").alias("n"), F.md5("description").alias("mark"), F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "cluster_label")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 ORACLE_SQL = {
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
+    "q73_workbooks": _MORE["q41_csv_round_trip"],
     "q72_ticket_search": r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:5] AS w FROM benchmark),
  n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), tok AS (SELECT id, len(w) AS words, unnest(w) AS term FROM d), tf AS (SELECT id, term, any_value(words) AS words, count(*) AS tf FROM tok GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  qt AS (SELECT query_id, unnest(list_distinct(w)) AS term FROM q),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ticketloom.operators.prepare import decode_tasks, keep_last, missing_to_null
 from ticketloom.schema import PROCESSED, RESULT, TASK_COLUMNS
+from ticketloom.sources.workbooks import read_workbooks
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -22,18 +23,23 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet. Excel files are small by their format (a million rows at most), so the driver reads them."""
+    """The first sheet of .xlsx workbooks, every cell as text."""
+    return missing_to_null(read_workbooks(spark, path))
+
+
+def read_old_excel(spark: SparkSession, path: str) -> DataFrame:
+    """First sheet of an .xls file. Such files have 65,536 rows at most, so the driver reads them."""
     import pandas as pd
 
     try:
         frame = pd.read_excel(path, dtype=str)
     except ImportError as e:
-        raise ImportError("reading Excel files needs openpyxl (.xlsx) or xlrd (.xls)") from e
+        raise ImportError("reading .xls files needs xlrd") from e
     frame = frame.astype(object).where(frame.notna(), None)
     return missing_to_null(spark.createDataFrame(frame, ", ".join(f"`{c}` string" for c in frame.columns)))
 
 
-READERS = {".csv": read_csv, ".xlsx": read_excel, ".xls": read_excel}
+READERS = {".csv": read_csv, ".xlsx": read_excel, ".xls": read_old_excel}
 
 
 def load_tickets(spark: SparkSession, path: str, as_of: Column | None = None, compat_nan_label: bool = False) -> DataFrame:
