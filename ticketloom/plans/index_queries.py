@@ -9,6 +9,7 @@ from ticketloom.plans import pipeline
 from ticketloom.plans.more_queries import ORACLE_SQL as _MORE
 from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table, tasks
 from ticketloom.sources import tickets, workbooks
+from ticketloom.streaming import chat_state
 
 
 def _index(spark, sf_dir):
@@ -58,11 +59,24 @@ def q73_workbooks(spark, sf_dir):
     return x.select("issue_id", "summary", F.length("description").alias("n"), F.md5("description").alias("mark"), F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "cluster_label")
 
 
+def q74_session_state(spark, sf_dir):
+    """All conversations as a stream of three batches, turns out of order, kept as state by session."""
+    root = fresh_folder(spark, "chats")
+    c = table(spark, sf_dir, "conversations")
+    for n in range(3):
+        c.where((F.col("turn") * 2 + F.col("conv_id")) % 3 == n).write.mode("append").parquet(f"{root}/in/{n}")
+        stream = spark.readStream.schema(c.schema).parquet(f"{root}/in/*")
+        chat_state.start_sessions(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    x = chat_state.latest(spark, f"{root}/out")
+    return x.select(F.col("session").cast("long").alias("conv_id"), "turns", "user_turns", "last_turn", "transcript")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 ORACLE_SQL = {
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
+    "q74_session_state": _BASE["q23_session_rollup"],
     "q73_workbooks": _MORE["q41_csv_round_trip"],
     "q72_ticket_search": r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:5] AS w FROM benchmark),
  n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), tok AS (SELECT id, len(w) AS words, unnest(w) AS term FROM d), tf AS (SELECT id, term, any_value(words) AS words, count(*) AS tf FROM tok GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
