@@ -172,3 +172,17 @@ def test_labels_near_centroids(spark):
     stats.add(run)
     assert (stats.runs, stats.total_time, stats.average_time) == (2, 3.0, 1.5) and pipeline.RunStatistics().average_time == 0.0
     assert sorted(pipeline.register_views(spark, run, "t_")) == ["t_assignments", "t_clusters", "t_totals"] and spark.sql("SELECT max(total_tasks) AS n FROM t_totals").first().n == 12
+
+
+def test_all_silhouettes_at_once(spark, monkeypatch):
+    """Scores of many sets of centroids from one pass of distances equal those taken one by one, in several passes too."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(40, 3)) + 5 * i for i in range(4)])
+    x = spark.createDataFrame([(r.tolist(),) for r in v] + [(None,)], "embedding array<double>").repartition(3)
+    sets = [rng.normal(size=(k, 3)) * 8 for k in (2, 3, 7)] + [np.array([[0.0, 0, 0], [1e9, 0, 0]]), v[:5]]
+    want = [kmeans.silhouette(kmeans.assign(x.where("embedding is not null"), s.tolist()), "cluster_id") for s in sets]
+    for bound in (20_000, 50):
+        monkeypatch.setattr(kmeans, "MAX_EXACT", bound)
+        got = kmeans.silhouettes_by_set(x, sets)
+        assert [g is None for g in got] == [w is None for w in want] and got[3] is None
+        assert all(g is None or abs(g - w) < 1e-9 for g, w in zip(got, want))
