@@ -26,16 +26,30 @@ def meaningful_update(new: str = "_new", old: str = "_old") -> Column:
     return F.coalesce(F.col(f"{new}_at") - F.col(f"{old}_at") > TOLERANCE_MICROS, F.lit(False)) | (F.col(f"{new}_fingerprint") != F.col(f"{old}_fingerprint"))
 
 
-def categorize(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new struct, old struct, category, alike): each incoming row by itself. `existing` has a row for each id (keep_last).
-
-    Fingerprints and character sets are taken before the join, so texts cross it only where `new` or `old` is read.
-    """
-    old = existing.select(F.col("issue_id").alias("_id"), F.struct("*").alias("old"), *_marks(existing, "old"))
-    new = incoming.select(F.col("issue_id").alias("_new_id"), F.struct("*").alias("new"), *_marks(incoming, "new"))
+def _compared(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Columns of incoming as _n0, _n1, ... and of existing as _o0, ..., category and alike. Fingerprints and character sets are taken
+    before the join, and columns cross it one by one, so only what is read is shuffled."""
+    old = existing.select(F.col("issue_id").alias("_id"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(existing.columns)], *_marks(existing, "old"))
+    new = incoming.select(F.col("issue_id").alias("_new_id"), *[F.col(f"`{c}`").alias(f"_n{i}") for i, c in enumerate(incoming.columns)], *_marks(incoming, "new"))
     x = new.join(old, F.col("_new_id") == F.col("_id"), "left")
     c = F.when(F.col("_id").isNull(), "new").when(meaningful_update(), "updated").otherwise("unchanged")
-    return x.select("new", "old", c.alias("category"), preserve_clustering().alias("alike"))
+    return x.withColumns({"category": c, "alike": preserve_clustering()})
+
+
+def categorize(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(new struct, old struct, category, alike): each incoming row by itself. `existing` has a row for each id (keep_last); the old
+    of a new row has null fields. delta() is leaner where the structs aren't wanted."""
+    whole = lambda side, columns: F.struct(*[F.col(f"{side}{i}").alias(c) for i, c in enumerate(columns)])
+    return _compared(incoming, existing).select(whole("_n", incoming.columns).alias("new"), whole("_o", existing.columns).alias("old"), "category", "alike")
+
+
+def delta(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """As merge_delta(categorize()), without the structs: of the old side only the cluster is shuffled beside marks."""
+    x = _compared(incoming, existing).where("category <> 'unchanged'")
+    old = {c: F.col(f"_o{i}") for i, c in enumerate(existing.columns)}
+    own, keep = F.col("category") == "new", (F.col("category") == "updated") & F.col("alike") & old["cluster_id"].isNotNull()
+    column = lambda i, c: F.when(own, F.col(f"_n{i}")).when(keep, old[c]) if c in ("cluster_id", "cluster_confidence") else F.col(f"_n{i}")
+    return x.select(*[column(i, c).alias(c) for i, c in enumerate(incoming.columns)], "category")
 
 
 def preserve_clustering(new: str = "_new", old: str = "_old") -> Column:
@@ -55,9 +69,9 @@ def merge_delta(categorized: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, delta: DataFrame, order: str) -> DataFrame:
-    """The full snapshot: the delta's last row of an id replaces the old one."""
-    last = keep_last(delta.drop("category"), "issue_id", order)
-    return existing.join(last.select("issue_id"), "issue_id", "left_anti").select(*existing.columns).unionByName(last.select(*existing.columns))
+    """The full snapshot: the delta's last row of an id replaces the old one. Both are grouped once, so the delta is made once."""
+    both = existing.withColumn("_v", F.lit(0)).unionByName(delta.select(*existing.columns, F.lit(1).alias("_v")))
+    return keep_last(both, "issue_id", "_v", order).drop("_v")
 
 
 def statistics(categorized: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -105,7 +105,7 @@ def _clustered(spark, sf_dir):
 
 def q08_merge_updates(spark, sf_dir):
     new = changed(spark, sf_dir).withColumns({"cluster_id": F.lit(None).cast("int"), "cluster_confidence": F.lit(None).cast("double"), "cleaned_description": text.clean_description(F.col("description"))})
-    return incremental.merge_delta(incremental.categorize(new, _clustered(spark, sf_dir))).select("issue_id", "category", "cluster_id", "cluster_confidence")
+    return incremental.delta(new, _clustered(spark, sf_dir)).select("issue_id", "category", "cluster_id", "cluster_confidence")
 
 
 def q09_jaccard_pairs(spark, sf_dir):
@@ -281,7 +281,7 @@ def q35_snapshot(spark, sf_dir):
     none = {"cluster_id": F.lit(None).cast("int"), "cluster_confidence": F.lit(None).cast("double")}
     clean = {"cleaned_description": text.clean_description(F.col("description"))}
     t, new = t.withColumns(none | clean), new.withColumns(none | clean)
-    return incremental.upsert(t, incremental.merge_delta(incremental.categorize(new, t)), "ord").select("issue_id", F.length("description").alias("n"), F.unix_micros("updated_at").alias("updated"))
+    return incremental.upsert(t, incremental.delta(new, t), "ord").select("issue_id", F.length("description").alias("n"), F.unix_micros("updated_at").alias("updated"))
 
 
 def q36_demo_distribution(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticketloom.operators.incremental import categorize, merge_delta, upsert
+from ticketloom.operators.incremental import delta as changed_rows, upsert
 from ticketloom.operators.prepare import keep_last
 
 
@@ -84,7 +84,7 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, number: int, order: str)
     """Categorize and merge one batch into the buckets that it touches; returns the delta."""
     only = store.touched(batch)
     old = store.read(before=number, only=only)
-    delta = merge_delta(categorize(batch, old))
+    delta = changed_rows(batch, old)
     store.write(upsert(old, delta, order), number, only)
     return delta
 
