@@ -57,9 +57,9 @@ def test_quality_thresholds(spark):
 
 @pytest.mark.parametrize("sizes", [(40, 300, 260), (900, 5, 0)])
 def test_quality_by_brute_force(spark, sizes):
-    """Thresholds of group, language and whole table against exact quantiles; ties at a threshold stay."""
+    """Thresholds of group, language and whole table against bucketed quantiles of plain Python; ties at a threshold stay."""
     random.seed(sum(sizes))
-    cfg = quality_rules.QualityConfig(min_group=200)
+    cfg = quality_rules.QualityConfig()
     rows = []
     for g, n in enumerate(sizes):
         for _ in range(n):
@@ -70,30 +70,45 @@ def test_quality_by_brute_force(spark, sizes):
     rates = []
     for (_, t, _, _), (n, chars, symbols, dup, repeat, failed) in zip(rows, counts):
         lines = sum(bool(W.search(x)) for x in t.split("\n"))
-        rates.append((symbols / max(1, chars), dup / max(1, lines), repeat / max(1, n), chars / max(1, n)))
-
-    def fences(at):
-        if not at:
-            return None
-        out = []
-        for j, r in enumerate(quality_rules.RATES):
-            upper, reach = cfg.fences[r]
-            v = sorted(rates[i][j] for i in at)
-            mid, high = (v[max(1, math.ceil(q * len(v) - 1e-9)) - 1] for q in (0.5, upper))
-            out.append(max(high + reach * (high - mid), cfg.margin * high, cfg.guards[r]))
-        return len(at), out
+        rates.append(((symbols + 0.5) / (chars + 1), dup / max(1, lines), repeat / max(1, n), chars / max(1, n)))
 
+    bucket = lambda x: math.floor(math.log(x) / math.log(1.02) + 1e-9) if x > 0 else -math.inf
     passed = [i for i, c in enumerate(counts) if not c[-1]]
+
+    def spread(at, j, wider=None):
+        """Weights of buckets, with 200 rows spread as in the wider kind's."""
+        out = {}
+        for i in at:
+            out[bucket(rates[i][j])] = out.get(bucket(rates[i][j]), 0) + 1
+        for k, w in (wider or {}).items():
+            out[k] = out.get(k, 0) + cfg.prior_rows * w / sum(wider.values())
+        return out
+
+    def threshold(w, j):
+        upper, reach = cfg.fences[quality_rules.RATES[j]]
+        found = []
+        for q in (0.5, upper):
+            upto = 0
+            for k in sorted(w):
+                upto += w[k]
+                if upto >= q * sum(w.values()) - 1e-6:
+                    found.append(1.02 ** (k + 1) if k > -math.inf else 0.0)
+                    break
+        mid, high = found
+        return max(high + reach * (high - mid), cfg.margin * high)
+
+    whole = [spread(passed, j) for j in range(4)]
+    by_lang = {k: [spread([i for i in passed if rows[i][2] == k], j, whole[j]) for j in range(4)] for k in {rows[i][2] for i in passed}}
+    own = {k: [threshold(spread([i for i in passed if rows[i][2:] == k], j, by_lang[k[0]][j]), j) for j in range(4)] for k in {rows[i][2:] for i in passed}}
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {}
-    for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), cfg).collect():
+    for r in quality_rules.quality_verdicts(x.repartition(3), cfg).collect():
         got.setdefault(r.doc_id, []).append(r.kept)
+        assert [r[f"t_{n}"] for n in quality_rules.RATES] == pytest.approx(own[r.lang, r.source], rel=1e-9)
     for i, (d, _, lang, source) in enumerate(rows):
-        tries = [fences([k for k in passed if test(rows[k])]) for test in (lambda x: x[2:] == (lang, source), lambda x: x[2] == lang)]
-        t = next((x for x in tries if x and x[0] >= cfg.min_group), fences(passed))[1]
-        want = not counts[i][-1] and not any(a > b for a, b in zip(rates[i], t))
-        assert set(got[d]) == {want}, (rows[i], rates[i], t)
-    assert len({tuple(v) for v in got.values()}) > 1 or sizes[1] < 10
-    assert sum(map(len, got.values())) == len(rows)
+        want = not counts[i][-1] and not any(a > b for a, b in zip(rates[i], own[lang, source]))
+        assert set(got[d]) == {want}, (rows[i], rates[i])
+    assert sum(map(len, got.values())) == len(rows) and len({own[k][0] for k in own}) == len(own)
 
 
 def test_groups_decide(spark):

@@ -1,11 +1,12 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
-Base counts of each text (words, symbols, repeated lines, repeated three-word windows) become rates. A mergeable
-KLL sketch of each rate is built for each (lang, source); a group's threshold lies beyond an upper quantile of the
-group, by `reach` times the spread from the median to that quantile, and a tenth of the quantile at least. Only where
-nearly all of a group have a rate of zero does a small guard stand in. Small groups take the threshold of their
-language, then the one of the whole table, by merging sketches, not by reading the rows again. The thresholds are
-joined to the counts and rows beyond any of them go.
+Base counts of each text (words, symbols, repeated lines, repeated three-word windows) become rates. For each (lang,
+source) each rate has a mergeable quantile sketch: counts of rows by logarithmic bucket, with which every quantile is
+known to `accuracy` of its value. Sketches are exact counts, so merging them in any order gives the same, and so do two runs.
+A group's sketch is mixed with `prior_rows` rows spread like its language's, and a language's with as many spread like the whole
+table's, so small groups are shrunk towards wider ones and there is no size at which anything switches. A threshold lies
+beyond an upper quantile of the mixture by `reach` times the spread from the median to that quantile, and a tenth of the
+quantile at least; there is no fixed cutoff. The thresholds are joined to the counts and rows beyond any of them go.
 
 Defined results:
 - null or empty text: all counts 0, base_failed true (fewer than 50 words).
@@ -13,15 +14,17 @@ Defined results:
 - repeated rows are judged alike; an empty table gives an empty result; extra columns are not read.
 - very long texts are counted whole; windows are told apart by 64-bit hashes and then by their words.
 
-Texts are never shuffled: only one row of counts for each text is written, and sketches are merged after partial
-aggregation, so a source with a third of the rows costs one sketch from each task.
+Texts are never shuffled: only one row of counts for each text is written, and sketches are added up before the shuffle, so a
+source with a third of the rows costs a few hundred counts from each task.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.llm._store import materialise
 
@@ -35,17 +38,17 @@ SYMBOLS = "#*$%&|<>"
 class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Rate -> (upper quantile, reach): the threshold is the quantile plus `reach` times its distance from the median. Rates
-    #: that sound texts have none of, or within narrow limits, take 0.9, which a tenth of junk can't move.
-    fences: dict = field(default_factory=lambda: {"symbol_rate": (0.9, 1.0), "dup_line_rate": (0.99, 0.25), "repeat_rate": (0.99, 0.5), "long_word": (0.9, 1.5)})
-    #: A threshold is so many times its quantile at least.
+    #: Rate -> (upper quantile, reach): the fence is the quantile plus `reach` times its distance from the median. Quantiles are such
+    #: that the usual share of junk doesn't move them; the symbol rate of texts without symbols only tells their lengths.
+    fences: dict = field(default_factory=lambda: {"symbol_rate": (0.75, 25.0), "dup_line_rate": (0.99, 0.25), "repeat_rate": (0.99, 0.5), "long_word": (0.9, 1.5)})
+    #: A fence is so many times its quantile at least.
     margin: float = 1.1
-    #: A group with fewer rows takes the thresholds of its language, then of all rows.
-    min_group: int = 200
-    #: A sketch of so many rows or fewer is exact; beyond, ranks are off by about 0.3 % of the rows.
-    sketch_k: int = 1024
-    #: Rate -> least threshold, for groups whose quantile is zero.
-    guards: dict = field(default_factory=lambda: {"symbol_rate": 0.01, "dup_line_rate": 0.02, "repeat_rate": 0.02, "long_word": 1.0})
+    #: Rows spread like the wider kind's (language, whole table) that a sketch counts beside its own.
+    prior_rows: int = 10
+    #: A quantile is known within so much of its value.
+    accuracy: float = 0.02
+    #: Symbols and characters that each text counts beside its own, so that a long text without symbols has a lower rate than a short one.
+    symbol_prior: float = 0.5
 
 
 def let(value: Column, body) -> Column:
@@ -109,34 +112,51 @@ def quality_counts(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_c
     one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
     return x.withColumns({
         "base_failed": (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words")),
-        "symbol_rate": F.col("n_symbols") / one("word_chars"),
+        "symbol_rate": (F.col("n_symbols") + cfg.symbol_prior) / (F.col("word_chars") + 2 * cfg.symbol_prior),
         "dup_line_rate": F.col("n_dup_lines") / one("n_lines"),
         "repeat_rate": F.col("n_repeat_words") / one("n_words"),
         "long_word": F.col("word_chars") / one("n_words"),
     })
 
 
+_ZERO = -(2**31)
+
+
+def quantile_sketches(counts: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """(lang, source, rate, bucket, n): rows that passed the base rules, by the logarithm of each rate."""
+    bucket = lambda r: F.when(F.col(r) > 0, F.floor(F.log(F.col(r)) / math.log1p(cfg.accuracy) + 1e-9).cast("int")).otherwise(_ZERO)
+    every = F.array(*[F.struct(F.lit(r).alias("rate"), bucket(r).alias("bucket")) for r in RATES])
+    x = counts.where("not base_failed").select("lang", "source", F.explode(every).alias("b"))
+    return x.groupBy("lang", "source", "b.rate", "b.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shares(cells: DataFrame, *by: str) -> DataFrame:
+    """cells (by..., rate, bucket, w) with each bucket's share of its rate."""
+    return cells.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*by, "rate")))
+
+
+def _mixed(cells: DataFrame, wider: DataFrame, by: tuple[str, ...], on: tuple[str, ...], cfg: QualityConfig) -> DataFrame:
+    """cells (by..., rate, bucket, w) plus prior_rows rows for each rate, spread as in `wider` (on..., rate, bucket, share)."""
+    groups = cells.select(*by, "rate").distinct()
+    w = wider.select(*[F.col(c).alias(f"_{c}") for c in (*on, "rate")], "bucket", (cfg.prior_rows * F.col("share")).alias("w"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), (*on, "rate"), F.lit(True))
+    return cells.unionByName(groups.join(w, same).select(*by, "rate", "bucket", "w")).groupBy(*by, "rate", "bucket").agg(F.sum("w").alias("w"))
+
+
 def adaptive_thresholds(counts: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """(lang, source, t_<rate>...): one row for each group; sketches of small groups give way to merged ones."""
-    sketches = counts.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, cfg.sketch_k).alias(r) for r in RATES])
-    sketches = materialise(sketches, "sketches")
-    merged = lambda by: sketches.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, cfg.sketch_k).alias(r) for r in RATES])
-
-    def fences(s: DataFrame, to: str) -> list[Column]:
-        out = []
-        for r in RATES:
-            upper, reach = cfg.fences[r]
-            mid, high = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.5, upper))
-            out.append(F.greatest(high + reach * (high - mid), cfg.margin * high, F.lit(float(cfg.guards[r]))).alias(r))
-        return F.struct(F.col("n"), *out).alias(to)
-
-    own = sketches.select("lang", "source", fences(sketches, "_own"))
-    by_lang = merged(["lang"]).select(F.col("lang").alias("_lang"), fences(sketches, "_by_lang"))
-    whole = merged([]).where("n > 0").select(F.lit(1).alias("_one"), fences(sketches, "_all"))
-    x = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"]), "left").withColumn("_one", F.lit(1)).join(whole, "_one", "left")
-    pick = F.when(F.col("_own.n") >= cfg.min_group, F.col("_own")).when(F.col("_by_lang.n") >= cfg.min_group, F.col("_by_lang")).otherwise(F.col("_all"))
-    x = x.withColumn("_t", pick)
-    return x.select("lang", "source", *[F.col(f"_t.{r}").alias(f"t_{r}") for r in RATES])
+    """(lang, source, t_<rate>...): one row for each group. A group has as many buckets as the whole table, some hundred for a rate."""
+    cells = materialise(quantile_sketches(counts, cfg), "sketches").withColumn("w", F.col("n").cast("double")).drop("n")
+    added = lambda *by: cells.groupBy(*by, "rate", "bucket").agg(F.sum("w").alias("w"))
+    by_lang = _mixed(added("lang"), _shares(added()), ("lang",), (), cfg)
+    x = _mixed(cells, _shares(by_lang, "lang"), ("lang", "source"), ("lang",), cfg)
+    w = Window.partitionBy("lang", "source", "rate")
+    x = x.withColumns({"upto": F.sum("w").over(w.orderBy("bucket")), "total": F.sum("w").over(w)})
+    per_rate = lambda i: reduce(lambda c, r: c.when(F.col("rate") == r, F.lit(cfg.fences[r][i])), RATES, F.when(F.lit(False), F.lit(0.0)))
+    edge = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(F.pow(F.lit(1 + cfg.accuracy), F.col("bucket") + 1))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total") - 1e-6, edge))
+    x = x.groupBy("lang", "source", "rate").agg(at(F.lit(0.5)).alias("mid"), at(per_rate(0)).alias("high"))
+    t = F.greatest(F.col("high") + per_rate(1) * (F.col("high") - F.col("mid")), cfg.margin * F.col("high"))
+    return x.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == r, t)).alias(f"t_{r}") for r in RATES])
 
 
 def quality_verdicts(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

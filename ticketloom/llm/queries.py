@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketloom.llm import bpe, collocations, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, warc
@@ -150,27 +152,29 @@ def _spans_sql() -> str:
 
 
 def _quality_sql() -> str:
-    """As long as no group, language or whole table that decides has more rows than a sketch holds exactly."""
     cfg = quality_rules.QualityConfig()
     rates = quality_rules.RATES
+    per_rate = lambda i: "CASE rate " + " ".join(f"WHEN '{r}' THEN {cfg.fences[r][i]}::DOUBLE" for r in rates) + " END"
 
-    def fence(r: str) -> str:
-        upper, reach = cfg.fences[r]
-        at = lambda q: f"list_sort(list({r}))[greatest(1, ceil({q} * count(*)))::INT]"
-        return f"greatest({at(upper)} + {reach} * ({at(upper)} - {at(0.5)}), {cfg.margin} * {at(upper)}, {float(cfg.guards[r])}::DOUBLE) AS t_{r}"
-
-    fences = "count(*) AS n, " + ", ".join(map(fence, rates))
-    pick = lambda r: f"CASE WHEN own.n >= {cfg.min_group} THEN own.t_{r} WHEN l.n >= {cfg.min_group} THEN l.t_{r} ELSE a.t_{r} END"
-    beyond = " OR ".join(f"coalesce(r.{x} > {pick(x)}, FALSE)" for x in rates)
+    at = lambda q: f"min(edge) FILTER (upto >= {q} * total - 1e-6)"
+    fence = f"greatest({at(per_rate(0))} + {per_rate(1)} * ({at(per_rate(0))} - {at('0.5')}), {cfg.margin} * {at(per_rate(0))})"
+    beyond = " OR ".join(f"coalesce(r.{x} > t.t_{x}, FALSE)" for x in rates)
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
  x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) u(i)), f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x),
  v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f, range(3) u(k) WHERE c > 1 GROUP BY doc_id),
  m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORDS}')) AS l, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
  c AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_percent} * n_words AS base_failed FROM m),
- r AS (SELECT *, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_rate, n_dup_lines::DOUBLE / greatest(len(l), 1) AS dup_line_rate, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_rate, word_chars::DOUBLE / greatest(n_words, 1) AS long_word FROM c),
- p AS (SELECT * FROM r WHERE NOT base_failed), own AS (SELECT lang, source, {fences} FROM p GROUP BY lang, source), l AS (SELECT lang, {fences} FROM p GROUP BY lang), a AS (SELECT {fences} FROM p)
+ r AS (SELECT *, (n_symbols + {cfg.symbol_prior}::DOUBLE) / (word_chars + {2 * cfg.symbol_prior}::DOUBLE) AS symbol_rate, n_dup_lines::DOUBLE / greatest(len(l), 1) AS dup_line_rate, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_rate, word_chars::DOUBLE / greatest(n_words, 1) AS long_word FROM c),
+ e AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS rate, {x} AS v FROM r WHERE NOT base_failed" for x in rates)}),
+ s AS (SELECT lang, source, rate, CASE WHEN v > 0 THEN floor(ln(v) / {math.log1p(cfg.accuracy)!r}::DOUBLE + 1e-9)::INT END AS bucket, count(*) AS n FROM e GROUP BY ALL),
+ sa AS (SELECT rate, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY rate) AS share FROM s GROUP BY rate, bucket),
+ ml AS (SELECT lang, rate, bucket, sum(w) AS w FROM (SELECT lang, rate, bucket, n::DOUBLE AS w FROM s UNION ALL SELECT lang, rate, bucket, {cfg.prior_rows} * share FROM (SELECT DISTINCT lang, rate FROM s) JOIN sa USING (rate)) GROUP BY ALL),
+ sl AS (SELECT lang, rate, bucket, w / sum(w) OVER (PARTITION BY lang, rate) AS share FROM ml),
+ ms AS (SELECT lang, source, rate, bucket, sum(w) AS w FROM (SELECT lang, source, rate, bucket, n::DOUBLE AS w FROM s UNION ALL SELECT g.lang, source, g.rate, bucket, {cfg.prior_rows} * share FROM (SELECT DISTINCT lang, source, rate FROM s) g JOIN sl ON g.lang IS NOT DISTINCT FROM sl.lang AND g.rate = sl.rate) GROUP BY ALL),
+ u AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY bucket NULLS FIRST) AS upto, sum(w) OVER (PARTITION BY lang, source, rate) AS total, CASE WHEN bucket IS NULL THEN 0 ELSE pow({1 + cfg.accuracy}::DOUBLE, bucket + 1) END AS edge FROM ms),
+ o AS (SELECT lang, source, rate, {fence} AS f FROM u GROUP BY lang, source, rate), t AS (SELECT lang, source, {", ".join(f"max(f) FILTER (rate = '{x}') AS t_{x}" for x in rates)} FROM o GROUP BY lang, source)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
- FROM r LEFT JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang, a"""
+ FROM r LEFT JOIN t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source"""
 
 
 def _collocation_sql() -> str:
