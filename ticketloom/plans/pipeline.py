@@ -128,6 +128,7 @@ def top_k_in_passes(queries: DataFrame, vectors: DataFrame, k: int, id_col: str
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     wanted = queries.select(F.col(id_col).alias("i"), F.col(vector).alias("v")).where("v is not null")
     passes = -(-wanted.count() // block)
@@ -136,21 +137,26 @@ def top_k_in_passes(queries: DataFrame, vectors: DataFrame, k: int, id_col: str
 
     def nearest(q, ids):
         def run(batches):
-            best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+            scores, who = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
             for b in batches:
-                keep = np.array([v is not None for v in b.column(1).to_pylist()])
-                own = b.column(0).to_numpy()[keep]
-                p = np.array([v for v in b.column(1).to_pylist() if v is not None], dtype=np.float64).reshape(len(own), -1)
-                if not len(own):
-                    continue
-                p /= np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
-                s = q @ p.T
-                for i in range(len(q)):
-                    other = own != ids[i]
-                    score, who = np.concatenate([best[i][0], s[i][other]]), np.concatenate([best[i][1], own[other]])
-                    at = np.lexsort((who, -score))[:k]
-                    best[i] = (score[at], who[at])
-            yield pa.record_batch([pa.array(np.repeat(ids, [len(x) for x, _ in best])), pa.array(np.concatenate([w for _, w in best])), pa.array(np.concatenate([x for x, _ in best]))], ["query_id", "id", "cosine"])
+                n = pc.fill_null(pc.list_value_length(b.column(1)), -1).to_numpy(zero_copy_only=False)
+                there = np.flatnonzero(n == q.shape[1])
+                own = b.column(0).to_numpy(zero_copy_only=False)[there]
+                p = np.asarray(b.column(1).take(pa.array(there)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(there), q.shape[1])
+                p = p / np.maximum(np.sqrt((p * p).sum(axis=1, keepdims=True)), 1e-300)
+                for lo in range(0, len(own), 4096):  # a block of rows against all queries, and the best so far
+                    s = q @ p[lo : lo + 4096].T
+                    s[ids[:, None] == own[None, lo : lo + 4096]] = -np.inf
+                    scores, who = np.concatenate([scores, s], axis=1), np.concatenate([who, np.broadcast_to(own[lo : lo + 4096], s.shape)], axis=1)
+                    if scores.shape[1] > k:
+                        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                        # Of what ties with the k-th best the lowest ids stay.
+                        tied = (scores >= np.take_along_axis(scores, at, 1).min(axis=1, keepdims=True)).sum(axis=1) > k
+                        for i in np.flatnonzero(tied):
+                            at[i] = np.lexsort((who[i], -scores[i]))[:k]
+                        scores, who = np.take_along_axis(scores, at, 1), np.take_along_axis(who, at, 1)
+            row, column = np.nonzero(np.isfinite(scores))
+            yield pa.record_batch([pa.array(ids[row]), pa.array(who[row, column]), pa.array(scores[row, column])], ["query_id", "id", "cosine"])
 
         return run
 

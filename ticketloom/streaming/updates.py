@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -117,14 +120,41 @@ def session_counts(events: DataFrame, time: str, gap: str, by: tuple) -> DataFra
     return events.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", *by, "n")
 
 
+#: Most centroids that travel to every task; beyond, search in operators.vector_index.
+MAX_CENTROIDS = 65_536
+
+
 def route(stream: DataFrame, centroids: DataFrame, threshold: float = 0.8, vector: str = "embedding") -> DataFrame:
-    """Each row to the most similar centroid if its cosine exceeds the threshold, else to none ("new category").
+    """Each row to the most similar centroid if its cosine exceeds the threshold, else to none ("new category"); ties go to the lower
+    number. Rows without a vector, and vectors without length or of another dimension, have neither.
 
-    centroids: a row for each cluster, gathered to the plan as literals; works on streams.
+    The centroids, MAX_CENTROIDS at most, travel with the tasks as a matrix; works on streams.
     """
-    from ticketloom.functions.vectors import cosine
-
-    c = centroids.orderBy("cluster_id").collect()
-    options = F.array(*[F.struct(cosine(F.col(vector), F.array(*map(F.lit, map(float, r.centroid)))).alias("s"), F.lit(-r.cluster_id).alias("k")) for r in c])
-    best: Column = F.array_max(options)
-    return stream.withColumn("_b", best).withColumns({"similarity": F.col("_b.s"), "cluster_id": F.when(F.col("_b.s") > threshold, -F.col("_b.k"))}).drop("_b")
+    rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    ids, c = np.array([r.cluster_id for r in rows], dtype=np.int32), np.array([r.centroid for r in rows], dtype=np.float64)
+    size = np.sqrt((c * c).sum(axis=1)) if len(rows) else np.zeros(0)
+    ids, c = ids[size > 0], (c[size > 0] / size[size > 0, None] if len(rows) else c)
+    names = [f"c{i}" for i in range(len(stream.columns))]
+    at = stream.columns.index(vector)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(at)
+            n = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            there = np.flatnonzero(n == c.shape[1]) if len(ids) else np.zeros(0, np.int64)
+            v = np.asarray(lists.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(there), -1 if len(there) else 1)
+            long = np.sqrt((v * v).sum(axis=1))
+            there, v = there[long > 0], v[long > 0] / long[long > 0, None]
+            best, cosine, none = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows), np.ones(b.num_rows, dtype=bool)
+            for lo in range(0, len(there), 1024):
+                s = v[lo : lo + 1024] @ c.T
+                near = s.argmax(axis=1)
+                best[there[lo : lo + 1024]], cosine[there[lo : lo + 1024]] = ids[near], s[np.arange(len(near)), near]
+            none[there] = False
+            yield pa.record_batch([*b.columns, pa.array(cosine, mask=none), pa.array(best, mask=none | ~(cosine > threshold))], [*names, "similarity", "cluster_id"])
+
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, stream.schema))
+    got = stream.toDF(*names).mapInArrow(run, f"{kinds}, similarity double, cluster_id int")
+    return got.toDF(*stream.columns, "similarity", "cluster_id")
