@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import hdbscan_blocks, ticket_search, vector_index
+from ticketloom.operators import hdbscan_blocks, history, ticket_search, vector_index
 from ticketloom.plans import pipeline
 from ticketloom.plans.more_queries import ORACLE_SQL as _MORE
-from ticketloom.plans.queries import ORACLE_SQL as _BASE, fresh_folder, table, tasks
+from ticketloom.plans.queries import ORACLE_SQL as _BASE, _CHANGED, changed, fresh_folder, table, tasks
 from ticketloom.sources import tickets, workbooks
 from ticketloom.streaming import chat_state
 
@@ -71,9 +71,29 @@ def q74_session_state(spark, sf_dir):
     return x.select(F.col("session").cast("long").alias("conv_id"), "turns", "user_turns", "last_turn", "transcript")
 
 
+def _ticket_versions(spark, sf_dir):
+    return tasks(spark, sf_dir).withColumn("seq", F.lit(0)).unionByName(changed(spark, sf_dir).withColumn("seq", F.lit(1))).select("issue_id", "updated_at", "seq", F.length("description").alias("n"))
+
+
+def q75_state_as_of(spark, sf_dir):
+    """Which version of each ticket held a second after, a minute before and a day before it was first written."""
+    t = tasks(spark, sf_dir).select("issue_id", F.explode(F.array(F.expr("INTERVAL 1 SECOND"), F.expr("INTERVAL -1 MINUTE"), F.expr("INTERVAL -1 DAY"))).alias("d"), "updated_at").select("issue_id", (F.col("updated_at") + F.col("d")).alias("moment"))
+    x = history.as_of(t, _ticket_versions(spark, sf_dir), "issue_id", "updated_at", "seq")
+    return x.select("issue_id", F.unix_micros("moment").alias("moment"), F.col("version.seq").alias("seq"), F.col("version.n").alias("n"))
+
+
+def q76_intervals(spark, sf_dir):
+    """From when to when each version of the tickets held."""
+    x = history.intervals(_ticket_versions(spark, sf_dir), "issue_id", "updated_at", "seq")
+    return x.select("issue_id", "seq", "n", F.unix_micros("valid_from").alias("since"), F.unix_micros("valid_to").alias("until"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
+_VERSIONS = f"{_CHANGED}, w AS (SELECT issue_id, updated_at, 0 AS seq, length(description)::INT AS n FROM t UNION ALL SELECT issue_id, updated_at, 1, length(description)::INT FROM n), z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY issue_id, updated_at ORDER BY seq DESC) = 1)"
 ORACLE_SQL = {
+    "q75_state_as_of": f"WITH {_VERSIONS}, m AS (SELECT issue_id, updated_at + unnest([INTERVAL 1 SECOND, INTERVAL '-1 minute', INTERVAL '-1 day']) AS moment FROM t) SELECT m.issue_id, epoch_us(moment) AS moment, seq, z.n FROM m ASOF LEFT JOIN z ON m.issue_id = z.issue_id AND m.moment >= z.updated_at",
+    "q76_intervals": f"WITH {_VERSIONS} SELECT issue_id, seq, n, epoch_us(updated_at) AS since, epoch_us(lead(updated_at) OVER (PARTITION BY issue_id ORDER BY updated_at)) AS until FROM z",
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
     "q74_session_state": _BASE["q23_session_rollup"],
