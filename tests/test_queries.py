@@ -37,4 +37,4 @@ def test_same_rows(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) == 76
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) == 77

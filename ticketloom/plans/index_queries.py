@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ticketloom.functions import tables
 from ticketloom.operators import hdbscan_blocks, history, ticket_search, vector_index
 from ticketloom.plans import pipeline
 from ticketloom.plans.more_queries import ORACLE_SQL as _MORE
@@ -88,6 +89,17 @@ def q76_intervals(spark, sf_dir):
     return x.select("issue_id", "seq", "n", F.unix_micros("valid_from").alias("since"), F.unix_micros("valid_to").alias("until"))
 
 
+def q77_json_entries(spark, sf_dir):
+    """Events as documents of one object by event id for each user, and back to rows by the table function."""
+    tables.register(spark)
+    e = table(spark, sf_dir, "events")
+    entry = F.struct(F.col("event_id").cast("string").alias("k"), F.struct("event_type", "value", "props").alias("v"))
+    d = e.groupBy("user_id", (F.col("event_id") % 16).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))  # a sixteenth of a user's events
+    name = "events_" + fresh_folder(spark, "v").rpartition("-")[2]
+    d.select("user_id", F.to_json(F.struct(F.struct("m").alias("by"))).alias("doc")).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT user_id, t.event_id, t.event_type, round(t.value, 6) AS value, t.props FROM {name}, LATERAL json_entries(doc, 'by.m', '{tables.schema_json('event_id long, event_type string, value double, props string')}') t")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 _VERSIONS = f"{_CHANGED}, w AS (SELECT issue_id, updated_at, 0 AS seq, length(description)::INT AS n FROM t UNION ALL SELECT issue_id, updated_at, 1, length(description)::INT FROM n), z AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY issue_id, updated_at ORDER BY seq DESC) = 1)"
@@ -96,6 +108,7 @@ ORACLE_SQL = {
     "q76_intervals": f"WITH {_VERSIONS} SELECT issue_id, seq, n, epoch_us(updated_at) AS since, epoch_us(lead(updated_at) OVER (PARTITION BY issue_id ORDER BY updated_at)) AS until FROM z",
     "q69_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "q70_index_exact": _BASE["q15_cosine_topk"],
+    "q77_json_entries": "SELECT user_id, event_id, event_type, round(value, 6) AS value, props FROM events",
     "q74_session_state": _BASE["q23_session_rollup"],
     "q73_workbooks": _MORE["q41_csv_round_trip"],
     "q72_ticket_search": r"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:5] AS w FROM benchmark),
