@@ -25,10 +25,12 @@ def selected(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(e).alias(name) for name, e in columns.items()])
 
 
-def write_partitions(df: DataFrame, path: str, by: tuple[str, ...], form: str = "parquet") -> None:
-    """Replace the partitions that df has rows of, and no others. Partitions are evened out, so a large one is several files."""
-    even = df.hint("rebalance", *by) if by else df
-    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(path)
+def write_partitions(df: DataFrame, path: str, by: tuple[str, ...], form: str = "parquet", order: str | None = None, options: dict | None = None) -> None:
+    """Replace the partitions that df has rows of, and no others. Partitions are evened out, so a large one is several files; order: a
+    column that each file is sorted by."""
+    even = df.hint("rebalance", *by)
+    even = even.sortWithinPartitions(*by, order) if order else even
+    even.write.mode("overwrite").options(**(options or {})).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(path)
 
 
 def start_table(spark: SparkSession, schema, path: str, by: tuple[str, ...], form: str = "parquet") -> None:

@@ -59,6 +59,19 @@ def current(spark: SparkSession, output: str) -> DataFrame:
     return keep_last(history(spark, output), "issue_id", "batch")
 
 
+#: Ids that are named in the scan of the history.
+NAMED = 1000
+
+
+def known(spark: SparkSession, output: str, number: int, ids: DataFrame) -> DataFrame:
+    """(issue_id, batch, updated_at, fingerprint) of earlier batches' rows of these tickets. A small batch names its ids in the scan, where
+    statistics and bloom filters skip what can't hold them; a larger one is a semi join, which Spark broadcasts or filters by its size."""
+    before = history(spark, output).where(F.col("batch") < number).select("issue_id", "batch", "updated_at", "fingerprint")
+    ids = ids.distinct()
+    few = [r.issue_id for r in ids.limit(NAMED + 1).collect()]
+    return before.where(F.col("issue_id").isin(few)) if len(few) <= NAMED else before.join(ids, "issue_id", "left_semi")
+
+
 def take_batch(batch: DataFrame, number: int, output: str, cfg: IntakeConfig) -> None:
     spark, one = batch.sparkSession, F.lit(1)
     read, compared = Observation(f"read-{number}"), Observation(f"compared-{number}")
@@ -69,15 +82,13 @@ def take_batch(batch: DataFrame, number: int, output: str, cfg: IntakeConfig) ->
     text = labelling_text(F.col("summary"), F.col("description"))
     new = with_fingerprint(preprocess_tasks(tasks, cfg.max_length)).withColumns({"label": keyword_label(text, cfg.labels), "all_labels": matching_labels(text, cfg.labels), "source": F.col("cluster_label")})
 
-    # Only what the batch has is looked for in the history, which needs no shuffle where the batch is small.
-    before = history(spark, output).where(F.col("batch") < number).select("issue_id", "batch", "updated_at", "fingerprint")
-    before = before.join(selected(batch, {"issue_id": cfg.columns["issue_id"]}).distinct(), "issue_id", "left_semi")
-    old = keep_last(before, "issue_id", "batch").select(F.col("issue_id").alias("_id"), F.unix_micros("updated_at").alias("_old_at"), F.col("fingerprint").alias("_old_fingerprint"))
+    old = keep_last(known(spark, output, number, selected(batch, {"issue_id": cfg.columns["issue_id"]}).where("issue_id is not null")), "issue_id", "batch").select(F.col("issue_id").alias("_id"), F.unix_micros("updated_at").alias("_old_at"), F.col("fingerprint").alias("_old_fingerprint"))
     x = new.withColumns({"_new_at": F.unix_micros("updated_at"), "_new_fingerprint": F.col("fingerprint")}).join(old, F.col("issue_id") == F.col("_id"), "left")
     x = x.withColumn("category", F.when(F.col("_id").isNull(), "new").when(meaningful_update(), "updated").otherwise("unchanged"))
     x = x.observe(compared, *[F.count_if(F.col("category") == c).alias(c) for c in ("new", "updated", "unchanged")])
     names = [c.split()[0] for c in CHANGES.split(", ")]
-    write_partitions(x.where("category <> 'unchanged'").withColumn("batch", F.lit(number)).select(names), f"{output}/changes", ("batch", "source"))
+    changes = x.where("category <> 'unchanged'").withColumn("batch", F.lit(number)).select(names)
+    write_partitions(changes, f"{output}/changes", ("batch", "source"), order="issue_id", options={"parquet.bloom.filter.enabled#issue_id": "true"})
     counts = observed(read, "read", "rejected") | observed(compared, "new", "updated", "unchanged")
     if counts["rejected"]:
         reasons = raw.select(reject_reason(raw).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(one).alias("rows"))

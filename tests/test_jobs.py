@@ -38,9 +38,10 @@ FIRST = [(1, "one\nmy password", "a", T), (2, "two\nplain", "b", T), (3, "three"
 SECOND = [(1, "one\nmy password", "a", "2024-03-01T00:00:00.5Z"), (2, "two\nother text under LICENSE", "b", "2023-01-01T00:00:00Z"), (3, "three", None, "2024-03-02T00:00:00Z"), (8, "eight", "a", None), (1, None, "a", T)]
 
 
-@pytest.mark.parametrize("per_batch", [1000, 1])
-def test_intake_grows(spark, tmp_path, per_batch):
+@pytest.mark.parametrize("per_batch, named", [(1000, 1000), (1, 1000), (1000, 0)])
+def test_intake_grows(spark, tmp_path, monkeypatch, per_batch, named):
     """Only new files are read; updates are told from what is the same; a run without new files changes nothing."""
+    monkeypatch.setattr(ticket_intake, "NAMED", named)
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     cfg = ticket_intake.IntakeConfig(**{**intake_config(spark).__dict__, "max_files_per_batch": per_batch})
     os.makedirs(folder)
@@ -61,6 +62,16 @@ def test_intake_grows(spark, tmp_path, per_batch):
     assert ticket_intake.run(spark, folder, out, cfg) == 0 and plain(ticket_intake.history(spark, out)) == before
 
 
+def test_history_is_pruned(spark, tmp_path):
+    """A small batch's ids reach the scan of the history, and earlier batches alone are read."""
+    folder, out, cfg = str(tmp_path / "in"), str(tmp_path / "out"), intake_config(spark)
+    deliver(spark, FIRST, folder)
+    ticket_intake.run(spark, folder, out, cfg)
+    plan = ticket_intake.known(spark, out, 5, spark.createDataFrame([("DOC-1",), ("DOC-9",), ("DOC-1",)], "issue_id string"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(issue_id, \[DOC-[19],DOC-[19]\]\)", plan) and "Join" not in plan and re.search(r"PartitionFilters: \[[^\]]*batch", plan)
+    assert "cleaned_description" not in plan.split("ReadSchema")[-1]
+
+
 def test_intake_after_failure(spark, tmp_path, monkeypatch):
     """A batch that failed after it wrote its changes is taken again, with the same rows and counts."""
     folder, out, cfg = str(tmp_path / "in"), str(tmp_path / "out"), intake_config(spark)
@@ -69,10 +80,10 @@ def test_intake_after_failure(spark, tmp_path, monkeypatch):
     deliver(spark, SECOND, folder)
     whole = ticket_intake.write_partitions
 
-    def fails(df, path, by, form="parquet"):
+    def fails(df, path, *args, **more):
         if path.endswith("/runs"):
             raise OSError("lost")
-        whole(df, path, by, form)
+        whole(df, path, *args, **more)
 
     monkeypatch.setattr(ticket_intake, "write_partitions", fails)
     with pytest.raises(Exception, match="lost"):
