@@ -49,7 +49,7 @@ def corpus(seed):
 SMALL = {"least": 5, "top": 40}
 
 
-@pytest.mark.parametrize("extra", [{}, {"flush": 64, "bucket_words": 500, "dictionary": 4}, {"dictionary": 0, "flush": 100}, {"bucket_words": 3, "longest": 3, "cover_percent": 100, "top": 3}])
+@pytest.mark.parametrize("extra", [{}, {"flush": 64, "bucket_words": 2000, "dictionary": 4}, {"dictionary": 0, "flush": 100}, {"bucket_words": 1000, "longest": 3, "cover_percent": 100, "top": 3}])
 def test_brute(spark, extra):
     """Whole ranking, dealt by pivot, by phrase, and with words beyond the dictionary."""
     cfg = collocations.CollocationConfig(**SMALL | extra)
