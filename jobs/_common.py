@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def load_config(spark: SparkSession, path: str, kind):
-    """A dataclass of settings from a JSON file, by any path that Spark reads; unknown names are an error."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    """A dataclass of settings from a JSON file: one beside the program, or by a path with a scheme any that Spark reads. Unknown names
+    are an error."""
+    if "://" in path:
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     got = json.loads(text)
     unknown = set(got) - {f.name for f in fields(kind)}
     if unknown:

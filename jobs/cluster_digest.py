@@ -16,6 +16,7 @@ configuration says, and joined otherwise.
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -113,7 +114,7 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     for name in ("--tickets", "--vectors", "--reviews", "--output"):
         p.add_argument(name, required=True)
-    p.add_argument("--config", default="jobs/cluster_digest.json")
+    p.add_argument("--config", default=os.path.join(os.path.dirname(os.path.abspath(__file__)), "cluster_digest.json"))
     a = p.parse_args(argv)
     from ticketloom.session import build_session
 

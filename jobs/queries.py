@@ -14,7 +14,7 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 
 
 def _config(spark: SparkSession, name: str, kind):
-    return load_config(spark, f"file://{_HERE}/{name}.json", kind)
+    return load_config(spark, f"{_HERE}/{name}.json", kind)
 
 
 def job1_ticket_intake(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ observations of the plan that writes, not from another pass; the comparison read
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -120,7 +121,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--checkpoint")
-    p.add_argument("--config", default="jobs/ticket_intake.json")
+    p.add_argument("--config", default=os.path.join(os.path.dirname(os.path.abspath(__file__)), "ticket_intake.json"))
     a = p.parse_args(argv)
     from ticketloom.session import build_session
 
