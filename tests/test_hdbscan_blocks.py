@@ -59,3 +59,24 @@ def test_few_rows(spark):
     assert len(one.edges) == 0 and one.numbers.tolist() == [0]
     same = hb.spanning_tree(frame(spark, np.ones((50, 3))), 5, 10)
     assert len(same.edges) == 49 and (same.edges[:, 2] == 0).all()
+
+
+def test_blocks_are_bounded(spark):
+    """More rows make larger blocks, not more of them: a row travels to no more tasks. The tree stays the least one."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(1200, 6))
+    got = hb.spanning_tree(frame(spark, p, 1), 3, 20)
+    want = hdbscan.spanning_tree(spark, p, hdbscan.core_distances(spark, p, 3))
+    assert (got.edges == want).all() and got.blocks <= 2 * hb.MAX_BLOCKS
+
+
+def test_more_rows_than_are_compared_at_once(spark, tmp_path):
+    """q56 beyond MAX_EXACT rows: every vector is in its label's cluster."""
+    from ticketloom.plans.more_queries import q56_hdbscan_copies
+
+    n = hdbscan.MAX_EXACT + 500
+    p = np.random.default_rng(6).normal(size=(n, 8))
+    rows = [(i, r.tolist(), i % 4) for i, r in enumerate(p / np.sqrt((p * p).sum(axis=1, keepdims=True)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.label: (r.clusters, r.n, r.sure) for r in q56_hdbscan_copies(spark, str(tmp_path)).collect()}
+    assert got == {i: (1, n // 4, True) for i in range(4)}

@@ -2,7 +2,7 @@
 
 cluster() takes every row into account at every size. Up to MAX_EXACT rows distances are taken in blocks on the executors
 against the matrix of all rows, which is broadcast; core distances are one pass, the minimum spanning tree a pass for
-each of Boruvka's rounds (as many as the logarithm of the rows). Beyond that the tree is made block by block
+each of Boruvka's rounds (as many as the logarithm of the rows). Beyond that the tree is made from pairs of blocks
 (hdbscan_blocks); it is the same tree, as ties are broken by (weight, row, row) in both. Tree condensing and selection run on
 the driver over the tree's edges, one for each row (24 bytes).
 
@@ -124,8 +124,8 @@ def select_clusters(tree: np.ndarray, n: int, min_cluster_size: int, epsilon: fl
             a = group[a]
         return a
 
-    for i, (u, v, w) in enumerate(tree):
-        a, b, new = find(int(u)), find(int(v)), n + i
+    for i, (u, v, w) in enumerate(zip(tree[:, 0].astype(int).tolist(), tree[:, 1].astype(int).tolist(), tree[:, 2].tolist())):
+        a, b, new = find(u), find(v), n + i
         group += [new]
         group[a] = group[b] = new
         left[new], right[new], height[new], size[new] = a, b, w, size[a] + size[b]
@@ -172,8 +172,7 @@ def select_clusters(tree: np.ndarray, n: int, min_cluster_size: int, epsilon: fl
     most = 2 * max(finite, default=1.0) + 1  # stands for infinity: rows at distance 0
     cap = lambda lam: min(lam, most)
     stability = {c: sum(cap(lam) - cap(birth[c]) for _, lam in rows[c]) + sum(members[k] * (cap(birth[k]) - cap(birth[c])) for k in children[c]) for c in birth}
-    chosen = set()
-    total = {}
+    better, total = set(), {}
     for c in sorted(birth, reverse=True):
         below = sum(total[k] for k in children[c])
         if c == 0:
@@ -182,19 +181,15 @@ def select_clusters(tree: np.ndarray, n: int, min_cluster_size: int, epsilon: fl
             total[c] = below
         else:
             total[c] = stability[c]
-            todo = list(children[c])
-            while todo:
-                k = todo.pop()
-                chosen.discard(k)
-                todo += children[k]
-            chosen.add(c)
+            better.add(c)
+    chosen = _topmost(better, parent)
     if epsilon > 0:
         merged = set()
         for c in sorted(chosen):
             while inv(birth[c]) < epsilon and parent[c] not in (0, None):
                 c = parent[c]
             merged.add(c)
-        chosen = {c for c in merged if not any(_above(c, x, parent) for x in merged if x != c)}
+        chosen = _topmost(merged, parent)
     for number, c in enumerate(sorted(chosen)):
         own, todo = [], [c]
         while todo:
@@ -207,13 +202,14 @@ def select_clusters(tree: np.ndarray, n: int, min_cluster_size: int, epsilon: fl
     return labels, np.clip(probabilities, 0, 1)
 
 
-def _above(c, x, parent) -> bool:
-    """x is an ancestor of c."""
-    while parent[c] is not None:
-        c = parent[c]
-        if c == x:
-            return True
-    return False
+def _topmost(some: set, parent: dict) -> set:
+    """Those of some clusters that no other of them is above; parents have lower numbers."""
+    under, out = {}, set()
+    for c in sorted(parent):
+        under[c] = parent[c] is not None and (parent[c] in some or under[parent[c]])
+        if c in some and not under[c]:
+            out.add(c)
+    return out
 
 
 def fit(df: DataFrame, min_cluster_size: int = 10, epsilon: float = 0.5, min_samples: int | None = None, id_col: str = "issue_id", vector: str = "embedding", max_exact: int = MAX_EXACT) -> Fitted:
@@ -236,12 +232,15 @@ def cluster(df: DataFrame, min_cluster_size: int = 10, epsilon: float = 0.5, min
     if there.limit(max_exact + 1).count() <= max_exact:
         return assign(df, fit(df, min_cluster_size, epsilon, min_samples, id_col, vector, max_exact), id_col, vector)
     spark, folder = df.sparkSession, hdbscan_blocks.fresh_path(df.sparkSession)
-    df.orderBy(id_col).withColumn("_n", F.monotonically_increasing_id()).write.parquet(folder)  # numbers in the order of ids
-    numbered = spark.read.parquet(folder)
-    tree = hdbscan_blocks.spanning_tree(numbered.where(F.col(vector).isNotNull()).select(F.col("_n").alias("n"), F.col(vector).cast("array<double>").alias("v")), min_samples or min_cluster_size, block)
+    df.withColumn("_r", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    own = rows.where(F.col(vector).isNotNull())
+    own.select("_r", F.col(id_col).alias("_i")).orderBy("_i", "_r").select("_r", F.monotonically_increasing_id().alias("_n")).write.parquet(f"{folder}/numbers")  # in the order of ids
+    numbers = spark.read.parquet(f"{folder}/numbers")
+    tree = hdbscan_blocks.spanning_tree(own.select("_r", F.col(vector).alias("v")).join(numbers, "_r").select(F.col("_n").alias("n"), "v"), min_samples or min_cluster_size, block)
     labels, p = select_clusters(tree.edges, len(tree.numbers), min_cluster_size, epsilon)
-    known = spark.createDataFrame(pa.table({"_n": tree.numbers, "_label": pa.array(labels, pa.int32()), "_probability": p}))
-    x = numbered.join(known, "_n", "left").withColumns({"_label": F.coalesce("_label", F.lit(-1)), "_probability": F.coalesce("_probability", F.lit(0.0))})
+    known = spark.createDataFrame(pa.table({"_n": tree.numbers, "_label": pa.array(labels, pa.int32()), "_probability": p})).join(numbers, "_n").drop("_n")
+    x = rows.join(known, "_r", "left").withColumns({"_label": F.coalesce("_label", F.lit(-1)), "_probability": F.coalesce("_probability", F.lit(0.0))})
     return x.select(*[F.col(f"`{c}`") for c in df.columns], "_label", "_probability")
 
 
