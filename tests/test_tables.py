@@ -21,3 +21,23 @@ def test_any_schema(spark):
     assert q("name string, entry string", "") and q("x int", "details.0.in.x") == []
     with pytest.raises(Exception, match="constants"):
         spark.sql("SELECT * FROM json_docs, LATERAL json_entries(d, 'details', d)").collect()
+
+
+def test_json_array_of_many_rows(spark, tmp_path, monkeypatch):
+    """More rows than one file takes: a folder of arrays, whose rows don't go through the driver, with every row in it."""
+    import json
+
+    from pyspark.sql import DataFrame, functions as F
+
+    from ticketloom.sources import sinks, tickets
+
+    x = spark.range(250, numPartitions=3).select(F.format_string("T-%04d", "id").alias("issue_id"), F.lit('a "b"\nc').alias("summary"))
+    path = str(tmp_path / "a.json")
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a: pytest.fail("rows go through the driver"))
+    sinks.write_json_array(x, path, rows=40)
+    files = [json.loads(p.read_text()) for p in (tmp_path / "a.json").glob("part-*")]
+    assert sum(map(len, files)) == 250 and max(map(len, files)) == 40
+    again = tickets.read_processed(spark, path)
+    assert again.where("summary = 'a \"b\"\nc'").select("issue_id").distinct().count() == 250 == again.count()
+    sinks.write_json_array(x.limit(40), path, rows=40)  # the folder is replaced by one file
+    assert len(json.loads((tmp_path / "a.json").read_text())) == 40 and tickets.read_processed(spark, path).count() == 40
