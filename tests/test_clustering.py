@@ -186,3 +186,18 @@ def test_all_silhouettes_at_once(spark, monkeypatch):
         got = kmeans.silhouettes_by_set(x, sets)
         assert [g is None for g in got] == [w is None for w in want] and got[3] is None
         assert all(g is None or abs(g - w) < 1e-9 for g, w in zip(got, want))
+
+
+def test_silhouettes_without_the_driver(spark, monkeypatch):
+    """Groups and blocks of rows meet in tasks: the same means as at once, and no vectors are sent to the driver."""
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(300, 3)) + rng.integers(0, 3, 300)[:, None] * 3
+    x = spark.createDataFrame([(r.tolist(),) for r in p], "embedding array<double>").repartition(3)
+    sets = [p[:k].copy() for k in (2, 3, 5)]
+    want = kmeans.silhouettes_by_set(x, sets)
+    labelled = kmeans.assign(x, sets[1].tolist())
+    single = kmeans.silhouette(labelled, "cluster_id")
+    monkeypatch.setattr(type(x), "toArrow", lambda self: pytest.fail("rows go through the driver"))
+    monkeypatch.setattr(kmeans, "GROUP_ROWS", 40)
+    got = kmeans.silhouettes_by_set(x, sets)
+    assert np.allclose(got, want, rtol=1e-12) and np.isclose(kmeans.silhouette(labelled, "cluster_id"), single) and np.isclose(single, want[1])
