@@ -80,3 +80,32 @@ def test_more_rows_than_are_compared_at_once(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.label: (r.clusters, r.n, r.sure) for r in q56_hdbscan_copies(spark, str(tmp_path)).collect()}
     assert got == {i: (1, n // 4, True) for i in range(4)}
+
+
+def shuffled_mb(spark, run):
+    """MB that stages started by run() wrote for shuffles."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() / 1e6 for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, none, gateway.jvm.java.util.ArrayList()))}
+    before = stages()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_vectors_are_not_shuffled_by_pairs(spark):
+    """Tasks of pairs read their blocks: what is shuffled is a few times the vectors, not a time for each block."""
+    n, dims = 800, 256
+    rows = frame(spark, np.random.default_rng(8).normal(size=(n, dims)), 1).persist()
+    rows.count()
+    mb = shuffled_mb(spark, lambda: hb.spanning_tree(rows, 3, 20))
+    rows.unpersist()
+    assert 0 < mb < 6 * n * dims * 8 / 1e6
+
+
+def test_scan_in_parts(spark, monkeypatch):
+    """Rows that look for an edge in one block are dealt out, and the tree is the same."""
+    monkeypatch.setattr(hb, "PAIRS", 400)
+    p = points(9, 300)
+    want = hdbscan.spanning_tree(spark, p, hdbscan.core_distances(spark, p, 5))
+    assert (hb.spanning_tree(frame(spark, p), 5, 100).edges == want).all()

@@ -239,8 +239,9 @@ def cluster(df: DataFrame, min_cluster_size: int = 10, epsilon: float = 0.5, min
     numbers = spark.read.parquet(f"{folder}/numbers")
     tree = hdbscan_blocks.spanning_tree(own.select("_r", F.col(vector).alias("v")).join(numbers, "_r").select(F.col("_n").alias("n"), "v"), min_samples or min_cluster_size, block)
     labels, p = select_clusters(tree.edges, len(tree.numbers), min_cluster_size, epsilon)
+    # The driver made the labels: they go to the rows, three numbers each, not the rows with their texts to them.
     known = spark.createDataFrame(pa.table({"_n": tree.numbers, "_label": pa.array(labels, pa.int32()), "_probability": p})).join(numbers, "_n").drop("_n")
-    x = rows.join(known, "_r", "left").withColumns({"_label": F.coalesce("_label", F.lit(-1)), "_probability": F.coalesce("_probability", F.lit(0.0))})
+    x = rows.join(F.broadcast(known), "_r", "left").withColumns({"_label": F.coalesce("_label", F.lit(-1)), "_probability": F.coalesce("_probability", F.lit(0.0))})
     return x.select(*[F.col(f"`{c}`") for c in df.columns], "_label", "_probability")
 
 
