@@ -68,3 +68,12 @@ def test_nothing(spark, tmp_path):
     x = spark.createDataFrame([], "issue_id string, description string")
     index = ts.build(x, str(tmp_path / "index"))
     assert ts.search(index, spark.createDataFrame([(1, "a")], "query_id int, query string")).count() == 0
+
+
+def test_rows_of_postings_are_shared(spark, tmp_path):
+    """A term of many tickets is a row for each batch of texts, with all their positions, not a row for each ticket."""
+    docs, _ = corpus()
+    index = ts.build(spark.createDataFrame(docs, "issue_id int, description string").coalesce(2), str(tmp_path / "index"))
+    tickets = sum("the" in W.findall((t or "").lower()) for _, t in docs)
+    got = index.postings.where("term = 'the'").selectExpr("sum(size(ids)) AS tickets", "count(*) AS rows", "sum(size(positions)) AS places").first()
+    assert got.tickets == tickets and got.rows <= 2 and got.places == sum(W.findall((t or "").lower()).count("the") for _, t in docs)

@@ -1,9 +1,12 @@
 """Search in tickets: positional postings by term, ranked by BM25, with exact phrases.
 
-The index is three Parquet tables at a path: postings (term, id, positions) bucketed and sorted by slot and term, terms with
-their document counts, and totals. A term's postings lie in as many slots as they fill, so a word of every third text
+The index is three Parquet tables at a path: postings bucketed and sorted by slot and term, terms with their document counts,
+and totals. A row of postings has a term's tickets of one batch of texts: ids, words of each, and all positions in one list with
+where each ticket's start, so that neither term nor list weighs on every ticket. A term's rows lie in as many slots as its
+postings fill, so a word of every third text
 isn't one bucket's own. A search with few terms names them and their slots in the scan's filters, by which buckets
-and row groups are skipped; only matches of the queries' terms are shuffled.
+and row groups are skipped; only matches of the queries' terms are shuffled, as a query, an id and a number each, and with
+positions only where a phrase asks for them.
 
 A query is words and "phrases in quotes". A ticket must hold every phrase, word for word; its score sums over all distinct
 words of the query. Words are runs of letters and digits, lower-cased. Null and empty texts and queries match nothing;
@@ -47,7 +50,7 @@ def words(text: Column) -> Column:
 
 
 def _postings(batches):
-    """(term, id, words, positions) of batches (id, tokens): each term of a text once."""
+    """(term, ids, words, starts, positions) of batches (id, tokens): each term of a batch once, starts with the end of the last."""
     for b in batches:
         lists = b.column(1)
         tokens = lists.flatten()
@@ -56,15 +59,20 @@ def _postings(batches):
         n = np.diff(lists.offsets.to_numpy())
         coded = tokens.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((at, code, doc))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (code[order[1:]] != code[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-        first = np.flatnonzero(new)
-        own = doc[order[first]]
-        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
-        yield pa.record_batch([coded.dictionary.take(pa.array(code[order[first]])), b.column(0).take(pa.array(own)), pa.array(n[own], pa.int32()), positions], ["term", "id", "words", "positions"])
+        order = np.argsort(code, kind="stable")  # by ticket and place within a term
+        code, doc = code[order], np.repeat(np.arange(len(n)), n)[order]
+        at = order - (np.cumsum(n) - n)[doc]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+        own, term = doc[first], code[first]
+        group = np.flatnonzero(np.append(True, term[1:] != term[:-1]))  # a term's first ticket
+        upto = np.append(group, len(first))
+        base = np.append(first[group], len(order))
+        starts = np.insert(first, upto[1:], base[1:]) - np.repeat(base[:-1], np.diff(upto) + 1)
+        listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        yield pa.record_batch(
+            [coded.dictionary.take(pa.array(term[group])), listed(upto, b.column(0).take(pa.array(own))), listed(upto, pa.array(n[own], pa.int32())), listed(upto + np.arange(len(upto)), pa.array(starts, pa.int32())), listed(base, pa.array(at, pa.int32()))],
+            ["term", "ids", "words", "starts", "positions"],
+        )
 
 
 def _slot(term: Column, part: Column, slots: int) -> Column:
@@ -76,15 +84,15 @@ def build(tickets: DataFrame, path: str, cfg: SearchConfig = SearchConfig(), id_
     spark, path = tickets.sparkSession, path.rstrip("/")
     x = tickets.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("tokens"))
     kind = x.schema["id"].dataType.simpleString()
-    raw = x.where(F.size("tokens") > 0).mapInArrow(_postings, f"term string, id {kind}, words int, positions array<int>")
+    raw = x.where(F.size("tokens") > 0).mapInArrow(_postings, f"term string, ids array<{kind}>, words array<int>, starts array<int>, positions array<int>")
     raw.write.parquet(f"{path}/raw")
     raw = spark.read.schema(raw.schema).parquet(f"{path}/raw")
-    terms = raw.groupBy("term").agg(F.count(F.lit(1)).alias("tickets"))
+    terms = raw.groupBy("term").agg(F.sum(F.size("ids")).alias("tickets"))
     terms.withColumn("parts", F.ceil(F.col("tickets") / cfg.slot_postings).cast("int")).write.parquet(f"{path}/terms")
     x.agg(F.count(F.lit(1)).alias("tickets"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean_words")).write.parquet(f"{path}/totals")
     wide = spark.read.parquet(f"{path}/terms").where("parts > 1").select("term", "parts")  # no more of them than postings fill slots
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
-    placed = raw.join(F.broadcast(wide), "term", "left").select(_slot(F.col("term"), part, cfg.slots).alias("slot"), "term", "id", "words", "positions")
+    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.coalesce("parts", F.lit(1))).cast("int")  # rows of a term, whole
+    placed = raw.join(F.broadcast(wide), "term", "left").select(_slot(F.col("term"), part, cfg.slots).alias("slot"), *raw.columns)
     name = f"search_{uuid.uuid4().hex}"
     placed.repartition(cfg.slots, "slot").write.bucketBy(cfg.slots, "slot").sortBy("slot", "term").option("path", f"{path}/postings").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
@@ -93,7 +101,7 @@ def build(tickets: DataFrame, path: str, cfg: SearchConfig = SearchConfig(), id_
 
 def open_index(spark: SparkSession, path: str, cfg: SearchConfig = SearchConfig(), kind: str = "string") -> TicketIndex:
     path, name = path.rstrip("/"), f"search_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} (slot INT, term STRING, id {kind}, words INT, positions ARRAY<INT>) USING parquet CLUSTERED BY (slot) SORTED BY (slot, term) INTO {cfg.slots} BUCKETS LOCATION '{path}/postings'")
+    spark.sql(f"CREATE TABLE {name} (slot INT, term STRING, ids ARRAY<{kind}>, words ARRAY<INT>, starts ARRAY<INT>, positions ARRAY<INT>) USING parquet CLUSTERED BY (slot) SORTED BY (slot, term) INTO {cfg.slots} BUCKETS LOCATION '{path}/postings'")
     t = spark.read.parquet(f"{path}/totals").first()
     return TicketIndex(spark.table(name), spark.read.parquet(f"{path}/terms"), t.tickets, t.mean_words, cfg)
 
@@ -120,15 +128,30 @@ def search(index: TicketIndex, queries: DataFrame, k: int = 10) -> DataFrame:
         found = found.where(F.col("slot").isin(sorted({r.slot for r in few})) & F.col("term").isin(sorted({r.term for r in few})))
     small = asked.limit(BROADCAST + 1).count() <= BROADCAST
     idf = F.log1p((index.tickets - F.col("tickets") + 0.5) / (F.col("tickets") + 0.5))
-    tf = F.size("positions")
-    part = idf * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("words") / max(index.mean_words, 1e-300)))
-    hits = found.join(F.broadcast(asked) if small else asked, "term").select(
-        "query_id", "id", "needed", "lengths", part.alias("part"),
-        F.flatten(F.transform("places", lambda s: F.transform("positions", lambda p: F.named_struct(F.lit("phrase"), s["phrase"], F.lit("start"), p - s["place"], F.lit("place"), s["place"])))).alias("starts"),
-    )
-    x = hits.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.first("needed").alias("needed"), F.first("lengths").alias("lengths"), F.flatten(F.collect_list("starts")).alias("starts"))  # a row for each word of the query
+    at = lambda i: F.get("starts", i)
+
+    def ticket(i: Column, *more: Column) -> Column:
+        tf = at(i + 1) - at(i)
+        part = idf * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.get("words", i) / max(index.mean_words, 1e-300)))
+        return F.struct(F.get("ids", i).alias("id"), part.alias("part"), *more)
+
+    # Made before rows are: beside a ticket no list of its whole row is kept.
+    def joined(which: str, one, *more: str) -> DataFrame:
+        x = found.join(F.broadcast(asked.where(which)) if small else asked.where(which), "term")
+        return x.select("query_id", *more, F.inline(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), one)))
+
+    # Matches are shuffled before they are grouped: else the aggregate would keep rows with the lists that they come from.
+    plain = joined("needed = 0", lambda i: ticket(i)).repartition("query_id", "id").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    # A list of starts for each place of a phrase that the word has.
+    own = lambda i: F.when(F.size("places") > 0, F.slice("positions", at(i) + 1, at(i + 1) - at(i))).alias("own")
+    places = F.transform("places", lambda s: F.named_struct(F.lit("phrase"), s["phrase"], F.lit("place"), s["place"], F.lit("starts"), F.transform("own", lambda p: p - s["place"])))
+    hits = joined("needed > 0", lambda i: ticket(i, own(i)), "places").select("query_id", "id", "part", F.when(F.size("places") > 0, places).alias("places")).repartition("query_id", "id")
+    every = F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda s: F.transform(s["starts"], lambda at: F.named_struct(F.lit("phrase"), s["phrase"], F.lit("start"), at, F.lit("place"), s["place"]))))
+    x = hits.groupBy("query_id", "id").agg(F.sum("part").alias("score"), every.alias("starts"))  # a row for each word of the query
+    about = asked.where("needed > 0").select("query_id", "needed", "lengths").dropDuplicates(["query_id"])
+    x = x.join(F.broadcast(about) if small else about, "query_id")
     # A phrase stands where each of its places has the same start.
     whole = lambda i: F.exists(F.array_distinct(F.transform(F.filter("starts", lambda s: s["phrase"] == i), lambda s: s["start"])), lambda at: F.size(F.array_distinct(F.transform(F.filter("starts", lambda s: (s["phrase"] == i) & (s["start"] == at)), lambda s: s["place"]))) == F.element_at("lengths", i + 1))
-    x = x.where((F.col("needed") == 0) | F.forall(F.sequence(F.lit(0), F.greatest(F.col("needed") - 1, F.lit(0))), whole))
+    x = plain.unionByName(x.where(F.forall(F.sequence(F.lit(0), F.col("needed") - 1), whole)).select("query_id", "id", "score"))
     x = x.select("query_id", "id", F.round("score", 6).alias("score"))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
