@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketloom.functions.text import characters, content_fingerprint, set_jaccard
 from ticketloom.operators.prepare import keep_last
@@ -74,6 +74,26 @@ def upsert(existing: DataFrame, delta: DataFrame, order: str) -> DataFrame:
     return keep_last(both, "issue_id", "_v", order).drop("_v")
 
 
+def upsert_changed(existing: DataFrame, incoming: DataFrame, order: str, bucket: Column, partitions: int) -> DataFrame:
+    """As upsert(existing, delta(incoming, existing), order), with the bucket of each row: both sides are shuffled once, by bucket, and
+    compared and merged where they lie."""
+    columns = existing.columns
+    both = existing.withColumn("_v", F.lit(0)).unionByName(incoming.select(*columns, F.lit(1).alias("_v"))).withColumn("bucket", bucket).repartition(partitions, "bucket")
+    marks = _marks(both, "new")
+    names = ["at", "fingerprint", "summary", "cleaned_description"]
+    x = both.select(*both.columns, *marks)
+    w = Window.partitionBy("bucket", "issue_id").orderBy(F.desc("_v"), F.desc(order))
+    before = F.struct(*[F.col(f"_new_{c}").alias(c) for c in names], "cluster_id", "cluster_confidence")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumn("_old", F.when(F.col("issue_id").isNotNull(), F.first(F.when(F.col("_v") == 0, before), ignorenulls=True).over(whole)))
+    x = x.withColumns({f"_old_{c}": F.col(f"_old.{c}") for c in names})
+    own = F.col("_old").isNull()
+    x = x.where((F.col("_v") == 0) | own | meaningful_update()).withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    keep = preserve_clustering() & F.col("_old.cluster_id").isNotNull()
+    column = lambda c: F.when((F.col("_v") == 0) | own, F.col(c)).when(keep, F.col(f"_old.{c}")).alias(c) if c in ("cluster_id", "cluster_confidence") else F.col(c)
+    return x.select(*[column(c) for c in columns], "bucket")
+
+
 def statistics(categorized: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row of counters."""
     n = lambda c: F.count_if(F.col("category") == c)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticketloom.operators.incremental import delta as changed_rows, upsert
+from ticketloom.operators.incremental import delta as changed_rows, upsert_changed
 from ticketloom.operators.prepare import keep_last
 
 
@@ -43,6 +43,9 @@ class SnapshotStore:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def tasks(self, only: list[int] | None = None) -> int:
+        return max(1, min(self.buckets, len(only) if only is not None else self.buckets))
+
     def touched(self, df: DataFrame) -> list[int]:
         return [r.b for r in df.select(self.bucket().alias("b")).distinct().collect()]  # `buckets` rows at most
 
@@ -52,10 +55,11 @@ class SnapshotStore:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, batch: int, only: list[int] | None = None) -> None:
-        """df: the rows of the buckets `only` (all: the whole snapshot) as they are from this batch on."""
+        """df: the rows of the buckets `only` (all: the whole snapshot) as they are from this batch on; rows that have their bucket
+        lie by it already."""
         at = self._at(batch) if only is not None else {}
-        x = df.withColumn("bucket", self.bucket())
-        x.repartition(max(1, min(self.buckets, len(only) if only is not None else self.buckets)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={batch}")
+        x = df if "bucket" in df.columns else df.withColumn("bucket", self.bucket()).repartition(self.tasks(only), "bucket")
+        x.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={batch}")
         fs, path = self._path("data", f"v={batch}")
         new = [int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")]
         at = {b: v for b, v in at.items() if b not in (only or [])} | dict.fromkeys(new, batch)
@@ -87,9 +91,8 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, number: int, order: str)
     """Categorize and merge one batch into the buckets that it touches; returns the delta."""
     only = store.touched(batch)
     old = store.read(before=number, only=only)
-    delta = changed_rows(batch, old)
-    store.write(upsert(old, delta, order), number, only)
-    return delta
+    store.write(upsert_changed(old, batch, order, store.bucket(), store.tasks(only)), number, only)
+    return changed_rows(batch, old)
 
 
 def start_updates(stream: DataFrame, store: SnapshotStore, order: str, checkpoint: str, **trigger) -> StreamingQuery:
