@@ -62,3 +62,14 @@ def test_few_and_none(spark, tmp_path):
     assert vi.search(index, x.limit(0), 5).count() == 0
     with pytest.raises(ValueError, match="no vectors"):
         vi.build(x.limit(0), str(tmp_path / "none"))
+
+
+def test_small_cells_share_slots(spark, tmp_path):
+    """A query goes once to a slot, however many of its cells it probes, so probes grow with queries and not with cells."""
+    rng = np.random.default_rng(2)
+    x = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, 8)))], SCHEMA).repartition(3)
+    index = vi.build(x, str(tmp_path / "index"), vi.IndexConfig(cells=300))
+    assert (index.slots == 1).all() and len(set(index.first)) < 2 * vi.SHELVES
+    q = x.where("vec_id < 10").select("vec_id", F.col("embedding").alias("q"))
+    asked = q.mapInArrow(vi._probes(index, 300), vi.PROBE)
+    assert asked.count() == asked.select("query_id", "slot").distinct().count() == 10 * len(set(index.first))

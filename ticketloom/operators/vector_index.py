@@ -2,10 +2,11 @@
 
 Building: cells (centroids) and code books are fitted on a bounded uniform sample; every row is then put into its nearest
 cell and coded: for each part of its difference from the centroid the number of the nearest book entry, a byte each. Cells
-are split into slots of at most about `slot_rows` rows, so that equal vectors don't make one group of their own. Codes and vectors
+are split into slots of at most about `slot_rows` rows, so that equal vectors don't make one group of their own; small cells near
+each other share a slot, some SHELVES of them in all, so that what queries send and get grows with queries, not with cells. Codes and vectors
 are two Parquet tables bucketed by slot at the index's path; rows never move again.
 
-Searching: a query's probes go to the slots of its nearest cells, where sums of table entries rank the codes; the best few of
+Searching: a query's probes go to the slots of its nearest cells, once to each, where products with the decoded rows rank them; the best few of
 each query are compared exactly. Only probes and candidates are shuffled, codes and vectors are read where they lie. A slot that very
 many queries probe is searched in blocks of them. exact=True goes on to every cell that, by its radius and the k-th
 best found so far, may still hold a neighbour, so that the result is that of comparing all rows.
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 #: Most sampled rows the model is fitted on, and most cells.
 SAMPLE = 65_536
 MAX_CELLS = 4096
+#: Slots, about, that small cells are put together in.
+SHELVES = 48
 
 
 @dataclass(frozen=True)
@@ -109,6 +112,19 @@ def _encode(centroids: np.ndarray, books: np.ndarray):
     return run
 
 
+def _shelved(centroids: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slot and number of slots of each cell: more than one for large cells; small ones, neighbours beside each other, share."""
+    slots, first = np.maximum(1, -(-rows // most)), np.zeros(len(rows), np.int64)
+    shelf, held, at = min(most, max(1, int(rows.sum()) // SHELVES)), 0, -1
+    for c in np.argsort(_nearest(centroids, _lloyd(centroids, max(1, int(np.sqrt(len(centroids)))), 8, 3)), kind="stable"):
+        if slots[c] > 1 or at < 0 or held + rows[c] > shelf:
+            at, held = at + 1, 0
+        first[c], held = at, held + rows[c]
+        if slots[c] > 1:
+            at, held = at + slots[c] - 1, most
+    return first, slots
+
+
 def _bucketed(df: DataFrame, path: str, buckets: int) -> None:
     name = f"vector_index_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, "slot").sortBy("slot").option("path", path).saveAsTable(name)
@@ -133,15 +149,15 @@ def build(vectors: DataFrame, path: str, cfg: IndexConfig = IndexConfig(), id_co
     rows, radius = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
     for r in sizes:
         rows[r.cell], radius[r.cell] = r.n, r.r
-    slots = np.maximum(1, -(-rows // cfg.slot_rows))
-    first = np.cumsum(slots) - slots
+    first, slots = _shelved(centroids, rows, cfg.slot_rows)
+    total = int((first + slots).max())
     cell = [(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, slots))]
     placed = coded.join(F.broadcast(spark.createDataFrame(cell, "cell int, first int, slots int")), "cell")  # MAX_CELLS rows at most
     placed = placed.withColumn("slot", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("slots"))).cast("int"))
-    buckets = int(max(1, min(slots.sum(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.sum() // 1_000_000), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))))
+    buckets = int(max(1, min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.sum() // 1_000_000), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))))
     # One task writes each bucket: slots are small, and a task has few of them.
     placed = placed.repartition(buckets, "slot")
-    _bucketed(placed.select("slot", "id", "code"), f"{path}/codes", buckets)
+    _bucketed(placed.select("slot", "cell", "id", "code"), f"{path}/codes", buckets)
     _bucketed(placed.select("slot", "id", "vector"), f"{path}/vectors", buckets)
     model = [(buckets, i, c.tolist(), int(a), int(s), int(n), float(r)) for i, (c, a, s, n, r) in enumerate(zip(centroids, first, slots, rows, radius))]
     spark.createDataFrame(model, "buckets int, cell int, centroid array<double>, first int, slots int, rows long, radius double").coalesce(1).write.parquet(f"{path}/cells")
@@ -164,7 +180,7 @@ def open_index(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig())
 
     column = lambda name: np.array([r[name] for r in cells])
     return VectorIndex(
-        spark, path, table("codes", "slot INT, id BIGINT, code BINARY"), table("vectors", "slot INT, id BIGINT, vector ARRAY<FLOAT>"), column("centroid"), books,
+        spark, path, table("codes", "slot INT, cell INT, id BIGINT, code BINARY"), table("vectors", "slot INT, id BIGINT, vector ARRAY<FLOAT>"), column("centroid"), books,
         column("first"), column("slots"), column("rows"), column("radius"), cfg,
     )
 
@@ -181,14 +197,19 @@ def _probes(index: VectorIndex, probes: int):
             for lo in range(0, len(q), 1024):
                 x, own = q[lo : lo + 1024], b.column(0).take(pa.array(at[lo : lo + 1024]))
                 near = np.argpartition(half - x @ c.T, min(probes, len(c)) - 1, axis=1)[:, :probes]
-                n = slots[near].ravel()
-                slot = np.repeat(first[near].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                row = np.repeat(np.repeat(np.arange(len(x)), near.shape[1]), n)
+                row, slot = _slots_of(np.repeat(np.arange(len(x)), near.shape[1]), first[near].ravel(), slots[near].ravel())
                 yield _query_batch(own.take(pa.array(row)), x[row], slot)
 
     return run
 
 
+def _slots_of(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of rows' cells, each once."""
+    slot = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    pairs = np.unique(np.stack([np.repeat(row, n), slot], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _query_batch(ids: pa.Array, x: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
     return pa.record_batch([ids, pa.array(slot, pa.int32()), lists], ["query_id", "slot", "q"])
@@ -201,35 +222,43 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Where the k best are; ties to the lower id."""
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where (row, column) the k best of each row are; ties to the lower id, none that isn't finite."""
+    if scores.shape[1] > 4 * k:
+        row, column = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k][:, None])
+    else:
+        row, column = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (rank < k) & np.isfinite(scores[row, column])
+    return row[keep], column[keep]
+
+
+def _best_products(who: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, product) of the k best other rows, by blocks of queries."""
+    out = []
+    for lo in range(0, len(q), 256):
+        s = q[lo : lo + 256] @ x.T
+        s[who[lo : lo + 256, None] == own[None, :]] = -np.inf
+        row, column = _best(own, s, k)
+        out.append((who[lo + row], own[column], s[row, column]))
+    return out
 
 
 def _scan_codes(index: VectorIndex, keep: int):
-    """A slot's codes by their sums for each query: the `keep` best."""
+    """A slot's decoded rows by their products with each query: the `keep` best."""
     books, centroids = index.books, index.centroids
-    cell_of = np.repeat(np.arange(len(index.slots)), index.slots)
 
     def run(key, queries: pa.Table, codes: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and codes.num_rows:
             own = codes["id"].to_numpy()
-            code = np.frombuffer(b"".join(codes["code"].to_pylist()), dtype=np.uint8).reshape(len(own), -1).T
-            q, who = _matrix(queries["q"]), queries["query_id"].to_numpy()
-            base = q @ centroids[cell_of[key[0].as_py()]]
-            tables = np.einsum("pnw,pkw->npk", _split(q, len(books)), books)
-            for i in range(len(q)):
-                s = base[i] + sum(tables[i, p][code[p]] for p in range(len(books)))
-                s[own == who[i]] = -np.inf
-                at = _best(own, s, keep)
-                out.append((np.full(len(at), who[i]), own[at], s[at], np.repeat(i, len(at))))
-        who, ids, s, row = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        there = np.isfinite(s)
-        return pa.table({"query_id": who[there], "slot": pa.array(np.full(there.sum(), key[0].as_py()), pa.int32()), "id": ids[there], "score": s[there]})
+            code = np.frombuffer(b"".join(codes["code"].to_pylist()), dtype=np.uint8).reshape(len(own), -1)
+            x = np.concatenate([book[code[:, p]] for p, book in enumerate(books)], axis=1)[:, : centroids.shape[1]] + centroids[codes["cell"].to_numpy()]
+            out = _best_products(queries["query_id"].to_numpy(), _matrix(queries["q"]), own, x, keep)
+        who, ids, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": who, "slot": pa.array(np.full(len(who), key[0].as_py()), pa.int32()), "id": ids, "score": s})
 
     return run
 
@@ -250,13 +279,7 @@ def _compare(k: int):
                 at = order[np.searchsorted(own[order], queries["id"].to_numpy())]
                 out.append((who, own[at], np.einsum("ij,ij->i", q, x[at])))
             else:
-                for lo in range(0, len(q), 256):
-                    s = q[lo : lo + 256] @ x.T
-                    for i, w in enumerate(who[lo : lo + 256]):
-                        s[i, own == w] = -np.inf
-                        best = _best(own, s[i], k)
-                        best = best[np.isfinite(s[i, best])]
-                        out.append((np.full(len(best), w), own[best], s[i, best]))
+                out = _best_products(who, q, own, x, k)
         who, ids, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": who, "id": ids, "cosine": s})
 
@@ -324,9 +347,7 @@ def _unseen(index: VectorIndex):
             for lo in range(0, len(x), 1024):
                 d = np.sqrt(np.maximum(0, 1 + square[None, :] - 2 * x[lo : lo + 1024] @ c.T))
                 row, cell = np.nonzero(d - radius[None, :] <= reach[lo : lo + 1024, None] + 1e-6)
-                n = slots[cell]
-                slot = np.repeat(first[cell] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                row = np.repeat(row, n)
+                row, slot = _slots_of(row, first[cell], slots[cell])
                 yield _query_batch(b.column(0).take(pa.array(lo + row)), x[lo + row], slot)
 
     return run
