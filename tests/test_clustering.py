@@ -201,3 +201,26 @@ def test_silhouettes_without_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "GROUP_ROWS", 40)
     got = kmeans.silhouettes_by_set(x, sets)
     assert np.allclose(got, want, rtol=1e-12) and np.isclose(kmeans.silhouette(labelled, "cluster_id"), single) and np.isclose(single, want[1])
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Silhouettes of rows that are there several times: as of all rows, from distances of the different ones."""
+    rng = np.random.default_rng(9)
+    p = rng.normal(size=(60, 3)) + rng.integers(0, 3, 60)[:, None] * 3
+    p = np.concatenate([p, p, p[:20], p[:20]])
+    sets = [p[:k].copy() for k in (2, 3)]
+    near = [((p[:, None, :] - s[None]) ** 2).sum(axis=2).argmin(axis=1) for s in sets]
+    d = np.sqrt(((p[:, None, :] - p[None]) ** 2).sum(axis=2))
+
+    def score(l):
+        mean = [[d[i, l == c].sum() / max(1, (l == c).sum() - (l[i] == c)) for c in range(l.max() + 1)] for i in range(len(p))]
+        a = np.array([m[c] for m, c in zip(mean, l)])
+        b = np.array([min(x for c, x in enumerate(m) if c != own) for m, own in zip(mean, l)])
+        return (b - a) / np.maximum(a, b)
+
+    counted, sums = [], kmeans._distance_sums
+    monkeypatch.setattr(kmeans, "_distance_sums", lambda x, count, width: counted.append((count, x.count())) or sums(x, count, width))
+    x = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(p, near[1])], "embedding array<double>, l long").repartition(3)
+    assert np.allclose(kmeans.silhouettes_by_set(x, sets), [score(l).mean() for l in near], atol=1e-7)
+    rows = kmeans.silhouette_rows(x.select("l", F.col("embedding").alias("v"))).collect()
+    assert np.allclose(sorted(r.silhouette for r in rows), sorted(score(near[1])), atol=1e-7) and counted == [(60, 60)] * 2
